@@ -1,30 +1,67 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input."""
+"""Corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that its
+predecessor kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxgrid.llm import common, ngram_join
+from fluxgrid.llm import common, mixing, ngram_join, packing, quality, toxicity
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    model = quality.train_quality(docs, common.table(spark, sf_dir, "labels"))
+    return quality.keep_quality(docs, model)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go."""
+    lexicon = toxicity.train_toxicity(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, lexicon)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    kept = ngram_join.ngram_jaccard_join(docs).where("component_id = doc_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each group of near copies stays: the one with the smallest id.
+
+    Texts without words are linked with nothing and stay.
+    """
+    gone = ngram_join.ngram_jaccard_join(docs).where("component_id <> doc_id").select("doc_id")
+    gone = common.materialise(gone.distinct(), "gone")
+    return common.small_join(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    copies = common.materialise(mixing.mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies"), "copies")
+    took = docs.join(copies, docs["doc_id"] == copies["_id"])
+    again = took.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return again.select(*[docs[c] for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every copy's pieces with their places in sequences of at most 4096 tokens."""
+    return packing.best_fit_pack(docs)
 
 
-STAGES = [("ngram_jaccard_join", deduplicate)]
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", deduplicate),
+    ("mix_sources", mix),
+    ("best_fit_packing", pack),
+]
 
-#: SQL cannot express the stages that are learned; the tests hold each stage against a brute-force version.
+#: SQL cannot express the learned stages; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = common.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.materialise(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

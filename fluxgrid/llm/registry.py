@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from fluxgrid.llm import ngram_join
+from fluxgrid.llm import mixing, ngram_join, packing, quality, toxicity
 
 QUERIES = {
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op6_quality_classifier": quality.op6_quality_classifier,
+    "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLE_SQL = {
     "op2_ngram_jaccard": ngram_join.OP2_SQL,
