@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from fluxgrid.llm import mixing, ngram_join, packing, quality, toxicity
+from fluxgrid.llm import html_text, link_filter, mixing, ngram_join, packing, quality, repair, toxicity, vector_join
 
 QUERIES = {
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_repair_tokens": repair.op4_repair_tokens,
+    "op5_html_text": html_text.op5_html_text,
     "op6_quality_classifier": quality.op6_quality_classifier,
+    "op7_link_filter": link_filter.op7_link_filter,
+    "op8_near_vectors": vector_join.op8_near_vectors,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLE_SQL = {
     "op2_ngram_jaccard": ngram_join.OP2_SQL,
+    "op7_link_filter": link_filter.OP7_SQL,
+    "op8_near_vectors": vector_join.OP8_SQL,
 }
