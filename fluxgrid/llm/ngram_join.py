@@ -12,14 +12,14 @@ then share one, so no more are sent, besides a reserve.  A set whose size
 reaches into the band below emits there too.
 
 Signatures with more than ``group_cap`` nodes are *hot*.  A node that has enough
-others left, thanks to the reserve, does without them, in every pair with
-another such node.  For the rest (large groups of near copies) a hot group is
-joined through a pivot: all members are compared to it, those within the bound
-are linked through it, and the triangle inequality of the Jaccard distance
-says which pairs of the others need a comparison.  No pair is dropped by a cap.
-
-Candidates are compared exactly.  First each node with its smallest partner;
-pairs that this has already connected need no further comparison.
+others left, thanks to the reserve, does without them.  The rest (large groups
+of near copies) meet in hot groups, by as few signatures as their order allows.
+There, pivots drawn from a group are compared with all of it, which connects the
+families; only pairs that are not connected after that are compared one by one.
+No pair is dropped by a cap.
+
+A pair of a small group must share as many signatures as a link leaves; then it
+is compared exactly, on its whole sets, unless it is connected already.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxgrid.llm import common
@@ -37,7 +38,7 @@ from fluxgrid.llm.shingles import U, mix, shingle_sets
 #: Largest size of the first band and its parts; both grow by four from band to band.
 BAND_SIZE, BAND_PARTS = 384, 256
 #: Signatures that one reduce task handles, and bytes of text that make one.
-BUCKET_ROWS, BYTES_PER_SIGNATURE = 1_000_000, 9
+BUCKET_ROWS, BYTES_PER_SIGNATURE = 800_000, 9
 LOW_BITS = U((1 << 47) - 1)
 
 
@@ -62,15 +63,16 @@ def signatures(s: np.ndarray, band: int) -> np.ndarray:
     return out
 
 
-def _entries(s: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(band, signatures to send, how many suffice) of a set, for its own band and, near the edge, the one below."""
+def _entries(s: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray, int, bool]]:
+    """(band, signatures to send, how many suffice, whether these are all) of a set, for its own band and, near the edge, the one below."""
     band = _band(len(s))
     need = len(s) * (den - num) // num + 1
     for b in range(band, max(band - 2, -1), -1):
         if b < band and len(s) * num > (BAND_SIZE << (2 * b)) * den:
             break
         own = signatures(s, b)
-        yield b, own[: need + 64 + need // 10], need
+        sent = own[: need + 64 + need // 10]
+        yield b, sent, need, len(sent) == len(own)
 
 
 def _sized(num: int, den: int):
@@ -119,14 +121,14 @@ def _signed(num: int, den: int, buckets: int):
                         continue
                     if len(seen) < 300_000:  # spares copies within the task; those beyond are only sent twice
                         seen.add(fp)
-                    for band, sig, need in _entries(s, num, den):
+                    for band, sig, need, all_sent in _entries(s, num, den):
                         sig &= LOW_BITS
                         sig[:need] |= U(1 << 47)
-                        nodes.append((fp, len(s), band, len(sig)))
+                        nodes.append((fp, len(s), band, 2 * len(sig) + all_sent))
                         sigs.append(sig)
                         owner.append(len(sig))
                         held += len(sig)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield flush()
                     nodes, sigs, owner, held = [], [], [], 0
         if held:
@@ -146,7 +148,7 @@ def _pairs_of_groups(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray,
 
 
 def _grouped(num: int, den: int, cap: int):
-    """The pairs of a bucket's small groups (kind 0) and the members of its hot ones (kind 1)."""
+    """The pairs of a bucket's small groups (kind 0; size: signatures shared, sent: how many a link needs) and the members of its hot ones (kind 1)."""
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int64()), ("band", pa.int32()), ("sent", pa.int64()), ("main", pa.bool_())])
 
     def run(table: pa.Table) -> pa.Table:
@@ -172,21 +174,25 @@ def _grouped(num: int, den: int, cap: int):
         i, j = _pairs_of_groups(first[some], count[some])
         small, large = np.minimum(nodes[own[i], 1], nodes[own[j], 1]), np.maximum(nodes[own[i], 1], nodes[own[j], 1])
         fits = small * den >= large * num
-        left, right = nodes[own[i[fits]], 0], nodes[own[j[fits]], 0]
-        pairs = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)]), axis=1) if len(left) else np.empty((2, 0), np.int64)
+        i, j = own[i[fits]], own[j[fits]]
+        ids, local = np.unique(nodes[:, 0], return_inverse=True)
+        left, right = np.minimum(local[i], local[j]), np.maximum(local[i], local[j])
+        code, at, times = np.unique((left * len(ids) + right) * 32 + nodes[i, 2], return_index=True, return_counts=True)
+        spare = nodes[:, 3] // 2 - nodes[:, 1] * (den - num) // num
+        least = np.minimum(spare[i[at]], spare[j[at]])
+        pairs = np.stack([ids[code // 32 // max(len(ids), 1)], ids[code // 32 % max(len(ids), 1)], times, code % 32, least])
         hot = np.repeat(count > cap, count)
         rows = nodes[own[hot]]
         p, h = pairs.shape[1], len(rows)
-        zero = np.zeros(p, np.int64)
         return pa.Table.from_arrays(
             [
                 pa.array(np.repeat(np.array([0, 1], np.int32), [p, h])),
                 pa.array(np.concatenate([pairs[0], rows[:, 0]])),
                 pa.array(np.concatenate([pairs[1], sig[hot].astype(np.int64)])),
-                pa.array(np.concatenate([zero, rows[:, 1]])),
-                pa.array(np.concatenate([zero, rows[:, 2]]).astype(np.int32)),
-                pa.array(np.concatenate([zero, rows[:, 3]])),
-                pa.array(np.concatenate([zero.astype(bool), main[hot]])),
+                pa.array(np.concatenate([pairs[2], rows[:, 1]])),
+                pa.array(np.concatenate([pairs[3], rows[:, 2]]).astype(np.int32)),
+                pa.array(np.concatenate([pairs[4], rows[:, 3]])),
+                pa.array(np.concatenate([np.zeros(p, bool), main[hot]])),
             ],
             schema=schema,
         )
@@ -221,6 +227,85 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.select("a", "b", "fa", "fb").mapInArrow(_compared, "a long, b long, inter long, uni long")
 
 
+def _members(hot: DataFrame, tied: DataFrame) -> DataFrame:
+    """(g, node, size, cut): what has to be compared within each hot group.
+
+    In an order with hot signatures last, a bound node's first ``need`` ones are
+    all its others and ``quota`` hot ones; two nodes that link, neither cut, share one of
+    those, and a free one has no hot ones.  A cut node's others are not all
+    known: in the plain order, it and its partner share one of their main ones.
+    """
+    at = hot.join(tied, ["node", "band"], "left").withColumn("state", F.coalesce("state", F.lit("free")))
+    nth = F.row_number().over(W.partitionBy("node", "band").orderBy("g"))
+    bound = at.where("state = 'bound'").withColumn("nth", nth).where("nth <= quota").select(F.concat(F.lit("b"), F.col("g")).alias("g"), "node", "size", F.lit(False).alias("cut"))
+    main = at.where("main").withColumn("cut", F.col("state") == "cut")
+    with_cut = main.where("cut").select("g").distinct()
+    rest = main.join(with_cut, "g").select(F.concat(F.lit("c"), F.col("g")).alias("g"), "node", "size", "cut")
+    return common.materialise(bound.unionByName(rest), "members")
+
+
+def _linked(pairs: DataFrame, members: DataFrame | None, sets: DataFrame, num: int, den: int, rounds: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
+    """(node, component) of the candidate pairs and of the pairs within groups of ``members``.
+
+    Only pairs of nodes that are not connected yet are compared.  First each
+    node with its least partner, and groups through pivots: in each round, some of a
+    group's nodes, drawn by hash, are compared with all of it.  That joins the large
+    families; the pairs that remain open after the rounds are all compared.
+    """
+    spark = pairs.sparkSession
+    label: DataFrame | None = None
+
+    def apart(p: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        p = p.select("a", "b", *keep)
+        if label is None:
+            return p.where("a <> b")
+        for side in ("a", "b"):
+            p = p.join(label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+        return p.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", *keep)
+
+    def learn(p: DataFrame) -> None:
+        nonlocal label
+        with common.arrow_rows(spark, 400):
+            got = common.materialise(_compare(p, sets).where(F.col("inter") * den >= F.col("uni") * num).select("a", "b"), "links")
+        if label is not None:
+            if got.isEmpty():
+                return
+            got = got.union(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        label = common.materialise(common.connected_components(got), "label")
+
+    fits = F.least("sa", "sb") * den >= F.greatest("sa", "sb") * num
+    open_ = members
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    for k, drawn in enumerate(rounds if members is not None else ()):
+        # groups that one component holds are settled
+        seen = open_ if label is None else open_.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        if label is not None:
+            mixed = seen.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
+            open_ = common.materialise(seen.join(mixed, "g").select("g", "node", "size", "cut"), "open")
+            if open_.isEmpty():
+                break
+        able = F.col("cut") | F.col("g").startswith("b")
+        draws = [F.min(F.when(able, F.struct(F.xxhash64(F.lit(100 * k + i), F.col("node")).alias("h"), F.col("node").alias("n"), F.col("size").alias("s")))) for i in range(drawn)]
+        pivots = open_.groupBy("g").agg(F.array_distinct(F.array(*draws)).alias("p")).select("g", F.explode("p").alias("p")).select("g", F.col("p")["n"].alias("a"), F.col("p")["s"].alias("sa"))
+        star = open_.select("g", F.col("node").alias("b"), F.col("size").alias("sb")).join(pivots, "g").where((F.col("a") != F.col("b")) & fits).select("a", "b").distinct()
+        learn(apart(star.union(first) if k == 0 else star))
+    if members is None:
+        learn(apart(first))
+    rest = apart(pairs)
+    if members is not None and not open_.isEmpty():
+        # what is still open, by component: nodes of a group's largest component need not meet each other
+        now = open_.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        by = now.groupBy("g", "c").agg(F.count("*").alias("n"))
+        top = by.groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1")
+        now = common.materialise(now.join(top, "g"), "stragglers")
+        x = now.where("c <> top").select("g", F.col("node").alias("n1"), F.col("size").alias("sa"), F.col("cut").alias("k1"), F.col("c").alias("c1"), "top")
+        y = now.select("g", F.col("node").alias("n2"), F.col("size").alias("sb"), F.col("cut").alias("k2"), F.col("c").alias("c2"))
+        met = x.join(y, "g").where((F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("top")) | (F.col("n1") < F.col("n2"))) & fits & (F.col("k1") | F.col("k2") | F.col("g").startswith("b")))
+        rest = rest.union(met.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b"))).distinct()
+    learn(rest)
+    return label
+
+
 def ngram_jaccard_join(docs: DataFrame, num: int = 75, den: int = 100, group_cap: int = 32) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles`` and ``component_id``.
 
@@ -242,50 +327,35 @@ def ngram_jaccard_join(docs: DataFrame, num: int = 75, den: int = 100, group_cap
     blocks = docs.mapInArrow(_signed(num, den, buckets), "bucket int, sig binary, own binary, nodes binary")
     found = blocks.groupBy("bucket").applyInArrow(_grouped(num, den, group_cap), "kind int, a long, b long, size long, band int, sent long, main boolean")
     found = common.materialise(found, "groups")
-    pairs = found.where("kind = 0").select("a", "b").distinct()
 
-    # members of hot groups that cannot do without them
-    hot = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("g"), "size", "band", "sent", "main")
+    # hot groups: a node is free of them if enough other signatures are left; bound if not, and all were sent; cut if some were not
+    sent = F.floor(F.col("sent") / 2)
+    hot = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("g"), "size", "band", "main", sent.alias("sent"), (F.col("sent") % 2 == 1).alias("whole"))
     need = F.floor(F.col("size") * (den - num) / num) + 1
-    short = hot.groupBy("node", "band").agg(F.count("*").alias("hot"), F.first("size").alias("size"), F.first("sent").alias("sent")).where(F.col("sent") - F.col("hot") < need)
-    short = common.materialise(short.select("node", "band", F.lit(True).alias("bound")), "short")
-    core = hot.where("main").join(short, ["node", "band"], "left").withColumn("bound", F.coalesce("bound", F.lit(False)))
-    pivots = core.where("bound").groupBy("g").agg(F.min("node").alias("pivot"))
-    members = common.materialise(core.join(pivots, "g").select("g", "node", "size", "bound", "pivot"), "members")
-    star = members.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    heat = hot.groupBy("node", "band").agg(F.count("*").alias("hot"), F.first("size").alias("size"), F.first("sent").alias("sent"), F.first("whole").alias("whole"))
+    left = F.col("sent") - F.col("hot")
+    kind = F.when(left >= need, "free").when(F.col("whole"), "bound").otherwise("cut")
+    heat = common.materialise(heat.select("node", "band", "hot", kind.alias("state"), (need - left).alias("quota")), "heat")
+    tied = heat.where("state <> 'free'").drop("hot")
+    some_tied = not tied.isEmpty()
+    members = _members(hot, tied) if some_tied else None
+
+    # of all pairs of small groups, those that share as many signatures as a link leaves: sent - differences, less the hot ones
+    pairs = found.where("kind = 0").groupBy("a", "b", "band").agg(F.sum("size").alias("shared"), F.first("sent").alias("least"))
+    for side in ("a", "b"):
+        pairs = pairs.join(heat.select(F.col("node").alias(side), "band", F.col("hot").alias(f"hot_{side}")), [side, "band"], "left")
+    pairs = pairs.where(F.col("shared") >= F.col("least") - F.greatest(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))).select("a", "b").distinct()
 
     # the shingle sets of all nodes that any comparison needs, from one document each
     pairs = common.materialise(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(star.select("a")).union(star.select("b")).distinct()
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    if some_tied:
+        wanted = wanted.union(members.select("node"))
     holder = sized.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    holder = common.materialise(holder.join(wanted, "node"), "holder")
+    holder = common.materialise(holder.join(wanted.distinct(), "node"), "holder")
     texts = common.small_join(docs, holder, ["doc_id"], "inner")
     sets = common.materialise(texts.select("node", "text").mapInArrow(_as_sets, "node long, features binary"), "sets")
-
-    linked = F.col("inter") * den >= F.col("uni") * num
-    least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    first = common.materialise(_compare(least.union(star).distinct(), sets), "compared")
-    links = first.where(linked).select("a", "b")
-    label = common.materialise(common.connected_components(links), "label")
-
-    def apart(p: DataFrame) -> DataFrame:
-        x = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        y = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        return p.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    rest = apart(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    if not short.isEmpty():
-        bound = (den - num) / den + 1e-9
-        far = first.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("inter") / F.col("uni")).alias("d"))
-        at = members.join(far, ["pivot", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-        x = at.where(F.col("d") > bound).select("g", F.col("node").alias("n1"), F.col("size").alias("s1"), F.col("bound").alias("b1"), F.col("d").alias("d1"))
-        y = at.select("g", F.col("node").alias("n2"), F.col("size").alias("s2"), F.col("bound").alias("b2"), F.col("d").alias("d2"))
-        open_ = x.join(y, "g").where((F.col("b1") | F.col("b2")) & (F.abs(F.col("d1") - F.col("d2")) <= bound))
-        open_ = open_.where((F.col("n1") != F.col("n2")) & (F.least("s1", "s2") * den >= F.greatest("s1", "s2") * num))
-        rest = rest.union(apart(open_.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct())).distinct()
-    more = common.materialise(_compare(rest, sets).where(linked).select("a", "b"), "links")
-    if not more.isEmpty():
-        label = common.materialise(common.connected_components(links.union(more)), "label")
+    label = _linked(pairs, members, sets, num, den)
 
     # back to documents; only nodes that are linked or have copies need a lookup
     per = sized.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
