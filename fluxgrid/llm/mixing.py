@@ -6,8 +6,8 @@ dependently: two documents exchange words, at random but without changing
 their sum or either expectation, until one fraction is integral.  Blocks of a
 source's documents do so independently and keep at most one open document
 each; those meet in a reduction tree of fixed fan-in, until one per source is
-left and is rounded alone.  So a source misses its target by less than one,
-as a rule short, document.  All random choices are hashes of ids, and blocks
+left and goes to the nearer whole number.  So a source misses its target by at
+most half a document.  All random choices are hashes of ids, and blocks
 depend on ids and counts only: reruns agree whatever the partitions are.
 """
 
@@ -68,7 +68,7 @@ def round_block(rows: list[tuple[int, int, float]], seed: int, last: bool) -> li
         out[held], out[k] = exchange(out[held], rows[held][1], out[k], size, _uniform(rows[held][0], doc, seed))
         held = held if 0.0 < out[held] < 1.0 else k if 0.0 < out[k] < 1.0 else -1
     if last and held >= 0:
-        out[held] = 1.0 if _uniform(rows[held][0], rows[held][1], seed + 1) < out[held] else 0.0
+        out[held] = float(round(out[held]))  # the nearer of both: the source misses its target by half a document at most
     return out
 
 
