@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fluxgrid.llm import html_text, link_filter, mixing, ngram_join, packing, quality, repair, toxicity, vector_join
+from fluxgrid.llm import html_text, link_filter, media, mixing, ngram_join, packing, quality, repair, toxicity, vector_join
 
 QUERIES = {
+    "op1_media_copies": media.op1_media_copies,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_repair_tokens": repair.op4_repair_tokens,
