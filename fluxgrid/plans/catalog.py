@@ -267,13 +267,13 @@ def hash_records(t) -> DataFrame:
 NEAR_SQL = f"""rec AS MATERIALIZED (SELECT {SPLIT.format('vec_id')} AS split, 's' || (vec_id % 4) || '__' || lpad(CAST(vec_id AS VARCHAR), 10, '0') AS path, vec_id,
   CAST(list_sum(list_transform(range(63), lambda i: CASE WHEN embedding[i + 1] > embedding[i + 2] THEN CAST(1 AS BIGINT) << CAST(62 - i AS INTEGER) ELSE 0 END)) AS BIGINT) AS h FROM embeddings),
 ordered AS (SELECT *, CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS o FROM rec),
-pairs AS MATERIALIZED (SELECT CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS hamming_distance, a.split AS left_split, a.path AS left_path, b.split AS right_split, b.path AS right_path FROM ordered a JOIN ordered b ON a.split <> b.split AND (a.o, a.path) < (b.o, b.path) AND bit_count(xor(a.h, b.h)) <= 18)"""
+pairs AS MATERIALIZED (SELECT CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS hamming_distance, a.split AS left_split, a.path AS left_path, b.split AS right_split, b.path AS right_path FROM ordered a JOIN ordered b ON a.split <> b.split AND (a.o, a.path) < (b.o, b.path) AND bit_count(xor(a.h, b.h)) <= 14)"""
 
 
 @query(f"WITH {NEAR_SQL} SELECT * FROM pairs")
 def near_dup_pairs(t):
-    """Records of different splits whose hashes differ in at most 18 bits."""
-    return D.near_pairs(hash_records(t), 18)
+    """Records of different splits whose hashes differ in at most 14 bits."""
+    return D.near_pairs(hash_records(t), 14)
 
 
 REMOVE_SQL = """same AS (SELECT *, (CASE left_split WHEN 'test' THEN 3 WHEN 'val' THEN 2 ELSE 1 END) < (CASE right_split WHEN 'test' THEN 3 WHEN 'val' THEN 2 ELSE 1 END) AS lg FROM pairs WHERE split_part(left_path, '__', 1) = split_part(right_path, '__', 1)),
@@ -283,14 +283,14 @@ gone AS (SELECT CASE WHEN lg THEN left_path ELSE right_path END AS removed_path,
 @query(f"WITH {NEAR_SQL}, {REMOVE_SQL} SELECT * FROM gone")
 def removals(t):
     """What decontamination removes, and for what."""
-    return D.removals(D.near_pairs(hash_records(t), 18)).withColumn("kept_paths", joined("kept_paths"))
+    return D.removals(D.near_pairs(hash_records(t), 14)).withColumn("kept_paths", joined("kept_paths"))
 
 
 @query(f"WITH {NEAR_SQL}, {REMOVE_SQL} SELECT path, split FROM rec WHERE path NOT IN (SELECT removed_path FROM gone)")
 def decontaminate(t):
     """The records that stay."""
     r = hash_records(t)
-    return D.decontaminate(r, D.near_pairs(r, 18)).select("path", "split")
+    return D.decontaminate(r, D.near_pairs(r, 14)).select("path", "split")
 
 
 @query("SELECT doc_id, 'orphan' AS problem FROM labels WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'unlabelled' FROM documents WHERE doc_id % 7 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
