@@ -30,7 +30,7 @@ from fluxgrid.llm.quality import sampled_labels
 
 THRESHOLD, FOLDS = 0.7, 3
 #: Bound of the labelled sample per class, which the driver gets.
-SAMPLE_PER_CLASS = 3_000
+SAMPLE_PER_CLASS = 1_500
 #: A mined term begins at least this share of the toxic sample's words' texts, and is so many times rarer in clean ones.
 LEAST_SHARE, LEAST_TEXTS, LEAST_RATIO = 0.01, 5, 16.0
 #: Letters of the shortest and the longest stem.
@@ -59,7 +59,7 @@ _DISGUISE = re.compile(_LOOKS.pattern[:-1] + _WIDTHS.pattern[1:])
 
 def _untwist(match: re.Match) -> str:
     word = match.group(0)
-    return word.translate(_SUB) if _MIXED.search(word) and sum(c.isalpha() for c in word) * 2 >= len(word) else word
+    return word.translate(_SUB) if _MIXED.search(word) and sum(c.isalpha() for c in word) * 3 >= len(word) else word
 
 
 def fold(text: str) -> str:
