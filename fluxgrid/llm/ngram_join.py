@@ -13,8 +13,9 @@ reaches into the band below emits there too.
 
 Signatures with more than ``group_cap`` nodes are *hot*.  A node that has enough
 others left, thanks to the reserve, does without them.  The rest (large groups
-of near copies) meet in hot groups, by as few signatures as their order allows.
-There, pivots drawn from a group are compared with all of it, which connects the
+of near copies, texts that are mostly one common passage) are refined by their features:
+they meet by each rare one, or else by the few common ones that a link must
+share.  There, pivots of a group are compared with all of it, which connects the
 families; only pairs that are not connected after that are compared one by one.
 No pair is dropped by a cap.
 
@@ -227,41 +228,77 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.select("a", "b", "fa", "fb").mapInArrow(_compared, "a long, b long, inter long, uni long")
 
 
-def _members(hot: DataFrame, tied: DataFrame) -> DataFrame:
-    """(g, node, size, cut): what has to be compared within each hot group.
+def _population(hot: DataFrame, tied: DataFrame) -> DataFrame:
+    """(node, size) of all nodes that may link with another through hot signatures alone.
 
-    In an order with hot signatures last, a bound node's first ``need`` ones are
-    all its others and ``quota`` hot ones; two nodes that link, neither cut, share one of
-    those, and a free one has no hot ones.  A cut node's others are not all
-    known: in the plain order, it and its partner share one of their main ones.
+    A free node needs none of them.  A cut node's other signatures are not all
+    known: it and any partner share one of their main ones, so everything that
+    a main hot signature joins to a cut node belongs to it too.
     """
     at = hot.join(tied, ["node", "band"], "left").withColumn("state", F.coalesce("state", F.lit("free")))
-    nth = F.row_number().over(W.partitionBy("node", "band").orderBy("g"))
-    bound = at.where("state = 'bound'").withColumn("nth", nth).where("nth <= quota").select(F.concat(F.lit("b"), F.col("g")).alias("g"), "node", "size", F.lit(False).alias("cut"))
-    main = at.where("main").withColumn("cut", F.col("state") == "cut")
-    with_cut = main.where("cut").select("g").distinct()
-    rest = main.join(with_cut, "g").select(F.concat(F.lit("c"), F.col("g")).alias("g"), "node", "size", "cut")
-    return common.materialise(bound.unionByName(rest), "members")
+    main = at.where("main")
+    with_cut = main.where("state = 'cut'").select("g").distinct()
+    both = at.where("state <> 'free'").select("node", "size").union(main.join(with_cut, "g").select("node", "size"))
+    return common.materialise(both.distinct(), "population")
 
 
-def _linked(pairs: DataFrame, members: DataFrame | None, sets: DataFrame, num: int, den: int, rounds: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
-    """(node, component) of the candidate pairs and of the pairs within groups of ``members``.
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        node, features = batch.column(0).to_numpy(), [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        size = np.array([len(x) for x in features])
+        if len(size):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(features))], names=["node", "size", "feature"])
+
+
+def _refined(population: DataFrame, sets: DataFrame, num: int, den: int, cap: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs a, b that share a rare feature; groups g, node, size, com, pos for pairs that share none).
+
+    A feature is rare if at most ``cap`` nodes of the population have it, else
+    common; ``com`` is how many common ones a node has.  A link needs an
+    intersection of ``num * (sizes) / (num + den)`` features.  A pair that shares rare
+    features meets by them and goes if they and all common ones of either would not
+    suffice.  Any other shares common ones only, so one of the first
+    ``com - needed + 1`` of either side, in an order common to all, rarest first.
+    """
+    with common.arrow_rows(population.sparkSession, 400):
+        rows = sets.join(population.select("node"), "node", "left_semi").select("node", "features").mapInArrow(_exploded, "node long, size long, feature long")
+        rows = common.materialise(rows, "features")
+    often = rows.groupBy("feature").agg(F.count("*").alias("n")).where("n > 1")
+    known = common.materialise(rows.join(often, "feature"), "known")
+    frequent = known.where(F.col("n") > cap)
+    com = frequent.groupBy("node").agg(F.count("*").alias("com"))
+    rare = known.where(F.col("n") <= cap)
+    x, y = (rare.select("feature", F.col("node").alias(k), F.col("size").alias(f"s{k}")) for k in "ab")
+    met = x.join(y, "feature").where("a < b").groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("shared"))
+    for side in "ab":
+        met = met.join(com.select(F.col("node").alias(side), F.col("com").alias(f"com_{side}")), side, "left")
+    most = F.col("shared") + F.least(F.coalesce("com_a", F.lit(0)), F.coalesce("com_b", F.lit(0)))
+    pairs = common.materialise(met.where(most * (num + den) >= (F.col("sa") + F.col("sb")) * num).select("a", "b"), "rare")
+    pos = F.row_number().over(W.partitionBy("node").orderBy("n", "feature"))
+    # no partner needs less than this share of the node's own size
+    able = frequent.join(com.join(rows.select("node", "size").distinct(), "node").where(F.col("com") * den >= F.col("size") * num).select("node", "com"), "node")
+    first = able.withColumn("pos", pos).where((F.col("com") - F.col("pos") + 1) * den >= F.col("size") * num)
+    return pairs, common.materialise(first.select(F.col("feature").alias("g"), "node", "size", "com", "pos"), "first")
+
+
+def _linked(pairs: DataFrame, groups: DataFrame | None, sets: DataFrame, num: int, den: int, rounds: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
+    """(node, component) of the candidate pairs and of the pairs within ``groups`` (see ``_refined``).
 
     Only pairs of nodes that are not connected yet are compared.  First each
     node with its least partner, and groups through pivots: in each round, some of a
-    group's nodes, drawn by hash, are compared with all of it.  That joins the large
-    families; the pairs that remain open after the rounds are all compared.
+    group's nodes are compared with all of it, first the one with the most common
+    features, then ones drawn by hash.  That joins the large families; the
+    pairs that remain open after the rounds are all compared.
     """
     spark = pairs.sparkSession
     label: DataFrame | None = None
 
-    def apart(p: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-        p = p.select("a", "b", *keep)
+    def apart(p: DataFrame) -> DataFrame:
         if label is None:
             return p.where("a <> b")
         for side in ("a", "b"):
             p = p.join(label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-        return p.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", *keep)
+        return p.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     def learn(p: DataFrame) -> None:
         nonlocal label
@@ -273,35 +310,40 @@ def _linked(pairs: DataFrame, members: DataFrame | None, sets: DataFrame, num: i
             got = got.union(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
         label = common.materialise(common.connected_components(got), "label")
 
-    fits = F.least("sa", "sb") * den >= F.greatest("sa", "sb") * num
-    open_ = members
+    def side(k: str) -> list:
+        return [F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("size", "com", "pos"))]
+
+    # both have the group's feature among the first of those that a link of these sizes leaves
+    can = F.least(F.col("com_a") - F.col("pos_a"), F.col("com_b") - F.col("pos_b")) + 1
+    can = can * (num + den) >= (F.col("size_a") + F.col("size_b")) * num
+    open_ = groups
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    for k, drawn in enumerate(rounds if members is not None else ()):
+    for k, drawn in enumerate(rounds if groups is not None else ()):
         # groups that one component holds are settled
-        seen = open_ if label is None else open_.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         if label is not None:
+            seen = open_.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
             mixed = seen.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
-            open_ = common.materialise(seen.join(mixed, "g").select("g", "node", "size", "cut"), "open")
+            open_ = common.materialise(seen.drop("c").join(mixed, "g"), "open")
             if open_.isEmpty():
                 break
-        able = F.col("cut") | F.col("g").startswith("b")
-        draws = [F.min(F.when(able, F.struct(F.xxhash64(F.lit(100 * k + i), F.col("node")).alias("h"), F.col("node").alias("n"), F.col("size").alias("s")))) for i in range(drawn)]
-        pivots = open_.groupBy("g").agg(F.array_distinct(F.array(*draws)).alias("p")).select("g", F.explode("p").alias("p")).select("g", F.col("p")["n"].alias("a"), F.col("p")["s"].alias("sa"))
-        star = open_.select("g", F.col("node").alias("b"), F.col("size").alias("sb")).join(pivots, "g").where((F.col("a") != F.col("b")) & fits).select("a", "b").distinct()
+        ranks = [F.col("com") / F.col("size")] if k == 0 else [F.xxhash64(F.lit(100 * k + i), F.col("node")) for i in range(drawn)]
+        draws = [F.max(F.struct(r.alias("r"), F.xxhash64("node").alias("h"), *side("a"))) for r in ranks]
+        pivots = open_.groupBy("g").agg(F.array(*draws).alias("p")).select("g", F.explode("p").alias("p")).select("g", *(f"p.{c}" for c in ("a", "size_a", "com_a", "pos_a")))
+        star = open_.select("g", *side("b")).join(pivots, "g").where((F.col("a") != F.col("b")) & can).select("a", "b").distinct()
         learn(apart(star.union(first) if k == 0 else star))
-    if members is None:
+    if groups is None:
         learn(apart(first))
     rest = apart(pairs)
-    if members is not None and not open_.isEmpty():
+    if groups is not None and not open_.isEmpty():
         # what is still open, by component: nodes of a group's largest component need not meet each other
         now = open_.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         by = now.groupBy("g", "c").agg(F.count("*").alias("n"))
-        top = by.groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1")
+        top = by.groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1").drop("cs")
         now = common.materialise(now.join(top, "g"), "stragglers")
-        x = now.where("c <> top").select("g", F.col("node").alias("n1"), F.col("size").alias("sa"), F.col("cut").alias("k1"), F.col("c").alias("c1"), "top")
-        y = now.select("g", F.col("node").alias("n2"), F.col("size").alias("sb"), F.col("cut").alias("k2"), F.col("c").alias("c2"))
-        met = x.join(y, "g").where((F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("top")) | (F.col("n1") < F.col("n2"))) & fits & (F.col("k1") | F.col("k2") | F.col("g").startswith("b")))
-        rest = rest.union(met.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b"))).distinct()
+        x = now.where("c <> top").select("g", *side("a"), F.col("c").alias("c1"), "top")
+        y = now.select("g", *side("b"), F.col("c").alias("c2"))
+        met = x.join(y, "g").where((F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("top")) | (F.col("a") < F.col("b"))) & can)
+        rest = rest.union(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     learn(rest)
     return label
 
@@ -335,10 +377,10 @@ def ngram_jaccard_join(docs: DataFrame, num: int = 75, den: int = 100, group_cap
     heat = hot.groupBy("node", "band").agg(F.count("*").alias("hot"), F.first("size").alias("size"), F.first("sent").alias("sent"), F.first("whole").alias("whole"))
     left = F.col("sent") - F.col("hot")
     kind = F.when(left >= need, "free").when(F.col("whole"), "bound").otherwise("cut")
-    heat = common.materialise(heat.select("node", "band", "hot", kind.alias("state"), (need - left).alias("quota")), "heat")
+    heat = common.materialise(heat.select("node", "band", "hot", kind.alias("state")), "heat")
     tied = heat.where("state <> 'free'").drop("hot")
     some_tied = not tied.isEmpty()
-    members = _members(hot, tied) if some_tied else None
+    population = _population(hot, tied) if some_tied else None
 
     # of all pairs of small groups, those that share as many signatures as a link leaves: sent - differences, less the hot ones
     pairs = found.where("kind = 0").groupBy("a", "b", "band").agg(F.sum("size").alias("shared"), F.first("sent").alias("least"))
@@ -350,12 +392,16 @@ def ngram_jaccard_join(docs: DataFrame, num: int = 75, den: int = 100, group_cap
     pairs = common.materialise(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     if some_tied:
-        wanted = wanted.union(members.select("node"))
+        wanted = wanted.union(population.select("node"))
     holder = sized.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     holder = common.materialise(holder.join(wanted.distinct(), "node"), "holder")
     texts = common.small_join(docs, holder, ["doc_id"], "inner")
     sets = common.materialise(texts.select("node", "text").mapInArrow(_as_sets, "node long, features binary"), "sets")
-    label = _linked(pairs, members, sets, num, den)
+    groups = None
+    if some_tied:
+        by_rare, groups = _refined(population, sets, num, den, group_cap)
+        pairs = common.materialise(pairs.union(by_rare.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "candidates")
+    label = _linked(pairs, groups, sets, num, den)
 
     # back to documents; only nodes that are linked or have copies need a lookup
     per = sized.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))

@@ -56,7 +56,7 @@ def corpus(seed, families, copies, length, edits, passage=0):
 
 @pytest.mark.parametrize(
     ("seed", "args", "cap"),
-    [(1, (30, 4, 60, 3), 32), (2, (4, 25, 400, 12), 3), (3, (60, 2, 40, 2, 60), 4), (4, (12, 8, 900, 40), 2), (5, (40, 3, 12, 2, 30), 2)],
+    [(1, (30, 4, 60, 3), 32), (2, (4, 25, 400, 12), 3), (3, (60, 2, 40, 2, 60), 4), (4, (12, 8, 900, 40), 2), (5, (40, 3, 12, 2, 30), 2), (6, (2, 120, 150, 9), 4), (7, (50, 2, 30, 2, 90), 3)],
 )
 def test_equals_brute_force(spark, seed, args, cap):
     rows = corpus(seed, *args)
