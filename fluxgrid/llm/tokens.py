@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,9 @@ from fluxgrid.llm import common
 #: Default vocabulary; every operator takes the path as a parameter.
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 #: Distinct runs that a worker remembers; when it has more, it starts anew (results do not depend on it).
-CACHE_RUNS = 600_000
+CACHE_RUNS = 800_000
+#: ASCII marks at a run's end; after a letter they are always a token boundary of their own.
+_MARKS = ".,;:!?)%#&*\""
 _WIDE = re.compile("[^\x00-ɏ]")
 #: White space that a character class of the library's normaliser may know and Arrow's split may not, or the reverse.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0]")
@@ -48,21 +51,46 @@ class Encoder:
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
+    def _store(self, runs: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        n, total = len(self.ids), len(flat)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + len(runs) > len(self.start):
+            self.start, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.count))
+        self.flat[self.used : self.used + total] = flat
+        self.count[n : n + len(runs)] = sizes
+        self.start[n : n + len(runs)] = self.used + np.cumsum(sizes) - sizes
+        self.used += total
+        self.ids.update(zip(runs, range(n, n + len(runs)), strict=True))
+
+    def _gather(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the numbered runs, end to end; where each ends)."""
+        count = self.count[code]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        return (self.flat[np.arange(total) + np.repeat(self.start[code] - (ends - count), count)] if total else np.empty(0, np.uint32)), ends
+
     def _learn(self, runs: list[str]) -> None:
-        for at in range(0, len(runs), 20_000):
-            part = runs[at : at + 20_000]
+        marked, pieces, whole = [], [], {}
+        for w in runs:
+            stem = w.rstrip(_MARKS)
+            if 0 < len(stem) < len(w) and stem[-1].isalpha():
+                marked.append(w)
+                pieces += (stem, w[len(stem) :])
+                for piece in (stem, w[len(stem) :]):
+                    if piece not in self.ids:
+                        whole[piece] = None
+            else:
+                whole[w] = None
+        new = list(whole)
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
             found = [e.ids for e in _tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            n, total = len(self.ids), int(sizes.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while n + len(part) > len(self.start):
-                self.start, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.count))
-            self.flat[self.used : self.used + total] = np.fromiter((i for f in found for i in f), np.uint32, total)
-            self.count[n : n + len(part)] = sizes
-            self.start[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.used += total
-            self.ids.update(zip(part, range(n, n + len(part)), strict=True))
+            self._store(part, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+        if marked:
+            flat, ends = self._gather(np.fromiter(map(self.ids.__getitem__, pieces), np.int64, len(pieces)))
+            self._store(marked, flat, np.diff(ends[1::2], prepend=0))
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(_tokenizer(self.path).encode(text, add_special_tokens=False).ids, np.uint32)
@@ -81,10 +109,7 @@ class Encoder:
         if new:
             self._learn(new)
         code = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))[runs.indices.to_numpy()] if words else np.empty(0, np.int64)
-        count = self.count[code]
-        ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(self.start[code] - (ends - count), count)] if total else np.empty(0, np.uint32)
+        ids, ends = self._gather(code)
         edges = np.concatenate([[0], ends])[np.asarray(split.offsets)]
         sizes = np.diff(edges)
         if plain:
