@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Bytes of text that a Python task handles at once.
 CHUNK_BYTES = 1 << 20
+#: What operators remember in a Python worker between tasks; workers are shared, so a memory-hungry operator may empty them.
+WORKER_CACHES: list[dict] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -92,6 +94,13 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         start = stop
 
 
+def release_worker_memory() -> None:
+    """Give back what other operators' tasks left in this Python worker."""
+    for cache in WORKER_CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def as_string(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The column as 32-bit-offset strings, nulls as empty texts."""
     column = batch.column(batch.schema.get_field_index(name))

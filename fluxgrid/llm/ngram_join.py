@@ -39,7 +39,7 @@ from fluxgrid.llm.shingles import U, mix, shingle_sets
 #: Largest size of the first band and its parts; both grow by four from band to band.
 BAND_SIZE, BAND_PARTS = 384, 256
 #: Signatures that one reduce task handles, and bytes of text that make one.
-BUCKET_ROWS, BYTES_PER_SIGNATURE = 800_000, 9
+BUCKET_ROWS, BYTES_PER_SIGNATURE = 400_000, 9
 LOW_BITS = U((1 << 47) - 1)
 
 
@@ -78,6 +78,7 @@ def _entries(s: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarra
 
 def _sized(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release_worker_memory()
         for batch in batches:
             text = common.as_string(batch, "text")
             n, fp = [], []
@@ -129,11 +130,12 @@ def _signed(num: int, den: int, buckets: int):
                         sigs.append(sig)
                         owner.append(len(sig))
                         held += len(sig)
-                if held > 1_000_000:
+                if held > 500_000:
                     yield flush()
                     nodes, sigs, owner, held = [], [], [], 0
         if held:
             yield flush()
+        common.release_worker_memory()
 
     return run
 

@@ -122,6 +122,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+common.WORKER_CACHES.append(_ENCODERS)
 
 
 def encoder(path: str) -> Encoder:
