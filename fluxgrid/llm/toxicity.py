@@ -1,6 +1,6 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text.
 
-Folding lower-cases, strips accents that are only decoration of Latin letters,
+Folding lower-cases, strips accents of Latin letters and of their look-alikes,
 maps homoglyphs and, inside words, digits and signs to the letters they stand
 for, and turns everything else into single spaces, so every term starts at a
 word's start.  A term ending in a space is a whole word, one without is a stem.
@@ -18,6 +18,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from heapq import nsmallest
 
 import numpy as np
@@ -53,8 +54,10 @@ _MIXED = re.compile(r"[^\W\d_][0-9@$]|[0-9@$][^\W\d_]")
 _WORD = re.compile(r"[^\W_][\w@$]*|[@$][\w@$]+")
 _GAP = re.compile(r"[\W_]+")
 _LOOKS = re.compile("[" + "".join(HOMOGLYPHS) + "]")
-_WIDTHS = re.compile("[\u200b-\u200d\ufeff\u00ad\u0300-\u036f\uff01-\uff5e]")
-_DISGUISE = re.compile(_LOOKS.pattern[:-1] + _WIDTHS.pattern[1:])
+_UNSEEN = re.compile("[\u200b-\u200d\ufeff\u00ad]")
+_ODD = re.compile(r"[^\x00-\x7f]")
+_MARKS = re.compile("[\u0300-\u036f]")
+_ACCENTS = re.compile("(?<=[a-z" + "".join(HOMOGLYPHS) + "])[\u0300-\u036f]+")
 
 
 def _untwist(match: re.Match) -> str:
@@ -62,13 +65,38 @@ def _untwist(match: re.Match) -> str:
     return word.translate(_SUB) if _MIXED.search(word) and sum(c.isalpha() for c in word) * 3 >= len(word) else word
 
 
+def _unveiled(text: str) -> str:
+    text = unicodedata.normalize("NFKD", _UNSEEN.sub("", text)).lower()
+    if _MARKS.search(text):
+        text = _MARKS.sub("", unicodedata.normalize("NFC", _ACCENTS.sub("", text)))
+    else:
+        text = unicodedata.normalize("NFC", text)
+    return text.translate(_TABLE) if _LOOKS.search(text) else text
+
+
+@lru_cache(maxsize=1 << 16)
+def _plain(char: str) -> str | None:
+    """What stands for a character wherever it is, None if that depends on its neighbours."""
+    return None if unicodedata.combining(char) or "\u1100" <= char <= "\u11ff" else _unveiled(char)
+
+
+def unveil(text: str) -> str:
+    """The text lower-cased, without invisible characters, widths, accents of Latin letters and homoglyphs."""
+    low = text.lower()
+    if low.isascii():
+        return low
+    for char in set(_ODD.findall(low)):
+        plain = _plain(char)
+        if plain is None:
+            return _unveiled(low)
+        if plain != char:
+            low = low.replace(char, plain)
+    return low
+
+
 def fold(text: str) -> str:
     """The text as lower-case words between single spaces, disguises undone."""
-    if not text.isascii() and _WIDTHS.search(text):
-        text = _WIDTHS.sub("", unicodedata.normalize("NFKC", text))
-    text = text.lower()
-    if not text.isascii() and _LOOKS.search(text):
-        text = text.translate(_TABLE)
+    text = unveil(text)
     if _MIXED.search(text):
         text = _WORD.sub(_untwist, text)
     return " " + _GAP.sub(" ", text) + " "
@@ -88,7 +116,7 @@ class Lexicon:
         return {"terms": self.terms, "exceptions": self.exceptions, "coefficients": self.coefficients, "_automaton": None, "_bare": None}
 
     def absent(self, text: str) -> bool:
-        """Whether no term occurs even inside a word and nothing is disguised: then folding is needless."""
+        """Whether no term occurs even inside a word and no digit or sign may stand for a letter: then folding is needless."""
         import ahocorasick
 
         if self._bare is None:
@@ -97,8 +125,8 @@ class Lexicon:
                 self._bare.add_word(term.strip(), 1)
             if len(self._bare):
                 self._bare.make_automaton()
-        low = text.lower()
-        if _MIXED.search(low) or not low.isascii() and _DISGUISE.search(text):
+        low = unveil(text)
+        if _MIXED.search(low):
             return False
         return not len(self._bare) or next(self._bare.iter(low), None) is None
 
