@@ -24,22 +24,42 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, lexicon)
 
 
+#: Ids and sources may be null or repeated, so a stage that leaves the rows and returns to them numbers them first.
+ROW = "_row_of_stage"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a unique ``ROW``, written so that it stays the same."""
+    return common.materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id.
+    """One row of each group of near copies stays: the one with the smallest id, null being the last.
 
-    Texts without words are linked with nothing and stay.
+    Rows that repeat an id, or have none, are rows like others: equal ones are
+    copies of each other.  Texts without words are linked with nothing and stay.
     """
-    gone = ngram_join.ngram_jaccard_join(docs).where("component_id <> doc_id").select("doc_id")
-    gone = common.materialise(gone.distinct(), "gone")
-    return common.small_join(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    linked = ngram_join.ngram_jaccard_join(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("_group"))
+    linked = common.materialise(linked, "linked")
+    several = linked.groupBy("_group").agg(F.count("*").alias("n")).where("n > 1").select("_group")
+    members = common.materialise(common.small_join(linked, several, ["_group"], "left_semi"), "members")
+    place = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", F.xxhash64("text").alias("h"), ROW)
+    placed = rows.select(ROW, place.alias("_place")).join(members, ROW)
+    first = placed.groupBy("_group").agg(F.min("_place").alias("_place")).select(F.col("_place")[ROW].alias(ROW))
+    gone = common.materialise(members.select(ROW).join(first, ROW, "left_anti"), "gone")
+    return common.small_join(rows, gone, [ROW], "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = common.materialise(mixing.mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies"), "copies")
-    took = docs.join(copies, docs["doc_id"] == copies["_id"])
-    again = took.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return again.select(*[docs[c] for c in docs.columns])
+    """Each row as often as the mix takes it: not at all, once or twice.
+
+    Rows that repeat an id, or have none, are taken each as often as the mix takes that row.
+    """
+    rows = numbered(docs)
+    copies = common.materialise(mixing.mix_sources(rows, row=ROW).where("copies > 0").select(ROW, "copies").withColumnRenamed("copies", "_times"), "copies")
+    again = rows.join(copies, ROW).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    return again.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,9 +26,9 @@ WEIGHTS, BUDGET, MOST_COPIES = (3, 1, 2), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a block and open documents that a node of the tree joins.
 BLOCK, FAN_IN = 128, 16
-_KEPT = "doc_id long, size long, source string, source_size long, target double, base long, fraction double, copies long, key string, block long"
+_KEPT = "doc_id long, size long, source string, source_size long, target double, base long, fraction double, copies long, key string, block long, row long, tie long"
 _SCHEMA = pa.schema(
-    [("doc_id", pa.int64()), ("size", pa.int64()), ("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("base", pa.int64()), ("fraction", pa.float64()), ("copies", pa.int64()), ("key", pa.string()), ("block", pa.int64())]
+    [("doc_id", pa.int64()), ("size", pa.int64()), ("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("base", pa.int64()), ("fraction", pa.float64()), ("copies", pa.int64()), ("key", pa.string()), ("block", pa.int64()), ("row", pa.int64()), ("tie", pa.int64())]
 )
 
 
@@ -76,7 +76,7 @@ def _rounded(seed: int, last: bool):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         # long documents first: what stays open at the end is short
-        rows.sort(key=lambda r: (-r["size"], r["doc_id"] is None, r["doc_id"] or 0, r["fraction"]))
+        rows.sort(key=lambda r: (-r["size"], r["doc_id"] is None, r["doc_id"] or 0, r["fraction"], r["tie"], r["row"] or 0))
         after = round_block([(r["doc_id"] or 0, r["size"], r["fraction"]) for r in rows], seed, last)
         for r, f in zip(rows, after, strict=True):
             r["fraction"], r["copies"] = f, None if 0.0 < f < 1.0 else r["base"] + int(f)
@@ -123,16 +123,18 @@ def shares(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
     return by.select("source", "source_size", "n", target.cast("double").alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST_COPIES, seed: int = 11) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST_COPIES, seed: int = 11, row: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies.
 
     ``taken`` is ``size`` times ``copies``, a whole number of at most ``most``.
     A null text has size 0 and takes 0 words; a null source is a source of its
-    own, after all others.  Documents with the same id are separate documents.
+    own, after all others.  Documents with the same id, or none, are separate
+    documents; ``row`` names a column of unique longs to tell them apart by, which
+    is returned too and decides nothing but between equal texts of one id.
     Other columns are not read.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.lit(None).cast("long").alias("row") if row is None else F.col(row).cast("long").alias("row"), F.xxhash64("text").alias("tie"))
     sized = common.materialise(sized, "sized")
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")).alias("key")
     by = common.materialise(shares(sized, weights, budget, most).select(key, "source_size", "n", "target"), "targets")
@@ -158,7 +160,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: flo
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *([] if row is None else [F.col("row").alias(row)]))
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
