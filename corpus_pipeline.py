@@ -75,7 +75,8 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: SQL cannot express the learned stages; the tests hold each stage against a brute-force version.
+#: SQL cannot express the learned stages.  ``tests/llm/test_pipeline.py`` holds the rows that ``deduplicate`` and ``mix`` return against plain
+#: Python; the whole pipeline, and the other stages as stages, are not held against a brute-force version.
 ORACLE_SQL = None
 
 
