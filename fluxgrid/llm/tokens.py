@@ -1,8 +1,9 @@
 """Token ids of whole texts with the ``tokenizers`` library, each distinct word encoded once.
 
 The word tokenizer normalises and splits inside white-space-delimited runs, so
-a text's ids are those of its runs in order.  Runs are found and numbered with
-Arrow, only new ones reach the tokenizer, and ids are gathered by array.
+a text's ids are those of its runs in order.  Runs are found and hashed by array
+(two runs of a worker share a 64-bit hash with a chance of about 1e-8 in all),
+only new ones reach the tokenizer, and ids are gathered by array.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from fluxgrid.llm import common
+from fluxgrid.llm.shingles import hash_spans, word_spans
 
 #: Default vocabulary; every operator takes the path as a parameter.
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
@@ -24,8 +25,9 @@ VOCABULARY, END_ID = "word_bpe_49k.json", 1
 CACHE_RUNS = 800_000
 #: ASCII marks at a run's end; after a letter they are always a token boundary of their own.
 _MARKS = ".,;:!?)%#&*\""
-_WIDE = re.compile("[^\x00-ɏ]")
-#: White space that a character class of the library's normaliser may know and Arrow's split may not, or the reverse.
+#: Letters beyond U+024F, and the one below whose lower case is two characters: such texts are encoded whole.
+_WIDE = re.compile("[^\x00-ɏ]|İ")
+#: White space that a character class of the library's normaliser may know and ours may not, or the reverse.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0]")
 
 
@@ -43,25 +45,34 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _word_ends(path: str) -> np.ndarray:
+    """Whether an id is the last of its word."""
+    ends = np.zeros(_tokenizer(path).get_vocab_size() + 1, bool)
+    for piece, k in _tokenizer(path).get_vocab().items():
+        ends[k] = piece.endswith("</w>")
+    return ends
+
+
 class Encoder:
-    """Encodes lists of texts; remembers the ids of the runs that it has met."""
+    """Encodes lists of texts; remembers the ids of the runs that it has met, by hash."""
 
     def __init__(self, path: str) -> None:
-        self.path, self.ids = path, {}
+        self.path = path
+        self.keys, self.codes = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
-    def _store(self, runs: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        n, total = len(self.ids), len(flat)
+    def _store(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        n, total = len(self.keys), len(flat)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while n + len(runs) > len(self.start):
+        while n + len(sizes) > len(self.start):
             self.start, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.count))
         self.flat[self.used : self.used + total] = flat
-        self.count[n : n + len(runs)] = sizes
-        self.start[n : n + len(runs)] = self.used + np.cumsum(sizes) - sizes
+        self.count[n : n + len(sizes)] = sizes
+        self.start[n : n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
-        self.ids.update(zip(runs, range(n, n + len(runs)), strict=True))
 
     def _gather(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the numbered runs, end to end; where each ends)."""
@@ -70,47 +81,72 @@ class Encoder:
         total = int(ends[-1]) if len(ends) else 0
         return (self.flat[np.arange(total) + np.repeat(self.start[code] - (ends - count), count)] if total else np.empty(0, np.uint32)), ends
 
-    def _learn(self, runs: list[str]) -> None:
-        marked, pieces, whole = [], [], {}
-        for w in runs:
-            stem = w.rstrip(_MARKS)
-            if 0 < len(stem) < len(w) and stem[-1].isalpha():
-                marked.append(w)
-                pieces += (stem, w[len(stem) :])
-                for piece in (stem, w[len(stem) :]):
-                    if piece not in self.ids:
-                        whole[piece] = None
-            else:
-                whole[w] = None
-        new = list(whole)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = [e.ids for e in _tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self._store(part, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
-        if marked:
-            flat, ends = self._gather(np.fromiter(map(self.ids.__getitem__, pieces), np.int64, len(pieces)))
-            self._store(marked, flat, np.diff(ends[1::2], prepend=0))
+    def _each(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in _tokenizer(self.path).encode_batch_fast(runs, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _together(self, runs: list[str], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each run): encoded as one text and cut where so many words end."""
+        ids = np.array(_tokenizer(self.path).encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(_word_ends(self.path)[ids]) + 1
+        if len(ends) != int(words.sum()) or len(ends) and ends[-1] != len(ids):
+            return self._each(runs)
+        return ids, np.diff(ends[np.cumsum(words) - 1], prepend=0)
+
+    def _learned(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of new runs, ids of each, the runs' order in them): letters and marks behind them are one and two words, other runs are encoded apart."""
+        words = np.zeros(len(runs), np.int64)
+        for k, w in enumerate(runs):
+            if w.isalpha():
+                words[k] = 1
+            elif w.rstrip(_MARKS).isalpha():
+                words[k] = 2
+        plain = np.flatnonzero(words)
+        odd = np.flatnonzero(words == 0)
+        parts, sizes = [], np.empty(len(runs), np.int64)
+        for at in range(0, len(plain), 5_000):
+            some = plain[at : at + 5_000]
+            ids, sizes[some] = self._together([runs[k] for k in some], words[some])
+            parts.append(ids)
+        for at in range(0, len(odd), 20_000):
+            some = odd[at : at + 20_000]
+            ids, sizes[some] = self._each([runs[k] for k in some])
+            parts.append(ids)
+        order = np.concatenate([plain, odd])
+        return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), sizes[order], order
+
+    def _codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each run, first run of each text and the total)."""
+        raw, starts, ends, first = word_spans(texts, lower=False)
+        own, at, back = np.unique(hash_spans(raw, starts, ends), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, own)
+        fresh = np.ones(len(own), bool)
+        inside = place < len(self.keys)
+        fresh[inside] = self.keys[place[inside]] != own[inside]
+        new = np.flatnonzero(fresh)
+        if len(new):
+            data = raw.tobytes()
+            flat, sizes, order = self._learned([data[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+            code = np.empty(len(new), np.int64)
+            code[order] = np.arange(len(self.keys), len(self.keys) + len(new))
+            self._store(flat, sizes)
+            self.keys, self.codes = np.insert(self.keys, place[new], own[new]), np.insert(self.codes, place[new], code)
+            place = np.searchsorted(self.keys, own)
+        return self.codes[place][back], first
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(_tokenizer(self.path).encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, without any end id, in order; ids of each text)."""
-        if len(self.ids) > CACHE_RUNS:
+        if len(self.keys) > CACHE_RUNS:
             self.__init__(self.path)
         values = texts.to_pylist()
         plain = {k: self._plain(t) for k, t in enumerate(values) if not t.isascii() and (_WIDE.search(t) or _ODD.search(t)) or "<|" in t or t.isascii() and _ODD.search(t)}
-        lower = pa.array([None if k in plain else t.lower() for k, t in enumerate(values)], pa.string())
-        split = pc.ascii_split_whitespace(pc.fill_null(lower, ""))
-        runs = split.flatten().dictionary_encode()
-        words = runs.dictionary.to_pylist()
-        new = [w for w in words if w not in self.ids]
-        if new:
-            self._learn(new)
-        code = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))[runs.indices.to_numpy()] if words else np.empty(0, np.int64)
+        code, first = self._codes(pa.array(["" if k in plain else t.lower() for k, t in enumerate(values)], pa.string()))
         ids, ends = self._gather(code)
-        edges = np.concatenate([[0], ends])[np.asarray(split.offsets)]
+        edges = np.concatenate([[0], ends])[first]
         sizes = np.diff(edges)
         if plain:
             parts, last = [], 0
@@ -132,12 +168,20 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encoded_documents(batch: pa.RecordBatch, path: str):
-    """(row, its ids with the end id) for each row of the batch, in order."""
+def encoded_chunks(batch: pa.RecordBatch, path: str):
+    """(first row, ids of the chunk's rows with their end ids, ids of each row), in order."""
     text = common.as_string(batch, "text")
     for a, b in common.chunks(text):
         ids, sizes = encoder(path).encode(text.slice(a, b - a))
+        out = np.full(len(ids) + len(sizes), END_ID, np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+        yield a, out, sizes + 1
+
+
+def encoded_documents(batch: pa.RecordBatch, path: str):
+    """(row, its ids with the end id) for each row of the batch, in order."""
+    for a, ids, sizes in encoded_chunks(batch, path):
         at = 0
         for k, n in enumerate(sizes.tolist()):
-            yield a + k, np.append(ids[at : at + n], np.uint32(END_ID)).astype(np.uint32)
+            yield a + k, ids[at : at + n]
             at += n
