@@ -1,9 +1,11 @@
 """Token ids as Re-Pair grammars: a shard file format with random access.
 
-Documents are range-partitioned and sorted by id, encoded, and cut into shards.
-Within a shard the most frequent adjacent id pairs are replaced by new
-nonterminals, again and again (many pairs a round, by falling count), until no
-pair is worth a rule.  No pair crosses a document's end.  A shard stores the rules, the
+Documents are range-partitioned and sorted by id (equal ids by a hash of the
+text), encoded, and cut into shards.  Within a shard the most frequent adjacent
+pairs are replaced by new nonterminals, again and again, until no pair occurs
+often enough to save more bytes than its rule takes, or the 16-bit symbols are used up.  One
+round replaces all pairs at least ``1 / STEP`` as frequent as the most frequent
+one.  No pair crosses a document's end.  A shard stores the rules, the
 number of ids that each nonterminal expands to, where each document begins in
 symbols and in ids, and the symbols in 16 bits where they fit: a document, or
 any range of ids, is decoded without the rest.  Shards are rows of a Parquet
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 from fluxgrid.llm import common, tokens
 
-#: Ids of a shard (a longer document is a shard of its own), symbols among which pairs are counted, rounds and rules.
-SHARD_IDS, FREQUENT, ROUNDS, RULES_A_ROUND, LEAST_COUNT = 1 << 20, 1024, 6, 1024, 12
+#: Ids of a shard (a longer document is a shard of its own); span of counts that one round replaces.
+SHARD_IDS, STEP = 1 << 20, 16
+#: A rule takes 12 bytes and each use saves 2 (16-bit symbols), so it is worth its place from 7 uses on.
+LEAST_COUNT = 7
 
 SHARD_COLUMNS = "part int, shard int, first_id_at long, doc_ids array<long>, doc_start array<long>, doc_symbol array<long>, base long, rules binary, lengths binary, width int, symbols binary, n_ids long"
 _SCHEMA = pa.schema(
@@ -33,56 +37,77 @@ _SCHEMA = pa.schema(
 )
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(symbols, whether each is a document's last, rules as id pairs, first nonterminal) of concatenated documents."""
-    seq, last = ids.astype(np.int64), np.zeros(len(ids), bool)
+    seq, last = ids.astype(np.int32), np.zeros(len(ids), bool)
     last[ends - 1] = True
     base = int(seq.max(initial=0)) + 1
-    most = (1 << 16) - base if base < 1 << 16 else 1 << 31  # symbols stay in 16 bits if ids are
+    most = (1 << 16) - base if base < 1 << 16 else 1 << 30  # symbols stay in 16 bits if ids are
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        n = len(seq)
-        if n < 2 or made >= most:
-            break
-        count = np.bincount(seq)
-        top = np.argsort(-count, kind="stable")[:FREQUENT]
-        rank = np.full(len(count), -1, np.int32)
-        rank[top] = np.arange(len(top))
+    while made < most and len(seq) > 1:
+        # a pair is as frequent as its rarer half at most, so only these symbols are numbered, from 1
+        count = np.bincount(seq, minlength=base + made)
+        often = np.flatnonzero(count >= least)
+        if len(often) >= 1 << 16:
+            often = np.sort(often[np.argsort(-count[often], kind="stable")[: (1 << 16) - 1]])
+        rank = np.zeros(len(count), np.uint32)
+        rank[often] = np.arange(1, len(often) + 1)
         r = rank[seq]
-        ok = (r[:-1] >= 0) & (r[1:] >= 0) & ~last[:-1]
-        code = r[:-1] * np.int32(FREQUENT) + r[1:]
-        pairs = np.bincount(code[ok], minlength=FREQUENT * FREQUENT)
-        best = np.argpartition(-pairs, RULES_A_ROUND)[: min(RULES_A_ROUND, most - made)]
-        best = best[pairs[best] >= LEAST_COUNT]
-        if not len(best):
+        code = (r[:-1] << np.uint32(16)) | r[1:]
+        code[(r[:-1] == 0) | (r[1:] == 0) | last[:-1]] = 0
+        runs = np.sort(code)
+        head = np.concatenate([[0], np.flatnonzero(runs[1:] != runs[:-1]) + 1])
+        pair, times = runs[head], np.diff(head, append=len(runs))
+        worth = (times >= least) & (pair > 0)
+        pair, times = pair[worth], times[worth]
+        if not len(pair):
             break
-        best = best[np.argsort(-pairs[best], kind="stable")]
-        number = np.full(FREQUENT * FREQUENT, -1, np.int32)
-        number[best] = np.arange(len(best))
-        hit = np.where(ok, number[code], -1)
-        at = np.flatnonzero(hit >= 0)
+        worth = times >= max(least, int(times.max()) // STEP)
+        pair = np.sort(pair[worth][np.argsort(-times[worth], kind="stable")[: most - made]])
+        at, which = _places(code, pair)
         # occurrences that overlap: in a run of adjacent ones, every second stands
         head = np.ones(len(at), bool)
         head[1:] = np.diff(at) > 1
         start = at[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
-        at = at[(at - start) % 2 == 0]
-        used = np.bincount(hit[at], minlength=len(best))
-        keep = used >= LEAST_COUNT // 2
-        at = at[keep[hit[at]]]
-        if not len(at) or len(at) < n // 200 and made:
-            break
-        fresh = np.cumsum(keep) - 1
-        rules.append(np.stack([top[best[keep] // FREQUENT], top[best[keep] % FREQUENT]], axis=1))
-        seq[at] = base + made + fresh[hit[at]]
+        stands = (at - start) % 2 == 0
+        at, which = at[stands], which[stands]
+        used = np.bincount(which, minlength=len(pair))
+        keep = used >= least
+        if not keep.any():
+            # pairs in each other's way: the most frequent goes alone, or none is worth a rule
+            alone = pair[[int(used.argmax())]]
+            at, which = _places(code, alone)
+            free = np.ones(len(at), bool)
+            for k in range(1, len(at)):
+                free[k] = at[k] - at[k - 1] > 1 or not free[k - 1]
+            at, which, pair = at[free], which[free], alone
+            if len(at) < least:
+                break
+            keep = np.ones(1, bool)
+        at, which = at[keep[which]], (np.cumsum(keep) - 1)[which[keep[which]]]
+        pair = pair[keep].astype(np.int64)
+        rules.append(np.stack([often[(pair >> 16) - 1], often[(pair & 0xFFFF) - 1]], axis=1))
+        seq[at] = base + made + which
         last[at] |= last[at + 1]
-        stay = np.ones(n, bool)
+        stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
-        made += int(keep.sum())
+        made += len(pair)
     return seq, last, np.concatenate(rules) if rules else np.empty((0, 2), np.int64), base
 
 
+def _places(code: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where one of the sorted pairs stands, which one); a table of hashed pairs spares most lookups."""
+    odd, shift = np.uint32(2654435761), np.uint32(12)
+    table = np.zeros(1 << 20, bool)
+    table[(pair * odd) >> shift] = True
+    at = np.flatnonzero(table[(code * odd) >> shift])
+    which = np.minimum(np.searchsorted(pair, code[at]), len(pair) - 1)
+    true = pair[which] == code[at]
+    return at[true], which[true]
+
+
 class Grammar:
     """A shard's rules; decodes whole symbol ranges or any range of ids."""
 
@@ -90,13 +115,15 @@ class Grammar:
         self.base, self.rules = base, rules
         self.length = np.concatenate([np.ones(base, np.int64), lengths])
         self.begin = np.cumsum(lengths) - lengths
-        self.flat = np.empty(int(lengths.sum()), np.uint32)
-        for k, (x, y) in enumerate(rules.tolist()):  # a rule only uses earlier ones
-            at = self.begin[k]
-            for s in (x, y):
-                n = self.length[s]
-                self.flat[at : at + n] = s if s < base else self.flat[self.begin[s - base] : self.begin[s - base] + n]
-                at += n
+        flat = rules.ravel().astype(np.int64)
+        while len(inner := np.flatnonzero(flat >= base)):  # as often as rules are nested
+            half = np.ones(len(flat), np.int64)
+            half[inner] = 2
+            second = np.cumsum(half)[inner] - 1
+            inside = flat[inner] - base
+            flat = np.repeat(flat, half)
+            flat[second - 1], flat[second] = rules[inside, 0], rules[inside, 1]
+        self.flat = flat.astype(np.uint32)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         symbols = symbols.astype(np.int64)
@@ -161,27 +188,44 @@ def _written(path: str, shard_ids: int):
 
 
 def write_token_ids(docs: DataFrame, out: str, path: str | None = None, shard_ids: int = SHARD_IDS) -> None:
-    """Write the ids of all documents, each with the end id, in ascending ``doc_id`` order (nulls first) as shards at ``out``."""
+    """Write the ids of all documents, each with the end id, in ascending ``doc_id`` order (nulls first) as shards at ``out``.
+
+    Rows with one id, or without, come in the order of a hash of their texts, so reruns place them alike and no task holds them all.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = max(common.shuffle_partitions(docs.sparkSession), 2)
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     ordered.mapInArrow(_written(path or tokens.vocabulary_path(), shard_ids), SHARD_COLUMNS).write.parquet(out)
 
 
+def _grammar(row: dict) -> tuple[Grammar, np.ndarray]:
+    """(rules, symbols) of a stored shard."""
+    rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2).astype(np.int64)
+    return Grammar(row["base"], rules, np.frombuffer(row["lengths"], "<u4").astype(np.int64)), np.frombuffer(row["symbols"], f"<u{row['width']}")
+
+
+def _offsets(shards: DataFrame) -> dict[int, int]:
+    """Ids before each partition: one row per partition reaches the driver."""
+    totals = {r[0]: r[1] for r in shards.groupBy("part").agg(F.sum("n_ids")).collect()}
+    offsets, at = {}, 0
+    for part in sorted(totals):
+        offsets[part], at = at, at + totals[part]
+    return offsets
+
+
 def _digests(offsets: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                at = offsets[row["part"]] + row["first_id_at"]
-                symbols = np.frombuffer(row["symbols"], f"<u{row['width']}")
-                grammar = Grammar(row["base"], np.frombuffer(row["rules"], "<u4").reshape(-1, 2), np.frombuffer(row["lengths"], "<u4").astype(np.int64))
-                ids = grammar.expand(symbols)
-                start = np.array(row["doc_start"], np.int64)
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k].as_py() for name in ("part", "first_id_at", "base", "rules", "lengths", "width", "symbols", "n_ids")}
+                grammar, symbols = _grammar(row)
+                ids = memoryview(grammar.expand(symbols).astype("<u4").view(np.uint8))
+                doc_ids, start = batch.column("doc_ids")[k].values, batch.column("doc_start")[k].values.to_numpy()
                 ends = np.append(start[1:], row["n_ids"])
-                raw = ids.astype("<u4").tobytes()
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)]
+                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(start + at), pa.array(ends - start), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
+                    [doc_ids, pa.array(start + (offsets[row["part"]] + row["first_id_at"])), pa.array(ends - start), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
     return run
@@ -190,18 +234,56 @@ def _digests(offsets: dict[int, int]):
 def read_token_digests(spark, out: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the shards at ``out`` alone."""
     shards = spark.read.schema(SHARD_COLUMNS).parquet(out)
-    totals = {r[0]: r[1] for r in shards.groupBy("part").agg(F.sum("n_ids")).collect()}  # one row per partition
-    offsets, at = {}, 0
-    for part in sorted(totals):
-        offsets[part], at = at, at + totals[part]
-    return shards.mapInArrow(_digests(offsets), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.mapInArrow(_digests(_offsets(shards)), "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _documents(wanted: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                grammar, symbols = _grammar(row)
+                starts, firsts = [*row["doc_start"], row["n_ids"]], [*row["doc_symbol"], len(symbols)]
+                for k, doc_id in enumerate(row["doc_ids"]):
+                    if doc_id in wanted:
+                        ids = grammar.between(symbols[firsts[k] : firsts[k + 1]], 0, starts[k + 1] - starts[k])
+                        yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return run
+
+
+def read_documents(spark, out: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of the given documents; only shards that hold one are read, and only its own symbols are expanded."""
+    shards = spark.read.schema(SHARD_COLUMNS).parquet(out)
+    held = shards.where(F.exists("doc_ids", lambda x: x.isin(doc_ids)))
+    return held.mapInArrow(_documents(doc_ids), "doc_id long, ids array<long>")
+
+
+def _ranges(offsets: dict[int, int], start: int, stop: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = offsets[row["part"]] + row["first_id_at"]
+                a, b = max(start - at, 0), min(stop - at, row["n_ids"])
+                if a < b:
+                    grammar, symbols = _grammar(row)
+                    ids = grammar.between(symbols, a, b)
+                    yield pa.RecordBatch.from_arrays([pa.array([at + a], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int64()))], names=["start", "ids"])
+
+    return run
+
+
+def read_id_range(spark, out: str, start: int, stop: int) -> DataFrame:
+    """(start, ids) of the stored ids ``start`` to ``stop``, one row per shard that holds some of them."""
+    shards = spark.read.schema(SHARD_COLUMNS).parquet(out)
+    return shards.mapInArrow(_ranges(_offsets(shards), start, stop), "start long, ids array<long>")
 
 
 def op4_repair_tokens(spark, sf_dir: str) -> DataFrame:
     """All documents' ids written as Re-Pair shards and read back.
 
     Null and empty texts are their end id alone; documents with equal or null
-    ids are kept each; other columns are not read; an empty table gives no rows.
+    ids are kept each, in the order of a hash of their texts; other columns are
+    not read; an empty table gives no rows.
     """
     out = f"{common.shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
     write_token_ids(common.table(spark, sf_dir, "documents"), out)
