@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from fluxgrid.llm import common, tokens
 
 #: Ids of a shard (a longer document is a shard of its own); span of counts that one round replaces.
-SHARD_IDS, STEP = 1 << 20, 16
+SHARD_IDS, STEP = 1 << 20, 256
 #: A rule takes 12 bytes and each use saves 2 (16-bit symbols), so it is worth its place from 7 uses on.
 LEAST_COUNT = 7
 
@@ -39,7 +39,7 @@ _SCHEMA = pa.schema(
 
 def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(symbols, whether each is a document's last, rules as id pairs, first nonterminal) of concatenated documents."""
-    seq, last = ids.astype(np.int32), np.zeros(len(ids), bool)
+    seq, last = ids.astype(np.int64), np.zeros(len(ids), bool)
     last[ends - 1] = True
     base = int(seq.max(initial=0)) + 1
     most = (1 << 16) - base if base < 1 << 16 else 1 << 30  # symbols stay in 16 bits if ids are
@@ -64,7 +64,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> tup
         if not len(pair):
             break
         worth = times >= max(least, int(times.max()) // STEP)
-        pair = np.sort(pair[worth][np.argsort(-times[worth], kind="stable")[: most - made]])
+        pair = pair[worth][np.argsort(-times[worth], kind="stable")[: most - made]]
         at, which = _places(code, pair)
         # occurrences that overlap: in a run of adjacent ones, every second stands
         head = np.ones(len(at), bool)
@@ -98,14 +98,26 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> tup
 
 
 def _places(code: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(where one of the sorted pairs stands, which one); a table of hashed pairs spares most lookups."""
-    odd, shift = np.uint32(2654435761), np.uint32(12)
-    table = np.zeros(1 << 20, bool)
-    table[(pair * odd) >> shift] = True
-    at = np.flatnonzero(table[(code * odd) >> shift])
-    which = np.minimum(np.searchsorted(pair, code[at]), len(pair) - 1)
-    true = pair[which] == code[at]
-    return at[true], which[true]
+    """(where one of the pairs stands, in order; which one) by a table of hashed pairs; pairs that lose their slot take part in the next pass."""
+    odd, left = 2654435761, np.arange(1, len(pair) + 1, dtype=np.int32)
+    places, found = [], []
+    while len(left):
+        bits = max(10, len(left).bit_length() + 3)
+        shift, table = np.uint32(32 - bits), np.zeros(1 << bits, np.int32)
+        slot = (pair[left - 1] * np.uint32(odd)) >> shift
+        table[slot] = left
+        hit = table[(code * np.uint32(odd)) >> shift]
+        at = np.flatnonzero(hit)
+        which = hit[at] - 1
+        true = pair[which] == code[at]
+        places.append(at[true])
+        found.append(which[true])
+        left, odd = left[table[slot] != left], odd * 747796405 % (1 << 32)
+    if len(places) == 1:
+        return places[0], found[0]
+    at, which = np.concatenate(places), np.concatenate(found)
+    order = np.argsort(at, kind="stable")
+    return at[order], which[order]
 
 
 class Grammar:

@@ -22,13 +22,15 @@ from fluxgrid.llm.shingles import hash_spans, word_spans
 #: Default vocabulary; every operator takes the path as a parameter.
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 #: Distinct runs that a worker remembers; when it has more, it starts anew (results do not depend on it).
-CACHE_RUNS = 800_000
-#: ASCII marks at a run's end; after a letter they are always a token boundary of their own.
-_MARKS = ".,;:!?)%#&*\""
-#: Letters beyond U+024F, and the one below whose lower case is two characters: such texts are encoded whole.
-_WIDE = re.compile("[^\x00-ɏ]|İ")
-#: White space that a character class of the library's normaliser may know and ours may not, or the reverse.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0]")
+CACHE_RUNS = 3_000_000
+#: ASCII marks; behind an ASCII letter a run of them at a word's end is always a word of its own.
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+#: Texts that are encoded whole: with what may begin a special token, with white space that the library's normaliser may know and ours
+#: may not, or the reverse, with letters beyond U+024F or one whose lower case is two characters.
+_ALONE, _WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f"), re.compile("[^\x00-ɏ]|[İ\x85\xa0]")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -86,39 +88,36 @@ class Encoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
-    def _together(self, runs: list[str], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids of each run): encoded as one text and cut where so many words end."""
-        ids = np.array(_tokenizer(self.path).encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, np.uint32)
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each) of words of letters alone: encoded as one text and cut where a word ends."""
+        ids = np.array(_tokenizer(self.path).encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(_word_ends(self.path)[ids]) + 1
-        if len(ends) != int(words.sum()) or len(ends) and ends[-1] != len(ids):
-            return self._each(runs)
-        return ids, np.diff(ends[np.cumsum(words) - 1], prepend=0)
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._each(words)
+        return ids, np.diff(ends, prepend=0)
 
     def _learned(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of new runs, ids of each, the runs' order in them): letters and marks behind them are one and two words, other runs are encoded apart."""
-        words = np.zeros(len(runs), np.int64)
-        for k, w in enumerate(runs):
-            if w.isalpha():
-                words[k] = 1
-            elif w.rstrip(_MARKS).isalpha():
-                words[k] = 2
-        plain = np.flatnonzero(words)
-        odd = np.flatnonzero(words == 0)
-        parts, sizes = [], np.empty(len(runs), np.int64)
-        for at in range(0, len(plain), 5_000):
-            some = plain[at : at + 5_000]
-            ids, sizes[some] = self._together([runs[k] for k in some], words[some])
-            parts.append(ids)
-        for at in range(0, len(odd), 20_000):
-            some = odd[at : at + 20_000]
-            ids, sizes[some] = self._each([runs[k] for k in some])
-            parts.append(ids)
-        order = np.concatenate([plain, odd])
-        return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), sizes[order], order
+        """(ids of new runs, ids of each, the runs' order in them): letters alone are encoded together, other runs apart."""
+        letters = np.fromiter(map(str.isalpha, runs), bool, len(runs))
+        order = [np.flatnonzero(letters), np.flatnonzero(~letters)]
+        parts = []
+        for rows, encode in zip(order, (self._together, self._each), strict=True):
+            parts += [encode([runs[k] for k in rows[at : at + 5_000].tolist()]) for at in range(0, len(rows), 5_000)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate(order)
 
     def _codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(number of each run, first run of each text and the total)."""
+        """(number of each run, first run of each text and the total); marks behind a letter are runs of their own."""
         raw, starts, ends, first = word_spans(texts, lower=False)
+        cut = ends.copy()
+        at = np.arange(len(cut))
+        while len(at := at[_MARK[raw[cut[at] - 1]]]):
+            cut[at] -= 1
+            at = at[cut[at] > starts[at]]
+        split = (cut < ends) & (cut > starts) & _LETTER[raw[cut - 1]]
+        number = np.cumsum(split + 1)
+        starts, ends, second = np.repeat(starts, split + 1), np.repeat(ends, split + 1), number[split] - 1
+        starts[second] = ends[second - 1] = cut[split]
+        first = np.concatenate([[0], number])[first]
         own, at, back = np.unique(hash_spans(raw, starts, ends), return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, own)
         fresh = np.ones(len(own), bool)
@@ -143,7 +142,7 @@ class Encoder:
         if len(self.keys) > CACHE_RUNS:
             self.__init__(self.path)
         values = texts.to_pylist()
-        plain = {k: self._plain(t) for k, t in enumerate(values) if not t.isascii() and (_WIDE.search(t) or _ODD.search(t)) or "<|" in t or t.isascii() and _ODD.search(t)}
+        plain = {k: self._plain(t) for k, t in enumerate(values) if any(x in t for x in _ALONE) or not t.isascii() and _WHOLE.search(t)}
         code, first = self._codes(pa.array(["" if k in plain else t.lower() for k, t in enumerate(values)], pa.string()))
         ids, ends = self._gather(code)
         edges = np.concatenate([[0], ends])[first]
@@ -171,7 +170,7 @@ def encoder(path: str) -> Encoder:
 def encoded_chunks(batch: pa.RecordBatch, path: str):
     """(first row, ids of the chunk's rows with their end ids, ids of each row), in order."""
     text = common.as_string(batch, "text")
-    for a, b in common.chunks(text):
+    for a, b in common.chunks(text, 2 * common.CHUNK_BYTES):
         ids, sizes = encoder(path).encode(text.slice(a, b - a))
         out = np.full(len(ids) + len(sizes), END_ID, np.uint32)
         out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
