@@ -13,11 +13,12 @@ reaches into the band below emits there too.
 
 Signatures with more than ``group_cap`` nodes are *hot*.  A node that has enough
 others left, thanks to the reserve, does without them.  The rest (large groups
-of near copies, texts that are mostly one common passage) are refined by their features:
-they meet by each rare one, or else by the few common ones that a link must
-share.  There, pivots of a group are compared with all of it, which connects the
-families; only pairs that are not connected after that are compared one by one.
-No pair is dropped by a cap.
+of near copies, texts that are mostly one common passage) settle in two steps.
+First a few pivots of each hot group are compared with all of it, which connects
+the families.  Nodes of groups that still hold several components then meet by their
+features: with needed overlap ``t * size``, the ``size - t * size + 1`` rarest in an
+order common to all hold a shared one, and only components that share one
+are compared, pivots first.  No pair is dropped by a cap.
 
 A pair of a small group must share as many signatures as a link leaves; then it
 is compared exactly, on its whole sets, unless it is connected already.
@@ -29,8 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxgrid.llm import common
@@ -38,8 +38,8 @@ from fluxgrid.llm.shingles import U, mix, shingle_sets
 
 #: Largest size of the first band and its parts; both grow by four from band to band.
 BAND_SIZE, BAND_PARTS = 384, 256
-#: Signatures that one reduce task handles, and bytes of text that make one.
-BUCKET_ROWS, BYTES_PER_SIGNATURE = 400_000, 9
+#: Signatures of a bucket, of the slices in which a task works through it, and bytes of text that make one.
+BUCKET_ROWS, SLICE_ROWS, BYTES_PER_SIGNATURE = 2_000_000, 300_000, 9
 LOW_BITS = U((1 << 47) - 1)
 
 
@@ -86,7 +86,7 @@ def _sized(num: int, den: int):
                 sets = shingle_sets(text.slice(a, b - a))
                 n += map(len, sets)
                 fp += map(_fingerprint, sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "h", "n_shingles", "node"])
 
     return run
 
@@ -104,6 +104,7 @@ def _signed(num: int, den: int, buckets: int):
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             table = np.array(nodes, dtype=np.int64)
+            fp, size, info = table[:, 0], table[:, 1].astype(np.uint32), (table[:, 2] << 27 | table[:, 3]).astype(np.uint32)
             out = {"bucket": [], "sig": [], "own": [], "nodes": []}
             for k in range(buckets):
                 at = order[cut[k] : cut[k + 1]]
@@ -112,7 +113,7 @@ def _signed(num: int, den: int, buckets: int):
                     out["bucket"].append(k)
                     out["sig"].append(np.ascontiguousarray(sig[at].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
                     out["own"].append(local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes())
-                    out["nodes"].append(table[used].tobytes())
+                    out["nodes"].append(fp[used].tobytes() + size[used].tobytes() + info[used].tobytes())
             return pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("own", pa.binary()), ("nodes", pa.binary())]))
 
         for batch in batches:
@@ -157,45 +158,43 @@ def _grouped(num: int, den: int, cap: int):
     def run(table: pa.Table) -> pa.Table:
         sig, own, nodes, base = [], [], [], 0
         for s, o, t in zip(table["sig"].to_pylist(), table["own"].to_pylist(), table["nodes"].to_pylist(), strict=True):
-            rows = np.frombuffer(t, np.int64).reshape(-1, 4)
+            n = len(t) // 16
+            rest = np.frombuffer(t, np.uint32, offset=8 * n).astype(np.int64)
+            rows = np.empty((n, 4), np.int64)
+            rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] = np.frombuffer(t, np.int64, n), rest[:n], rest[n:] >> 27, rest[n:] & ((1 << 27) - 1)
             wide = np.zeros((len(s) // 6, 8), np.uint8)
             wide[:, :6] = np.frombuffer(s, np.uint8).reshape(-1, 6)
             sig.append(wide.view(np.uint64).ravel())
-            own.append(np.frombuffer(o, np.uint16 if len(rows) < 1 << 16 else np.uint32).astype(np.int64) + base)
+            own.append((np.frombuffer(o, np.uint16 if n < 1 << 16 else np.uint32) + np.int64(base)).astype(np.int32))
             nodes.append(rows)
-            base += len(rows)
+            base += n
         sig, own, nodes = np.concatenate(sig), np.concatenate(own), np.concatenate(nodes)
-        main, sig = (sig >> U(47)) == 1, sig & LOW_BITS
-        order = np.lexsort((nodes[own, 0], sig))
-        sig, own, main = sig[order], own[order], main[order]
-        new = np.ones(len(sig), bool)  # a node that several tasks have sent counts once
-        new[1:] = (sig[1:] != sig[:-1]) | (nodes[own[1:], 0] != nodes[own[:-1], 0])
-        sig, own, main = sig[new], own[new], main[new]
-        first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]))
-        count = np.diff(np.append(first, len(sig)))
-        some = (count > 1) & (count <= cap)
-        i, j = _pairs_of_groups(first[some], count[some])
-        small, large = np.minimum(nodes[own[i], 1], nodes[own[j], 1]), np.maximum(nodes[own[i], 1], nodes[own[j], 1])
-        fits = small * den >= large * num
-        i, j = own[i[fits]], own[j[fits]]
         ids, local = np.unique(nodes[:, 0], return_inverse=True)
-        left, right = np.minimum(local[i], local[j]), np.maximum(local[i], local[j])
-        code, at, times = np.unique((left * len(ids) + right) * 32 + nodes[i, 2], return_index=True, return_counts=True)
-        spare = nodes[:, 3] // 2 - nodes[:, 1] * (den - num) // num
-        least = np.minimum(spare[i[at]], spare[j[at]])
-        pairs = np.stack([ids[code // 32 // max(len(ids), 1)], ids[code // 32 % max(len(ids), 1)], times, code % 32, least])
-        hot = np.repeat(count > cap, count)
-        rows = nodes[own[hot]]
-        p, h = pairs.shape[1], len(rows)
+        slices = len(sig) // SLICE_ROWS + 1
+        slice_ = ((sig & LOW_BITS) >> U(20)) % U(slices)
+        found, hot = [], []
+        for k in range(slices):
+            at = slice_ == U(k)
+            x, y = _slice(sig[at], own[at], nodes, local, len(ids), num, den, cap)
+            found.append(x)
+            hot.append(y)
+        code, times, least = (np.concatenate(x) for x in zip(*found, strict=True))
+        code, back = np.unique(code, return_inverse=True)
+        shared = np.zeros(len(code), np.int64)
+        np.add.at(shared, back, times)
+        fewest = np.empty(len(code), np.int64)
+        fewest[back] = least
+        rows, g, main = (np.concatenate(x) for x in zip(*hot, strict=True))
+        p, h, n = len(code), len(rows), max(len(ids), 1)
         return pa.Table.from_arrays(
             [
                 pa.array(np.repeat(np.array([0, 1], np.int32), [p, h])),
-                pa.array(np.concatenate([pairs[0], rows[:, 0]])),
-                pa.array(np.concatenate([pairs[1], sig[hot].astype(np.int64)])),
-                pa.array(np.concatenate([pairs[2], rows[:, 1]])),
-                pa.array(np.concatenate([pairs[3], rows[:, 2]]).astype(np.int32)),
-                pa.array(np.concatenate([pairs[4], rows[:, 3]])),
-                pa.array(np.concatenate([np.zeros(p, bool), main[hot]])),
+                pa.array(np.concatenate([ids[code // 32 // n], rows[:, 0]])),
+                pa.array(np.concatenate([ids[code // 32 % n], g])),
+                pa.array(np.concatenate([shared, rows[:, 1]])),
+                pa.array(np.concatenate([code % 32, rows[:, 2]]).astype(np.int32)),
+                pa.array(np.concatenate([fewest, rows[:, 3]])),
+                pa.array(np.concatenate([np.zeros(p, bool), main])),
             ],
             schema=schema,
         )
@@ -203,6 +202,28 @@ def _grouped(num: int, den: int, cap: int):
     return run
 
 
+def _slice(sig: np.ndarray, own: np.ndarray, nodes: np.ndarray, local: np.ndarray, width: int, num: int, den: int, cap: int):
+    """((pair and band as one number, signatures shared, needed) of small groups, (node rows, signature, main) of hot ones)."""
+    main, sig = (sig >> U(47)) == 1, sig & LOW_BITS
+    order = np.lexsort((local[own], sig))
+    sig, own, main = sig[order], own[order], main[order]
+    new = np.ones(len(sig), bool)  # a node that several tasks have sent counts once
+    new[1:] = (sig[1:] != sig[:-1]) | (local[own[1:]] != local[own[:-1]])
+    sig, own, main = sig[new], own[new], main[new]
+    first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]))
+    count = np.diff(np.append(first, len(sig)))
+    some = (count > 1) & (count <= cap)
+    i, j = _pairs_of_groups(first[some], count[some])
+    small, large = np.minimum(nodes[own[i], 1], nodes[own[j], 1]), np.maximum(nodes[own[i], 1], nodes[own[j], 1])
+    fits = small * den >= large * num
+    i, j = own[i[fits]], own[j[fits]]
+    left, right = np.minimum(local[i], local[j]), np.maximum(local[i], local[j])
+    code, at, times = np.unique((left * width + right) * 32 + nodes[i, 2], return_index=True, return_counts=True)
+    spare = [nodes[k, 3] // 2 - nodes[k, 1] * (den - num) // num for k in (i[at], j[at])]
+    hot = np.repeat(count > cap, count)
+    return (code, times, np.minimum(*spare)), (nodes[own[hot]], sig[hot].astype(np.int64), main[hot])
+
+
 def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = common.as_string(batch, "text")
@@ -252,102 +273,111 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(features))], names=["node", "size", "feature"])
 
 
-def _refined(population: DataFrame, sets: DataFrame, num: int, den: int, cap: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs a, b that share a rare feature; groups g, node, size, com, pos for pairs that share none).
+def _prefixes(population: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(g, node, size, rest): the features by which nodes of ``population`` meet, one row each.
 
-    A feature is rare if at most ``cap`` nodes of the population have it, else
-    common; ``com`` is how many common ones a node has.  A link needs an
-    intersection of ``num * (sizes) / (num + den)`` features.  A pair that shares rare
-    features meets by them and goes if they and all common ones of either would not
-    suffice.  Any other shares common ones only, so one of the first
-    ``com - needed + 1`` of either side, in an order common to all, rarest first.
+    In an order common to all, rarest in the population first, a link shares one
+    of the first ``size - needed + 1`` features of either side.  Features that one
+    node has lead to nobody and are left out, but count.  ``rest`` is how
+    many features the node has from there on: an overlap that is first met there is no larger.
     """
     with common.arrow_rows(population.sparkSession, 400):
         rows = sets.join(population.select("node"), "node", "left_semi").select("node", "features").mapInArrow(_exploded, "node long, size long, feature long")
         rows = common.materialise(rows, "features")
     often = rows.groupBy("feature").agg(F.count("*").alias("n")).where("n > 1")
-    known = common.materialise(rows.join(often, "feature"), "known")
-    frequent = known.where(F.col("n") > cap)
-    com = frequent.groupBy("node").agg(F.count("*").alias("com"))
-    rare = known.where(F.col("n") <= cap)
-    x, y = (rare.select("feature", F.col("node").alias(k), F.col("size").alias(f"s{k}")) for k in "ab")
-    met = x.join(y, "feature").where("a < b").groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("shared"))
-    for side in "ab":
-        met = met.join(com.select(F.col("node").alias(side), F.col("com").alias(f"com_{side}")), side, "left")
-    most = F.col("shared") + F.least(F.coalesce("com_a", F.lit(0)), F.coalesce("com_b", F.lit(0)))
-    pairs = common.materialise(met.where(most * (num + den) >= (F.col("sa") + F.col("sb")) * num).select("a", "b"), "rare")
-    pos = F.row_number().over(W.partitionBy("node").orderBy("n", "feature"))
-    # no partner needs less than this share of the node's own size
-    able = frequent.join(com.join(rows.select("node", "size").distinct(), "node").where(F.col("com") * den >= F.col("size") * num).select("node", "com"), "node")
-    first = able.withColumn("pos", pos).where((F.col("com") - F.col("pos") + 1) * den >= F.col("size") * num)
-    return pairs, common.materialise(first.select(F.col("feature").alias("g"), "node", "size", "com", "pos"), "first")
-
-
-def _linked(pairs: DataFrame, groups: DataFrame | None, sets: DataFrame, num: int, den: int, rounds: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
-    """(node, component) of the candidate pairs and of the pairs within ``groups`` (see ``_refined``).
-
-    Only pairs of nodes that are not connected yet are compared.  First each
-    node with its least partner, and groups through pivots: in each round, some of a
-    group's nodes are compared with all of it, first the one with the most common
-    features, then ones drawn by hash.  That joins the large families; the
-    pairs that remain open after the rounds are all compared.
-    """
-    spark = pairs.sparkSession
-    label: DataFrame | None = None
-
-    def apart(p: DataFrame) -> DataFrame:
-        if label is None:
-            return p.where("a <> b")
-        for side in ("a", "b"):
-            p = p.join(label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-        return p.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    def learn(p: DataFrame) -> None:
-        nonlocal label
-        with common.arrow_rows(spark, 400):
-            got = common.materialise(_compare(p, sets).where(F.col("inter") * den >= F.col("uni") * num).select("a", "b"), "links")
-        if label is not None:
+    by = rows.join(often, "feature").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "feature"))).alias("f"))
+    alone = F.col("size") - F.size("f")
+    wanted = F.col("size") - F.ceil(F.col("size") * num / den) + 1 - alone
+    by = by.select("node", "size", alone.alias("alone"), F.slice("f", F.lit(1), F.greatest(wanted, F.lit(0)).cast("int")).alias("f"))
+    met = by.select("node", "size", "alone", F.posexplode("f").alias("pos", "f"))
+    return common.materialise(met.select(F.col("f.feature").alias("g"), "node", "size", (F.col("size") - F.col("alone") - F.col("pos")).alias("rest")), "prefixes")
+
+
+class _Links:
+    """Components as far as they are known.  Only pairs that are not connected yet are compared."""
+
+    def __init__(self, sets: DataFrame, num: int, den: int) -> None:
+        self.sets, self.num, self.den = sets, num, den
+        self.label: DataFrame | None = None
+
+    def _with_component(self, rows: DataFrame, node: str, name: str) -> DataFrame:
+        if self.label is None:
+            return rows.withColumn(name, F.col(node))
+        known = self.label.select(F.col("node").alias(node), F.col("component").alias(name))
+        return common.small_join(rows, known, [node], "left").withColumn(name, F.coalesce(name, node))
+
+    def learn(self, pairs: DataFrame) -> None:
+        """Compare the pairs (a, b) that are apart."""
+        apart = self._with_component(self._with_component(pairs.select("a", "b").distinct(), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+        with common.arrow_rows(self.sets.sparkSession, 400):
+            got = common.materialise(_compare(apart, self.sets).where(F.col("inter") * self.den >= F.col("uni") * self.num).select("a", "b"), "links")
+        if self.label is not None:
             if got.isEmpty():
                 return
-            got = got.union(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        label = common.materialise(common.connected_components(got), "label")
+            got = got.union(self.label.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        self.label = common.materialise(common.connected_components(got), "label")
+
+    def mixed(self, groups: DataFrame) -> DataFrame:
+        """(g, node, size, rest, c): the groups that hold several components."""
+        seen = self._with_component(groups.select("g", "node", "size", "rest"), "node", "c")
+        several = common.materialise(seen.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g"), "several")
+        return common.materialise(common.small_join(seen, several, ["g"], "left_semi"), "mixed")
+
+    def _can(self) -> Column:
+        return F.least("rest_a", "rest_b") * (self.num + self.den) >= (F.col("size_a") + F.col("size_b")) * self.num
+
+    def star(self, groups: DataFrame, ranks: list[Column]) -> DataFrame:
+        """(a, b): each group's nodes with its pivots, the nodes that come first by one of the ranks."""
+        draws = [F.max(F.struct(r.alias("r"), F.xxhash64("node").alias("h"), *_side("a"))) for r in ranks]
+        pivots = groups.groupBy("g").agg(F.array(*draws).alias("p")).select("g", F.explode("p").alias("p")).select("g", "p.a", "p.size_a", "p.rest_a")
+        pivots = common.materialise(pivots.distinct(), "pivots")
+        met = common.small_join(groups.select("g", *_side("b")), pivots, ["g"], "inner")
+        return met.where((F.col("a") != F.col("b")) & self._can()).select("a", "b")
 
-    def side(k: str) -> list:
-        return [F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("size", "com", "pos"))]
+    def stragglers(self, groups: DataFrame) -> DataFrame:
+        """(a, b): all that is still apart in a group; nodes of its largest component need not meet each other."""
+        by = groups.groupBy("g", "c").agg(F.count("*").alias("n"))
+        top = common.materialise(by.groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("top")), "top")
+        now = common.materialise(common.small_join(groups, top, ["g"], "inner"), "stragglers")
+        x = now.where("c <> top").select("g", *_side("a"), F.col("c").alias("c1"), "top")
+        y = now.select("g", *_side("b"), F.col("c").alias("c2"))
+        met = x.join(y, "g").where((F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("top")) | (F.col("a") < F.col("b"))) & self._can())
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    # both have the group's feature among the first of those that a link of these sizes leaves
-    can = F.least(F.col("com_a") - F.col("pos_a"), F.col("com_b") - F.col("pos_b")) + 1
-    can = can * (num + den) >= (F.col("size_a") + F.col("size_b")) * num
-    open_ = groups
+
+def _side(k: str) -> list[Column]:
+    return [F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("rest").alias(f"rest_{k}")]
+
+
+def _by_hash(seed: int, n: int) -> list[Column]:
+    return [F.xxhash64(F.lit(seed + i), F.col("node")) for i in range(n)]
+
+
+def _linked(pairs: DataFrame, hot: DataFrame | None, sets: DataFrame, num: int, den: int, rounds: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(node, component) of all linked nodes: of the pairs, and of the members (g, node, size, rest) of hot groups."""
+    links = _Links(sets, num, den)
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    for k, drawn in enumerate(rounds if groups is not None else ()):
-        # groups that one component holds are settled
-        if label is not None:
-            seen = open_.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-            mixed = seen.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
-            open_ = common.materialise(seen.drop("c").join(mixed, "g"), "open")
-            if open_.isEmpty():
-                break
-        ranks = [F.col("com") / F.col("size")] if k == 0 else [F.xxhash64(F.lit(100 * k + i), F.col("node")) for i in range(drawn)]
-        draws = [F.max(F.struct(r.alias("r"), F.xxhash64("node").alias("h"), *side("a"))) for r in ranks]
-        pivots = open_.groupBy("g").agg(F.array(*draws).alias("p")).select("g", F.explode("p").alias("p")).select("g", *(f"p.{c}" for c in ("a", "size_a", "com_a", "pos_a")))
-        star = open_.select("g", *side("b")).join(pivots, "g").where((F.col("a") != F.col("b")) & can).select("a", "b").distinct()
-        learn(apart(star.union(first) if k == 0 else star))
-    if groups is None:
-        learn(apart(first))
-    rest = apart(pairs)
-    if groups is not None and not open_.isEmpty():
-        # what is still open, by component: nodes of a group's largest component need not meet each other
-        now = open_.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        by = now.groupBy("g", "c").agg(F.count("*").alias("n"))
-        top = by.groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1").drop("cs")
-        now = common.materialise(now.join(top, "g"), "stragglers")
-        x = now.where("c <> top").select("g", *side("a"), F.col("c").alias("c1"), "top")
-        y = now.select("g", *side("b"), F.col("c").alias("c2"))
-        met = x.join(y, "g").where((F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("top")) | (F.col("a") < F.col("b"))) & can)
-        rest = rest.union(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    learn(rest)
-    return label
+    links.learn(first if hot is None else first.union(links.star(hot, _by_hash(0, 1))))
+    links.learn(pairs)
+    if hot is None:
+        return links.label
+    for k, n in enumerate(rounds):
+        hot = links.mixed(hot)
+        if hot.isEmpty():
+            return links.label
+        links.learn(links.star(hot, _by_hash(100 * k + 1, n)))
+    population = common.materialise(links.mixed(hot).select("node").distinct(), "unsettled")
+    if population.isEmpty():
+        return links.label
+    groups = links.mixed(_prefixes(population, sets, num, den))
+    for k, n in enumerate(rounds):
+        if groups.isEmpty():
+            return links.label
+        links.learn(links.star(groups, [F.col("rest") / F.col("size"), *_by_hash(1_000 + 100 * k, n - 1)]))
+        groups = links.mixed(groups)
+    if not groups.isEmpty():
+        links.learn(links.stragglers(groups))
+    return links.label
 
 
 def ngram_jaccard_join(docs: DataFrame, num: int = 75, den: int = 100, group_cap: int = 32) -> DataFrame:
@@ -357,18 +387,20 @@ def ngram_jaccard_join(docs: DataFrame, num: int = 75, den: int = 100, group_cap
     linked; ``component_id`` is the smallest ``doc_id`` reachable by links.
     Null texts count as empty; empty ones are linked with nothing.  Only
     ``doc_id`` and ``text`` are read, so further columns do not matter.  Rows
-    that repeat a ``doc_id`` are separate rows with the same component.
-    An empty table gives no rows.
+    that repeat a ``doc_id`` are separate rows, linked by their own texts.  Rows
+    without ``doc_id`` are linked as others are, but name no component: theirs is the
+    smallest id among those reachable, null if there is none.  An empty table
+    gives no rows.
     """
     if not 0 < num <= den:
         raise ValueError("the threshold must be in (0, 1]")
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sized = common.materialise(docs.mapInArrow(_sized(num, den), "doc_id long, n_shingles long, node long"), "sized")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    sized = common.materialise(docs.mapInArrow(_sized(num, den), "doc_id long, h long, n_shingles long, node long"), "sized")
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(64, size // BYTES_PER_SIGNATURE // BUCKET_ROWS)
-    blocks = docs.mapInArrow(_signed(num, den, buckets), "bucket int, sig binary, own binary, nodes binary")
+    buckets = max(24, size // BYTES_PER_SIGNATURE // BUCKET_ROWS)
+    blocks = docs.select("text").mapInArrow(_signed(num, den, buckets), "bucket int, sig binary, own binary, nodes binary")
     found = blocks.groupBy("bucket").applyInArrow(_grouped(num, den, group_cap), "kind int, a long, b long, size long, band int, sent long, main boolean")
     found = common.materialise(found, "groups")
 
@@ -390,20 +422,21 @@ def ngram_jaccard_join(docs: DataFrame, num: int = 75, den: int = 100, group_cap
         pairs = pairs.join(heat.select(F.col("node").alias(side), "band", F.col("hot").alias(f"hot_{side}")), [side, "band"], "left")
     pairs = pairs.where(F.col("shared") >= F.col("least") - F.greatest(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))).select("a", "b").distinct()
 
-    # the shingle sets of all nodes that any comparison needs, from one document each
+    # the shingle sets of all nodes that any comparison needs, from one document each, found by its id and text
     pairs = common.materialise(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    members = None
     if some_tied:
         wanted = wanted.union(population.select("node"))
-    holder = sized.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    holder = common.materialise(holder.join(wanted.distinct(), "node"), "holder")
-    texts = common.small_join(docs, holder, ["doc_id"], "inner")
-    sets = common.materialise(texts.select("node", "text").mapInArrow(_as_sets, "node long, features binary"), "sets")
-    groups = None
-    if some_tied:
-        by_rare, groups = _refined(population, sets, num, den, group_cap)
-        pairs = common.materialise(pairs.union(by_rare.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "candidates")
-    label = _linked(pairs, groups, sets, num, den)
+        members = hot.where("main").join(population.select("node"), "node", "left_semi")
+        members = common.materialise(members.select("g", "node", "size", F.col("size").alias("rest")).distinct(), "members")
+    named = sized.where("n_shingles > 0").select("node", F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "h").alias("d"))
+    holder = named.groupBy("node").agg(F.min("d").alias("d")).join(wanted.distinct(), "node")
+    holder = common.materialise(holder.select("node", F.coalesce("d.doc_id", F.lit(0)).alias("id"), F.col("d.bare").alias("bare"), F.col("d.h").alias("h")), "holder")
+    texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("bare"), "h", "text")
+    texts = common.small_join(texts, holder, ["id", "bare", "h"], "inner").groupBy("node").agg(F.first("text").alias("text"))
+    sets = common.materialise(texts.mapInArrow(_as_sets, "node long, features binary"), "sets")
+    label = _linked(pairs, members, sets, num, den)
 
     # back to documents; only nodes that are linked or have copies need a lookup
     per = sized.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))

@@ -68,3 +68,19 @@ def test_equals_brute_force(spark, seed, args, cap):
 
 def test_empty_table(spark):
     assert ngram_jaccard_join(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_rows_without_an_id_are_linked_and_repeated_ids_keep_their_texts(spark):
+    long_ = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, long_), (None, long_ + " end"), (7, long_), (8, "other words that are here alone"), (8, long_ + " more"), (None, "alone without any partner at all"), (None, ""), (None, None)]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_jaccard_join(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect())
+    assert got == sorted([(0, 36, 7), (0, 37, 7), (7, 36, 7), (8, 2, 8), (8, 37, 7), (0, 2, 0), (0, 0, 0), (0, 0, 0)])
+
+
+def test_slices_of_a_bucket_give_the_same_result(spark, monkeypatch):
+    from fluxgrid.llm import ngram_join
+
+    rows = corpus(9, 10, 20, 300, 15, 40)
+    monkeypatch.setattr(ngram_join, "SLICE_ROWS", 50)
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    assert sorted(tuple(r) for r in ngram_jaccard_join(df, group_cap=4).collect()) == brute(rows, 75, 100)
