@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -38,18 +38,59 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+#: Paths written inside each open ``scratch`` block, innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark removes an execution's shuffle files when it ends: what it wrote is committed and never recomputed from them."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``materialise`` writes within are removed at the end, but for those handed to the yielded function."""
+    own: list[str] = []
+    _SCRATCH.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        held = {f.rpartition("/")[0] for f in df.inputFiles()}
+        own[:] = [path for path in own if not any(h.endswith(path.partition(":")[2] or path) for h in held)]
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.remove(own)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in own:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: later stages start from files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint; unlike a written table it keeps the partitions as they are."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with tidy(df.sparkSession):
+        return df.checkpoint()
 
 
 @contextmanager
@@ -133,7 +174,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """
     spark = edges.sparkSession
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    now = checkpointed(now)
+    now = materialise(now, "edges")
     stamp = None
     for _ in range(most_rounds):
         # large star: every larger neighbour of u is tied to the least of u's closed neighbourhood
@@ -143,7 +184,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         # small star: every neighbour below u, and u, are tied to the least of them
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         tied = large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
-        now = checkpointed(tied.union(low.select("hi", F.col("m").alias("lo"))).distinct())
+        now = materialise(tied.union(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if mark == stamp:
             break

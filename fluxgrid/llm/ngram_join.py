@@ -26,7 +26,7 @@ is compared exactly, on its whole sets, unless it is connected already.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -394,8 +394,13 @@ def ngram_jaccard_join(docs: DataFrame, num: int = 75, den: int = 100, group_cap
     """
     if not 0 < num <= den:
         raise ValueError("the threshold must be in (0, 1]")
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    with common.scratch(docs.sparkSession) as keep:
+        return _joined(docs, num, den, group_cap, keep)
+
+
+def _joined(docs: DataFrame, num: int, den: int, group_cap: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The result, lazily, from the two tables that are kept."""
     sized = common.materialise(docs.mapInArrow(_sized(num, den), "doc_id long, h long, n_shingles long, node long"), "sized")
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -443,8 +448,8 @@ def ngram_jaccard_join(docs: DataFrame, num: int = 75, den: int = 100, group_cap
     per = per.join(label, "node", "left")
     group = per.where("component is not null").groupBy("component").agg(F.min("low").alias("root"))
     found = per.where("component is not null or copies > 1").join(group, "component", "left").select("node", F.coalesce("root", "low").alias("component_id"))
-    found = common.materialise(found, "found")
-    return common.small_join(sized, found, ["node"], "left").select(
+    found = keep(common.materialise(found, "found"))
+    return common.small_join(keep(sized), found, ["node"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
