@@ -68,7 +68,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        _SCRATCH.remove(own)
+        _SCRATCH.pop()
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for path in own:
             place = jvm.org.apache.hadoop.fs.Path(path)
@@ -165,15 +165,38 @@ def global_order(df: DataFrame, keys: list[Column], label: str) -> DataFrame:
     return checkpointed(ranged.withColumn("_part", F.spark_partition_id()))
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of the edges of one task, by union-find."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component) for every node of the undirected ``edges`` (a, b long); component: smallest node.
 
-    Alternates large-star and small-star steps.  Each step needs only the
-    minimum of a node's neighbours, which is pre-aggregated before the shuffle,
-    so a hub is never gathered in one task.  Lineage is cut after each round.
+    Few edges, by count, are united in one task.  More alternate large-star and
+    small-star steps: each needs only the minimum of a node's neighbours, which
+    is pre-aggregated before the shuffle, so a hub is never gathered in one
+    task.  Lineage is cut after each round.
     """
-    spark = edges.sparkSession
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    edges = edges.where("a <> b").select("a", "b")
+    if edges.count() <= BROADCAST_ROWS:
+        return edges.coalesce(1).mapInArrow(_united, "node long, component long")
+    now = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     now = materialise(now, "edges")
     stamp = None
     for _ in range(most_rounds):

@@ -258,10 +258,10 @@ def _population(hot: DataFrame, tied: DataFrame) -> DataFrame:
     known: it and any partner share one of their main ones, so everything that
     a main hot signature joins to a cut node belongs to it too.
     """
-    at = hot.join(tied, ["node", "band"], "left").withColumn("state", F.coalesce("state", F.lit("free")))
+    at = common.small_join(hot, tied, ["node", "band"], "left").withColumn("state", F.coalesce("state", F.lit("free")))
     main = at.where("main")
-    with_cut = main.where("state = 'cut'").select("g").distinct()
-    both = at.where("state <> 'free'").select("node", "size").union(main.join(with_cut, "g").select("node", "size"))
+    with_cut = common.materialise(main.where("state = 'cut'").select("g").distinct(), "cut")
+    both = at.where("state <> 'free'").select("node", "size").union(common.small_join(main, with_cut, ["g"], "inner").select("node", "size"))
     return common.materialise(both.distinct(), "population")
 
 
@@ -299,12 +299,13 @@ class _Links:
     def __init__(self, sets: DataFrame, num: int, den: int) -> None:
         self.sets, self.num, self.den = sets, num, den
         self.label: DataFrame | None = None
+        self.labelled = 0
 
     def _with_component(self, rows: DataFrame, node: str, name: str) -> DataFrame:
         if self.label is None:
             return rows.withColumn(name, F.col(node))
         known = self.label.select(F.col("node").alias(node), F.col("component").alias(name))
-        return common.small_join(rows, known, [node], "left").withColumn(name, F.coalesce(name, node))
+        return common.small_join(rows, known, [node], "left", self.labelled).withColumn(name, F.coalesce(name, node))
 
     def learn(self, pairs: DataFrame) -> None:
         """Compare the pairs (a, b) that are apart."""
@@ -316,6 +317,7 @@ class _Links:
                 return
             got = got.union(self.label.select(F.col("node").alias("a"), F.col("component").alias("b")))
         self.label = common.materialise(common.connected_components(got), "label")
+        self.labelled = self.label.count()
 
     def mixed(self, groups: DataFrame) -> DataFrame:
         """(g, node, size, rest, c): the groups that hold several components."""
@@ -353,7 +355,7 @@ def _by_hash(seed: int, n: int) -> list[Column]:
     return [F.xxhash64(F.lit(seed + i), F.col("node")) for i in range(n)]
 
 
-def _linked(pairs: DataFrame, hot: DataFrame | None, sets: DataFrame, num: int, den: int, rounds: tuple[int, ...] = (1, 2)) -> DataFrame:
+def _linked(pairs: DataFrame, hot: DataFrame | None, sets: DataFrame, num: int, den: int, rounds: tuple[int, ...] = (2,)) -> DataFrame:
     """(node, component) of all linked nodes: of the pairs, and of the members (g, node, size, rest) of hot groups."""
     links = _Links(sets, num, den)
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
