@@ -7,6 +7,7 @@ executors share, so a lost executor costs a recomputed task and nothing else.
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,19 +57,23 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables that ``materialise`` writes within are removed at the end, but for those handed to the yielded function."""
+    """Tables that ``materialise`` writes within are removed at the end, but for those handed to the yielded function, which an outer block has then."""
     own: list[str] = []
+    kept: list[str] = []
     _SCRATCH.append(own)
 
     def keep(df: DataFrame) -> DataFrame:
         held = {f.rpartition("/")[0] for f in df.inputFiles()}
-        own[:] = [path for path in own if not any(h.endswith(path.partition(":")[2] or path) for h in held)]
+        kept.extend(path for path in own if any(h.endswith(path.partition(":")[2] or path) for h in held))
+        own[:] = [path for path in own if path not in kept]
         return df
 
     try:
         yield keep
     finally:
         _SCRATCH.pop()
+        if _SCRATCH:
+            _SCRATCH[-1].extend(kept)
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for path in own:
             place = jvm.org.apache.hadoop.fs.Path(path)
@@ -142,6 +147,22 @@ def release_worker_memory() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def fitted(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """``fit`` of all rows, run in one task: a bounded sample goes to an executor and only the model to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_memory()
+        got = list(batches)
+        table = pa.Table.from_batches(got) if got else schema.empty_table()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table))], pa.binary())], names=["model"])
+        release_worker_memory()
+
+    schema = pa.schema([(f.name, {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[f.dataType.simpleString()]) for f in rows.schema])
+    with tidy(rows.sparkSession):
+        got = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0][0]) if got else fit(schema.empty_table())
+
+
 def as_string(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The column as 32-bit-offset strings, nulls as empty texts."""
     column = batch.column(batch.schema.get_field_index(name))

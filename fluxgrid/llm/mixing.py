@@ -143,7 +143,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: flo
     rows = rows.withColumn("base", F.floor(copies + 1e-12)).withColumn("fraction", F.greatest(copies - F.col("base"), F.lit(0.0)))
     rows = rows.withColumn("fraction", F.when((F.col("fraction") < 1e-12) | (F.col("size") == 0), 0.0).otherwise(F.col("fraction")))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("copies", F.lit(None).cast("long"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "tie"), blocks)).withColumn("copies", F.lit(None).cast("long"))
     names = [f.split()[0] for f in _KEPT.split(", ")]
     largest = by.agg(F.max("n")).first()[0] or 0
     left = math.ceil(largest / BLOCK)

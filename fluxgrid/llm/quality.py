@@ -172,12 +172,16 @@ def sampled_labels(labels: DataFrame, label: str, learn, per_class: int) -> tupl
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, per_class: int = SAMPLE_PER_CLASS) -> FactorisationMachine:
-    """Fit on a bounded sample of the labelled rows outside the held-out fold."""
+    """Fit, in one task, on a bounded sample of the labelled rows outside the held-out fold."""
     some, n0, n1 = sampled_labels(labels, label, common.crc_fold("doc_id", folds) != 0, per_class)
     picked = docs.select(*text_columns(docs)).join(F.broadcast(some), "doc_id")  # at most 2 * per_class ids
-    got = picked.mapInArrow(_sampled, "label int, number binary, value binary").collect()
-    rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in got)
-    return fit([(y, np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(x, np.float32)) for y, i, x in rows], n1 / max(n0 + n1, 1))
+    share = n1 / max(n0 + n1, 1)
+
+    def learn(table: pa.Table) -> FactorisationMachine:
+        columns = (table["label"].to_pylist(), table["number"].to_pylist(), table["value"].to_pylist())
+        return fit([(y, np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(x, np.float32)) for y, i, x in sorted(zip(*columns, strict=True))], share)
+
+    return common.fitted(picked.mapInArrow(_sampled, "label int, number binary, value binary"), learn)
 
 
 def _score(batch: pa.RecordBatch, model: FactorisationMachine) -> np.ndarray:

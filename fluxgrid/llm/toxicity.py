@@ -3,7 +3,8 @@
 Folding lower-cases, strips accents of Latin letters and of their look-alikes,
 maps homoglyphs and, inside words, digits and signs to the letters they stand
 for, and turns everything else into single spaces, so every term starts at a
-word's start.  A term ending in a space is a whole word, one without is a stem.
+word's start.  Accents may be a disguise or the spelling: texts are read both
+with and without them, and terms are mined from both.  A term ending in a space is a whole word, one without is a stem.
 Stems of inflected or invented terms are mined from labelled rows: what begins
 many toxic texts' words and next to no clean ones'.  Matches inside an
 exception phrase do not count.  The score is a logistic function of the
@@ -30,8 +31,8 @@ from fluxgrid.llm import common
 from fluxgrid.llm.quality import sampled_labels
 
 THRESHOLD, FOLDS = 0.7, 3
-#: Bound of the labelled sample per class, which the driver gets.
-SAMPLE_PER_CLASS = 1_500
+#: Bound of the labelled sample per class, which one task gets.
+SAMPLE_PER_CLASS = 3_000
 #: A mined term begins at least this share of the toxic sample's words' texts, and is so many times rarer in clean ones.
 LEAST_SHARE, LEAST_TEXTS, LEAST_RATIO = 0.01, 5, 16.0
 #: Letters of the shortest and the longest stem.
@@ -56,6 +57,7 @@ _GAP = re.compile(r"[\W_]+")
 _LOOKS = re.compile("[" + "".join(HOMOGLYPHS) + "]")
 _UNSEEN = re.compile("[\u200b-\u200d\ufeff\u00ad]")
 _ODD = re.compile(r"[^\x00-\x7f]")
+_ACCENTED = re.compile("[\u00df-\u00f6\u00f8-\u024f]")
 _MARKS = re.compile("[\u0300-\u036f]")
 _ACCENTS = re.compile("(?<=[a-z" + "".join(HOMOGLYPHS) + "])[\u0300-\u036f]+")
 
@@ -80,12 +82,14 @@ def _plain(char: str) -> str | None:
     return None if unicodedata.combining(char) or "\u1100" <= char <= "\u11ff" else _unveiled(char)
 
 
-def unveil(text: str) -> str:
-    """The text lower-cased, without invisible characters, widths, accents of Latin letters and homoglyphs."""
+def unveil(text: str, accents: bool = False) -> str:
+    """The text lower-cased, without invisible characters, widths, homoglyphs and, unless they are kept, accents of Latin letters."""
     low = text.lower()
     if low.isascii():
         return low
     for char in set(_ODD.findall(low)):
+        if accents and _ACCENTED.match(char):
+            continue
         plain = _plain(char)
         if plain is None:
             return _unveiled(low)
@@ -94,9 +98,9 @@ def unveil(text: str) -> str:
     return low
 
 
-def fold(text: str) -> str:
+def fold(text: str, accents: bool = False) -> str:
     """The text as lower-case words between single spaces, disguises undone."""
-    text = unveil(text)
+    text = unveil(text, accents)
     if _MIXED.search(text):
         text = _WORD.sub(_untwist, text)
     return " " + _GAP.sub(" ", text) + " "
@@ -122,7 +126,7 @@ class Lexicon:
         if self._bare is None:
             self._bare = ahocorasick.Automaton()
             for term in self.terms:
-                self._bare.add_word(term.strip(), 1)
+                self._bare.add_word(unveil(term.strip()), 1)
             if len(self._bare):
                 self._bare.make_automaton()
         low = unveil(text)
@@ -152,12 +156,13 @@ class Lexicon:
             return 0.0, 0, max(low.count(" ") - 1, 0)
         best: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
-        for end, (size, weight) in made.iter(low):
-            start = end - size + 1
-            if weight is None:
-                spared.append((start, end))
-            elif weight > best.get(start, 0.0):
-                best[start] = weight
+        for read in {low} if text.isascii() else {low, fold(text, accents=True)}:
+            for end, (size, weight) in made.iter(read):
+                start = end - size + 1
+                if weight is None:
+                    spared.append((start, end))
+                elif weight > best.get(start, 0.0):
+                    best[start] = weight
         if spared and best:
             best = {k: w for k, w in best.items() if not any(a <= k < b for a, b in spared)}
         return sum(best.values()), len(best), max(low.count(" ") - 1, 0)
@@ -181,6 +186,8 @@ def _mine(texts: list[str], labels: list[int]) -> dict[str, float]:
     kept: dict[tuple[tuple, int], set[str]] = {}
     for text, label in zip(texts, labels, strict=True):
         words = set(fold(text).split())
+        if not text.isascii():
+            words |= set(fold(text, accents=True).split())
         if words:
             kept.setdefault((tuple(nsmallest(4, map(hash_word, words))), label), words)
     for (key, label), words in kept.items():
@@ -241,20 +248,24 @@ def _calibrate(lexicon: Lexicon, texts: list[str], labels: list[int], share: flo
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held_out: int = 1, per_class: int = SAMPLE_PER_CLASS) -> Lexicon:
-    """A lexicon from the base terms and a bounded sample of the labelled rows outside the held-out fold.
+    """A lexicon from the base terms and, in one task, a bounded sample of the labelled rows outside the held-out fold.
 
     Without rows of both labels the base terms and default coefficients stand.
     """
     some, n0, n1 = sampled_labels(labels, label, common.crc_fold("doc_id", folds) != held_out, per_class)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text")).collect()
-    rows = sorted((r[0], r[1]) for r in rows)  # at most 2 * per_class
-    lexicon = Lexicon({f"{t} ": w for t, w in BASE_TERMS.items()})
-    labels_, texts = [r[0] for r in rows], [r[1] for r in rows]
-    if len(set(labels_)) == 2:
-        lexicon.terms |= _mine(texts, labels_)
-        lexicon = Lexicon(lexicon.terms)
-        lexicon.coefficients = _calibrate(lexicon, texts, labels_, n1 / (n0 + n1))
-    return lexicon
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text"))  # at most 2 * per_class
+    share = n1 / max(n0 + n1, 1)
+
+    def learn(table: pa.Table) -> Lexicon:
+        sample = sorted(zip(table["label"].to_pylist(), table["text"].to_pylist(), strict=True))
+        labels_, texts = [r[0] for r in sample], [r[1] for r in sample]
+        lexicon = Lexicon({f"{t} ": w for t, w in BASE_TERMS.items()})
+        if len(set(labels_)) == 2:
+            lexicon = Lexicon(lexicon.terms | _mine(texts, labels_))
+            lexicon.coefficients = _calibrate(lexicon, texts, labels_, share)
+        return lexicon
+
+    return common.fitted(rows, learn)
 
 
 def _scores(batch: pa.RecordBatch, lexicon: Lexicon) -> np.ndarray:
