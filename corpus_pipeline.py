@@ -40,14 +40,15 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies of each other.  Texts without words are linked with nothing and stay.
     """
     rows = numbered(docs)
-    linked = ngram_join.ngram_jaccard_join(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("_group"))
-    linked = common.materialise(linked, "linked")
-    several = linked.groupBy("_group").agg(F.count("*").alias("n")).where("n > 1").select("_group")
-    members = common.materialise(common.small_join(linked, several, ["_group"], "left_semi"), "members")
-    place = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", F.xxhash64("text").alias("h"), ROW)
-    placed = rows.select(ROW, place.alias("_place")).join(members, ROW)
-    first = placed.groupBy("_group").agg(F.min("_place").alias("_place")).select(F.col("_place")[ROW].alias(ROW))
-    gone = common.materialise(members.select(ROW).join(first, ROW, "left_anti"), "gone")
+    with common.scratch(spark) as keep:
+        linked = ngram_join.ngram_jaccard_join(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("_group"))
+        linked = common.materialise(linked, "linked")
+        several = common.materialise(linked.groupBy("_group").agg(F.count("*").alias("n")).where("n > 1").select("_group"), "several")
+        members = common.materialise(common.small_join(linked, several, ["_group"], "left_semi"), "members")
+        place = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", F.xxhash64("text").alias("h"), ROW)
+        placed = common.small_join(rows.select(ROW, place.alias("_place")), members, [ROW], "inner")
+        first = common.materialise(placed.groupBy("_group").agg(F.min("_place").alias("_place")).select(F.col("_place")[ROW].alias(ROW)), "first")
+        gone = keep(common.materialise(common.small_join(members.select(ROW), first, [ROW], "left_anti"), "gone"))
     return common.small_join(rows, gone, [ROW], "left_anti").select(*docs.columns)
 
 
@@ -57,8 +58,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat an id, or have none, are taken each as often as the mix takes that row.
     """
     rows = numbered(docs)
-    copies = common.materialise(mixing.mix_sources(rows, row=ROW).where("copies > 0").select(ROW, "copies").withColumnRenamed("copies", "_times"), "copies")
-    again = rows.join(copies, ROW).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    with common.scratch(spark) as keep:
+        taken = mixing.mix_sources(rows, row=ROW).where("copies > 0").select(ROW, F.col("copies").alias("_times"))
+        copies = keep(common.materialise(taken, "copies"))
+    again = common.small_join(rows, copies, [ROW], "inner").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
     return again.select(*docs.columns)
 
 
