@@ -7,11 +7,14 @@ executors share, so a lost executor costs a recomputed task and nothing else.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -140,11 +143,30 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         start = stop
 
 
+def trim() -> None:
+    """Hand what this Python worker has freed back to the machine: workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with suppress(OSError, AttributeError):  # a C library without malloc_trim keeps its memory
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def release_worker_memory() -> None:
-    """Give back what other operators' tasks left in this Python worker."""
+    """Also give back what other operators' tasks left in this Python worker."""
     for cache in WORKER_CACHES:
         cache.clear()
-    pa.default_memory_pool().release_unused()
+    trim()
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, with the worker's freed memory handed back when a task ends."""
+
+    def to_the_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return to_the_end
 
 
 def fitted(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:

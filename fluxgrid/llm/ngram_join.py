@@ -88,7 +88,7 @@ def _sized(num: int, den: int):
                 fp += map(_fingerprint, sets)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "h", "n_shingles", "node"])
 
-    return run
+    return common.trimmed(run)
 
 
 def _signed(num: int, den: int, buckets: int):
@@ -248,7 +248,7 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, inter, uni) of the pairs.  ``a`` may be a hub: its features are joined last and not shuffled with each pair."""
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a")
-    return two.select("a", "b", "fa", "fb").mapInArrow(_compared, "a long, b long, inter long, uni long")
+    return two.select("a", "b", "fa", "fb").mapInArrow(common.trimmed(_compared), "a long, b long, inter long, uni long")
 
 
 def _population(hot: DataFrame, tied: DataFrame) -> DataFrame:
@@ -282,7 +282,7 @@ def _prefixes(population: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
     many features the node has from there on: an overlap that is first met there is no larger.
     """
     with common.arrow_rows(population.sparkSession, 400):
-        rows = sets.join(population.select("node"), "node", "left_semi").select("node", "features").mapInArrow(_exploded, "node long, size long, feature long")
+        rows = sets.join(population.select("node"), "node", "left_semi").select("node", "features").mapInArrow(common.trimmed(_exploded), "node long, size long, feature long")
         rows = common.materialise(rows, "features")
     often = rows.groupBy("feature").agg(F.count("*").alias("n")).where("n > 1")
     by = rows.join(often, "feature").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "feature"))).alias("f"))
@@ -442,7 +442,7 @@ def _joined(docs: DataFrame, num: int, den: int, group_cap: int, keep: Callable[
     holder = common.materialise(holder.select("node", F.coalesce("d.doc_id", F.lit(0)).alias("id"), F.col("d.bare").alias("bare"), F.col("d.h").alias("h")), "holder")
     texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("bare"), "h", "text")
     texts = common.small_join(texts, holder, ["id", "bare", "h"], "inner").groupBy("node").agg(F.first("text").alias("text"))
-    sets = common.materialise(texts.mapInArrow(_as_sets, "node long, features binary"), "sets")
+    sets = common.materialise(texts.mapInArrow(common.trimmed(_as_sets), "node long, features binary"), "sets")
     label = _linked(pairs, members, sets, num, den)
 
     # back to documents; only nodes that are linked or have copies need a lookup

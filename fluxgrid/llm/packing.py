@@ -135,7 +135,7 @@ def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -178,7 +178,7 @@ def best_fit_pack(docs: DataFrame, path: str | None = None, capacity: int = CAPA
             sequence, offset = got[:, 4] + inside // got[:, 3], got[:, 5] + inside % got[:, 3] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return placed.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.mapInArrow(common.trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op10_best_fit_packing(spark, sf_dir: str) -> DataFrame:

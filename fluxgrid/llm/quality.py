@@ -181,7 +181,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
         columns = (table["label"].to_pylist(), table["number"].to_pylist(), table["value"].to_pylist())
         return fit([(y, np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(x, np.float32)) for y, i, x in sorted(zip(*columns, strict=True))], share)
 
-    return common.fitted(picked.mapInArrow(_sampled, "label int, number binary, value binary"), learn)
+    return common.fitted(picked.mapInArrow(common.trimmed(_sampled), "label int, number binary, value binary"), learn)
 
 
 def _score(batch: pa.RecordBatch, model: FactorisationMachine) -> np.ndarray:
@@ -204,7 +204,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select(*text_columns(docs)).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    out = docs.select(*text_columns(docs)).mapInArrow(common.trimmed(run), f"doc_id {kind}, score double, predicted int")
     return out.select("doc_id", F.coalesce(common.crc_fold("doc_id", folds) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -216,7 +216,7 @@ def keep_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
         for batch in batches:
             yield batch.filter(pa.array(_score(batch, held.value) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.trimmed(run), docs.schema)
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -182,7 +182,6 @@ class Lexicon:
 
 def _mine(texts: list[str], labels: list[int]) -> dict[str, float]:
     """Words and stems that mark toxic texts; texts that are copies of each other count once."""
-    seen: dict[str, set[int]] = defaultdict(set)
     kept: dict[tuple[tuple, int], set[str]] = {}
     for text, label in zip(texts, labels, strict=True):
         words = set(fold(text).split())
@@ -190,25 +189,29 @@ def _mine(texts: list[str], labels: list[int]) -> dict[str, float]:
             words |= set(fold(text, accents=True).split())
         if words:
             kept.setdefault((tuple(nsmallest(4, map(hash_word, words))), label), words)
-    for (key, label), words in kept.items():
-        for w in words if label else ():
-            for n in range(STEM, min(len(w), LONGEST) + 1):
-                seen[w[:n]].add(key)
-            seen[w + " "].add(key)
-    n1 = sum(label for _, label in kept)
-    n0 = max(len(kept) - n1, 1)
+    toxic = [words for (_, label), words in kept.items() if label]
+    n1, n0 = len(toxic), max(len(kept) - len(toxic), 1)
     least = max(LEAST_TEXTS, LEAST_SHARE * n1)
-    seen = {t: k for t, k in seen.items() if len(k) >= least}
-    heads, clean = {t[:STEM] for t in seen}, Counter()
+    # texts in which a stem begins a word: letter by letter, since a frequent stem has frequent beginnings only
+    seen: dict[str, int] = {}
+    for n in range(STEM, LONGEST + 1):
+        here: Counter[str] = Counter()
+        for words in toxic:
+            here.update({w[:n] for w in words if len(w) >= n and (n == STEM or w[: n - 1] in seen)})
+        seen |= {t: k for t, k in here.items() if k >= least}
+    whole: Counter[str] = Counter()
+    for words in toxic:
+        whole.update(w + " " for w in words if len(w) < STEM or w[:LONGEST] in seen)
+    seen |= {t: k for t, k in whole.items() if k >= least}
+    clean: Counter[str] = Counter()
     for (_, label), words in kept.items():
         if not label:
-            some = [w for w in words if w[:STEM] in heads or f"{w} "[:STEM] in heads]
-            clean.update({w[:n] for w in some for n in range(STEM, min(len(w), LONGEST) + 1)} | {w + " " for w in some})
+            clean.update(t for t in {w[:n] for w in words for n in range(STEM, min(len(w), LONGEST) + 1)} | {w + " " for w in words} if t in seen)
     good = {}
-    for term, keys in seen.items():
-        ratio = ((len(keys) + 0.5) / (n1 + 1)) / ((clean[term] + 0.5) / (n0 + 1))
+    for term, n in seen.items():
+        ratio = ((n + 0.5) / (n1 + 1)) / ((clean[term] + 0.5) / (n0 + 1))
         if ratio >= LEAST_RATIO:
-            good[term] = (len(keys), math.log(ratio))
+            good[term] = (n, math.log(ratio))
     wider: dict[str, int] = {}
     for term, (n, _) in good.items():
         wider[term[:-1]] = max(wider.get(term[:-1], 0), n)
@@ -287,7 +290,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHO
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    out = docs.select("doc_id", "text").mapInArrow(common.trimmed(run), f"doc_id {kind}, score double, predicted int")
     return out.select("doc_id", F.coalesce(common.crc_fold("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -299,7 +302,7 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD)
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch, held.value) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.trimmed(run), docs.schema)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
