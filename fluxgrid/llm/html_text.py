@@ -5,7 +5,12 @@ links, fading with distance.  The path of the best one, as tags with their
 first class without digits, is the page's vote.  Votes are summed per host and
 path in Spark; then every page is extracted again under the first of its host's
 winning paths that covers at least half of what its own best container does,
-else under its own.  Boilerplate subtrees never count.
+else under its own.  Boilerplate subtrees do not count, unless they turn out
+to hold the page: a form when nothing else has text, or a subtree whose class only
+hints at noise when it has several blocks and four times the text of the rest.
+
+Everything is linear in the page's length, nesting included: containers are nodes
+of a tree of paths, and scores and choices are passed along it once.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 _CONTAINER = frozenset("article aside blockquote body center details div dl figure main ol section table tbody td ul".split())
-_DROPPED = frozenset("nav footer aside form button select option head title dialog menu label input".split())
+_DROPPED = frozenset("nav footer aside button select option head title dialog menu label input".split())
 _BONUS = {"article": 1.6, "main": 1.4}
 _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _SCOPES = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table", "tr"]), "th": frozenset(["table", "tr"])}
@@ -43,6 +48,9 @@ _NOISE = frozenset(
     "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist "
     "respond reply replies disqus widget toolbar pagination pager skip search form copyright paywall toast".split()
 )
+#: Noise that an article may be wrapped in by name, and words that only say what a part has or can do.
+_HINTS = frozenset("ad ads advert sponsor sponsored promo promotion banner header notice alert share sharing social related recommended subscribe subscription signup login search form widget toolbar overlay modal popup skip copyright paywall toast".split())
+_STATES = frozenset("enabled disabled has have no non with without free ready loaded active on off is able allow allowed supports".split())
 _OWN = frozenset("article entry post content story main title body".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _WORD = re.compile(r"[a-z]+")
@@ -50,59 +58,137 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
 
 
-def _dropped(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+#: How firmly a subtree is left out: not at all, only as long as it is not the page, unless nothing else has text, always.
+KEPT, HINTED, FIRM, ALWAYS = range(4)
+
+
+def _drop(tag: str, attributes: dict[str, str], inside: bool) -> int:
     if tag in _DROPPED or tag == "header" and not inside:
-        return True
+        return ALWAYS
     if not attributes:
-        return False
+        return FIRM if tag == "form" else KEPT
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
+        return ALWAYS
     if attributes.get("role", "").lower() in _ROLES:
-        return True
+        return FIRM if tag == "form" else ALWAYS
     if tag in ("body", "html", "article", "main"):
-        return False
+        return KEPT
+    out = FIRM if tag == "form" else KEPT
     for name in ("class", "id"):
         for one in attributes.get(name, "").split():
             words = set(_WORD.findall(_CAMEL.sub(" ", one).lower()))
-            if words & _NOISE and not (words & _OWN and words & {"header"}):
-                return True
-    return False
+            noise = words & _NOISE
+            if noise and not words & _STATES and not (words & _OWN and words & {"header"}):
+                out = max(out, HINTED if noise <= _HINTS else FIRM)
+    return out
+
+
+class Page:
+    """A page's blocks: container, text, characters of it in links, and the dropped subtree that each is in (0: none)."""
+
+    def __init__(self) -> None:
+        self.names, self.parents = [""], [-1]  # of containers; those with the same path are one
+        self.blocks: list[tuple[int, str, int, int]] = []
+        self.drops: list[tuple[int, int]] = [(0, KEPT)]  # (outer dropped subtree, firmness)
+        self._children: dict[tuple[int, str], int] = {}
+
+    def child(self, parent: int, name: str) -> int:
+        node = self._children.setdefault((parent, name), len(self.names))
+        if node == len(self.names):
+            self.names.append(name)
+            self.parents.append(parent)
+        return node
+
+    def find(self, path: str) -> int | None:
+        node: int | None = 0
+        for name in path.split(">") if path else ():
+            node = self._children.get((node, name))
+            if node is None:
+                return None
+        return node
+
+    def path(self, node: int) -> str:
+        out = []
+        while node > 0:
+            out.append(self.names[node])
+            node = self.parents[node]
+        return ">".join(reversed(out))
+
+    def settle(self) -> None:
+        """Forget the blocks of dropped subtrees, but for those that hold the page."""
+        if len(self.drops) > 1:
+            worth, count = [0] * len(self.drops), [0] * len(self.drops)
+            for _, text, link, drop in self.blocks:
+                worth[drop] += max(len(text) - link, 0)
+                count[drop] += 1
+            back = {0}
+            for k, (_, firm) in enumerate(self.drops):
+                if firm == HINTED and count[k] >= 3 and worth[k] >= 4 * worth[0]:
+                    back.add(k)
+            if not any(worth[k] for k in back):
+                most = max(range(len(worth)), key=lambda k: (worth[k], -k))
+                if worth[most]:
+                    back.add(most)
+            self.blocks = [b for b in self.blocks if b[3] in back]
+
+    def best(self) -> tuple[int | None, list[float]]:
+        """The container with the highest score, the nearer to the root at a tie, and all scores."""
+        if not self.blocks:
+            return None, []
+        score, depth = [0.0] * len(self.names), [0] * len(self.names)
+        for node, text, link, _ in self.blocks:
+            score[node] += max(len(text) - 2 * link, 0) + (20 if len(text) > 80 and not link else 0)
+        for node in range(len(score) - 1, 0, -1):
+            score[self.parents[node]] += FADE * score[node]
+        for node in range(1, len(depth)):
+            depth[node] = depth[self.parents[node]] + 1
+        return max(range(len(score)), key=lambda k: (score[k] * _BONUS.get(self.names[k].split(".")[0], 1.0), -depth[k], self.names[k])), score
 
+    def under(self, node: int) -> list[str]:
+        """The texts of all blocks in a container."""
+        held = [False] * len(self.names)
+        held[node] = True
+        for k in range(node + 1, len(held)):
+            held[k] = held[self.parents[k]]
+        return [text for k, text, _, _ in self.blocks if held[k]]
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(container path, text, characters of it in links) of each block outside boilerplate, in page order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
+
+def parse(html: str) -> Page:
+    """The page's blocks in page order, boilerplate settled."""
+    page = Page()
     stack: list[tuple[str, bool, bool]] = []  # tag, whether it is a container, whether it opened a dropped subtree
-    path: list[str] = []
+    open_: dict[str, int] = defaultdict(int)  # how many of each tag are open
     parts: list[str] = []
-    dropped = links = 0
-    link_chars = 0
-    at = 0
+    node = drop = always = links = link_chars = at = 0
 
     def flush() -> None:
         nonlocal link_chars
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append((tuple(path), text, min(link_chars, len(text))))
+                page.blocks.append((node, text, min(link_chars, len(text)), drop))
             parts.clear()
         link_chars = 0
 
     def pop() -> None:
-        nonlocal dropped, links
+        nonlocal node, drop, always, links
         tag, container, opened = stack.pop()
-        if tag in _BLOCK:
+        open_[tag] -= 1
+        if tag in _BLOCK or opened:
             flush()
         if container:
-            path.pop()
+            node = page.parents[node]
         if opened:
-            dropped -= 1
+            if always:
+                always -= 1
+            else:
+                drop = page.drops[drop][0]
         if tag == "a":
             links -= 1
 
     def text(piece: str) -> None:
         nonlocal link_chars
-        if piece and not dropped:
+        if piece and not always:
             parts.append(piece)
             if links:
                 link_chars += len(piece.strip())
@@ -117,7 +203,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if m.group(2) or m.group(5):
             if tag == "br":
                 text(" ")
-            elif any(t == tag for t, _, _ in stack):
+            elif open_[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -126,13 +212,13 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in _VOID:
             if tag == "hr":
                 flush()
-            else:
-                text(" " if tag in ("br", "wbr") and tag == "br" else "")
+            elif tag == "br":
+                text(" ")
             continue
-        closes = _CLOSES.get(tag)
-        if tag in _BLOCK and any(t == "p" for t, _, _ in stack):
-            closes = (closes or frozenset()) | {"p"}
-        if closes:
+        closes = _CLOSES.get(tag, frozenset())
+        if tag in _BLOCK:
+            closes = closes | {"p"}
+        if any(open_[t] for t in closes):
             scope = _SCOPES.get(tag, _CONTAINER if tag != "p" else frozenset())
             k = len(stack) - 1
             while k >= 0 and stack[k][0] not in closes and stack[k][0] not in scope:
@@ -141,47 +227,43 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
                 while len(stack) > k:
                     pop()
         attributes = {a.group(1).lower(): (a.group(2) or "").strip("\"'") for a in _ATTRIBUTE.finditer(raw)} if raw else {}
-        inside = any(t in ("article", "main") for t, _, _ in stack)
-        opened = _dropped(tag, attributes, inside)
-        if tag in _BLOCK:
+        firm = KEPT if always else _drop(tag, attributes, bool(open_["article"] or open_["main"]))
+        opened = firm > KEPT
+        if tag in _BLOCK or opened:
             flush()
         elif tag in ("td", "th"):
             text(" ")
         container = tag in _CONTAINER
         stack.append((tag, container, opened))
+        open_[tag] += 1
         if container:
-            first = _DIGITS.sub("", attributes.get("class", "").split(" ")[0])
-            path.append(f"{tag}.{first}" if first else tag)
-        dropped += opened
+            first = _DIGITS.sub("", attributes.get("class", "").split(" ")[0]).replace(">", "")
+            node = page.child(node, f"{tag}.{first}" if first else tag)
+        if opened:
+            if firm == ALWAYS:
+                always += 1
+            else:
+                page.drops.append((drop, firm))
+                drop = len(page.drops) - 1
         links += tag == "a"
     text(html[at:])
     flush()
-    return out
-
-
-def best_path(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[tuple[str, ...] | None, dict]:
-    """The container path with the highest score, the nearer to the root at a tie, and all scores."""
-    score: dict[tuple[str, ...], float] = defaultdict(float)
-    for path, text, link in found:
-        worth = max(len(text) - 2 * link, 0) + (20 if len(text) > 80 and not link else 0)
-        for k in range(len(path), -1, -1):
-            score[path[:k]] += worth * FADE ** (len(path) - k)
-    best = max(score, key=lambda p: (score[p] * (_BONUS.get(p[-1].split(".")[0], 1.0) if p else 1.0), -len(p), p), default=None)
-    return best, score
+    page.settle()
+    return page
 
 
 def extract(html: str | None, winners: list[str] | None = None) -> str:
     """The page's main text under the winning paths, one block per line."""
-    found = blocks(html or "")
-    own, score = best_path(found)
+    page = parse(html or "")
+    own, score = page.best()
     if own is None:
         return ""
     for name in winners or ():
-        path = tuple(name.split(">")) if name else ()
-        if score.get(path, 0.0) >= 0.5 * score[own]:
-            own = path
+        node = page.find(name)
+        if node is not None and score[node] >= 0.5 * score[own]:
+            own = node
             break
-    return "\n".join(text for path, text, _ in found if path[: len(own)] == own)
+    return "\n".join(page.under(own))
 
 
 def host_of(url: Column) -> Column:
@@ -192,10 +274,11 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, votes = batch.column(0).to_pylist(), defaultdict(int)
         html = common.as_string(batch, "html")
-        for host, page in zip(hosts, html, strict=True):
-            own, _ = best_path(blocks(page.as_py()))
+        for host, text in zip(hosts, html, strict=True):
+            page = parse(text.as_py())
+            own, _ = page.best()
             if own is not None:
-                votes[host, ">".join(own)] += 1
+                votes[host, page.path(own)] += 1
         yield pa.RecordBatch.from_pydict({"host": [h for h, _ in votes], "path": [p for _, p in votes], "votes": list(votes.values())}, schema=pa.schema([("host", pa.string()), ("path", pa.string()), ("votes", pa.int64())]))
 
 
@@ -210,7 +293,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     A null or empty html gives an empty text; a null url is of the host ''.
-    Repeated rows are extracted each; other columns are not read.
+    Repeated rows are extracted each; other columns are not read; an empty table
+    gives no rows.
     """
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("_host"))
     votes = pages.select(F.col("_host").alias("host"), "html").mapInArrow(_voted, "host string, path string, votes long")

@@ -22,7 +22,7 @@ from fluxgrid.llm.shingles import hash_spans, word_spans
 #: Default vocabulary; every operator takes the path as a parameter.
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 #: Distinct runs that a worker remembers; when it has more, it starts anew (results do not depend on it).
-CACHE_RUNS = 3_000_000
+CACHE_RUNS = 1_000_000
 #: ASCII marks; behind an ASCII letter a run of them at a word's end is always a word of its own.
 _MARK = np.zeros(256, bool)
 _MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = True
@@ -170,7 +170,7 @@ def encoder(path: str) -> Encoder:
 def encoded_chunks(batch: pa.RecordBatch, path: str):
     """(first row, ids of the chunk's rows with their end ids, ids of each row), in order."""
     text = common.as_string(batch, "text")
-    for a, b in common.chunks(text, 2 * common.CHUNK_BYTES):
+    for a, b in common.chunks(text):
         ids, sizes = encoder(path).encode(text.slice(a, b - a))
         out = np.full(len(ids) + len(sizes), END_ID, np.uint32)
         out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
