@@ -108,8 +108,14 @@ def parse_int(token: Column) -> Column:
     return F.when(token.rlike(r"^[+-]?\d+$"), token).try_cast("bigint")
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def parse_float(token: Column) -> Column:
-    return token.try_cast("double")
+    """The number that the token spells, null for anything else (no type suffixes)."""
+    return F.when(token.rlike(r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf(inity)?)\s*$"), token).try_cast("double")
 
 
 def source_prefix(name: Column) -> Column:

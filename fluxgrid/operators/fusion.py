@@ -121,6 +121,17 @@ def to_haptic(decisions: DataFrame) -> DataFrame:
     return decisions.withColumn("intensity", intensity).withColumn("pulse_period_ms", period)
 
 
-def replay(readings: DataFrame, config: FusionConfig, by: list[str] | None = None) -> DataFrame:
-    """Decisions with commands for a recorded trace; an order violation is an error, as for the file scan."""
+def replay(readings: DataFrame, config: FusionConfig, by: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """Decisions with commands for recorded readings.  Late ones change nothing, or, if ``strict``, stop the query, as in the file scan."""
+    by = by or ["rig_id"]
+    if strict:
+        before = F.lag("timestamp_ns").over(W.partitionBy(*by).orderBy("seq"))
+        fault = F.raise_error(F.concat(F.lit("reading "), F.col("seq").cast("string"), F.lit(": timestamps must not decrease"))).cast("bigint")
+        readings = readings.withColumn("timestamp_ns", F.when(F.col("timestamp_ns") < before, fault).otherwise(F.col("timestamp_ns")))
     return to_haptic(fuse_ranges(readings, config, by))
+
+
+def evaluate(readings: DataFrame, frames: DataFrame, config: FusionConfig, by: list[str] | None = None) -> DataFrame:
+    """Whole decisions: range state, labels of the fresh frame, the reason in words, and the command."""
+    decided = attach_vision(fuse_ranges(readings, config, by), frames, config, by)
+    return to_haptic(decided.withColumn("reason", reason_text(S.python_fixed)))

@@ -169,24 +169,23 @@ def require(gated: DataFrame) -> None:
 
 
 def mount_failure() -> Column:
-    """The first rule that a camera mount profile breaks, else null."""
+    """The first rule that a camera mount profile breaks, else null.  A missing field breaks its rule."""
     c = F.col
-    return S.first_failure(
-        [
-            (F.trim("profile_id") == "", "profile_id must be non-empty"),
-            (c("mount_zone") != "near_top_handle", "mount_zone must be near_top_handle"),
-            (c("optical_axis") != "forward", "optical_axis must be forward"),
-            (~c("distance_below_handle_mm").between(0, c("max_distance_below_handle_mm")), "distance_below_handle_mm outside the declared zone"),
-            (~((c("max_distance_below_handle_mm") > 0) & (c("max_distance_below_handle_mm") <= 80)), "max_distance_below_handle_mm outside (0, 80]"),
-            (~c("nominal_pitch_down_deg").between(0, 30), "nominal_pitch_down_deg outside [0, 30]"),
-            (~((c("pitch_tolerance_deg") > 0) & (c("pitch_tolerance_deg") <= 10)), "pitch_tolerance_deg outside (0, 10]"),
-            (F.abs("nominal_roll_deg") > 10, "nominal_roll_deg above 10"),
-            (~((c("roll_tolerance_deg") > 0) & (c("roll_tolerance_deg") <= 10)), "roll_tolerance_deg outside (0, 10]"),
-            (~c("hand_occlusion_check_required"), "hand-occlusion check is required"),
-            (~c("intrinsic_calibration_required"), "intrinsic calibration is required"),
-            (~c("extrinsic_calibration_required"), "extrinsic calibration is required"),
-        ]
-    )
+    rules = [
+        (F.trim("profile_id") == "", "profile_id must be non-empty"),
+        (c("mount_zone") != "near_top_handle", "mount_zone must be near_top_handle"),
+        (c("optical_axis") != "forward", "optical_axis must be forward"),
+        (~c("distance_below_handle_mm").between(0, c("max_distance_below_handle_mm")), "distance_below_handle_mm outside the declared zone"),
+        (~((c("max_distance_below_handle_mm") > 0) & (c("max_distance_below_handle_mm") <= 80)), "max_distance_below_handle_mm outside (0, 80]"),
+        (~c("nominal_pitch_down_deg").between(0, 30), "nominal_pitch_down_deg outside [0, 30]"),
+        (~((c("pitch_tolerance_deg") > 0) & (c("pitch_tolerance_deg") <= 10)), "pitch_tolerance_deg outside (0, 10]"),
+        (F.abs("nominal_roll_deg") > 10, "nominal_roll_deg above 10"),
+        (~((c("roll_tolerance_deg") > 0) & (c("roll_tolerance_deg") <= 10)), "roll_tolerance_deg outside (0, 10]"),
+        (~c("hand_occlusion_check_required"), "hand-occlusion check is required"),
+        (~c("intrinsic_calibration_required"), "intrinsic calibration is required"),
+        (~c("extrinsic_calibration_required"), "extrinsic calibration is required"),
+    ]
+    return S.first_failure([(F.coalesce(broken, F.lit(True)), name) for broken, name in rules])
 
 
 def split_counts_match(rows: DataFrame, expected: dict[str, int]) -> DataFrame:
@@ -194,3 +193,9 @@ def split_counts_match(rows: DataFrame, expected: dict[str, int]) -> DataFrame:
     want = rows.sparkSession.createDataFrame(sorted(expected.items()), "split string, expected bigint")
     got = rows.groupBy("split").agg(F.count("*").alias("actual"))
     return want.join(got, "split", "left").select("split", "expected", F.coalesce("actual", F.lit(0)).alias("actual")).withColumn("ok", F.col("expected") == F.col("actual"))
+
+
+def truncated(rows: DataFrame, order: list[str], most: int) -> tuple[DataFrame, int, bool]:
+    """(the first ``most`` rows in order, rows in all, whether some are left out), as reports show long lists."""
+    total = rows.count()
+    return rows.orderBy(*order).limit(most), total, total > most

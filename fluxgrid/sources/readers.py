@@ -22,16 +22,18 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def decode_readings(lines: DataFrame) -> DataFrame:
     """Sensor readings of (path, line_no, text) rows; blank and ``#`` lines are skipped.
 
-    A line that is no JSON object, lacks a required key, or has an unknown kind or
+    ``valid`` is what its value is worth: true if there is none, false for null,
+    zero and empty ones.  A line that is no JSON object, lacks a required key, or has an unknown kind or
     sector stops the query with its number, when an action reads it.
     """
-    body = lines.where((F.trim("text") != "") & ~F.trim("text").startswith("#"))
+    bare = S.stripped(F.col("text"))
+    body = lines.where((bare != "") & ~bare.startswith("#"))
     kinds = T.StructType([T.StructField(n, T.StringType()) for n in ("sensor_id", "kind", "timestamp_ns", "sector", "distance_m", "valid")])
     r = body.withColumn("_r", F.from_json("text", kinds))
     need = F.array_sort(F.array_compact(F.array(*[F.when(F.col("_r")[n].isNull(), F.lit(n)) for n in ("sensor_id", "kind", "timestamp_ns", "sector")])))
     fault = S.first_failure(
         [
-            (F.col("_r").isNull() | ~F.trim("text").startswith("{"), "not a JSON object"),
+            (F.col("_r").isNull() | ~bare.startswith("{"), "not a JSON object"),
             (F.size(need) > 0, F.concat(F.lit("missing "), F.array_join(need, ", "))),
             (~F.col("_r")["kind"].isin(*schemas.SENSOR_KINDS), "unknown kind"),
             (~F.col("_r")["sector"].isin(*schemas.SECTORS), "unknown sector"),
@@ -39,8 +41,16 @@ def decode_readings(lines: DataFrame) -> DataFrame:
         ]
     )
     checked = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "), fault)).cast("string")).otherwise(F.col("_r")["sensor_id"])
-    valid = F.lower(F.col("_r")["valid"])
-    truthy = F.when(valid.isNull(), True).otherwise(~valid.isin("false", "0", "0.0", ""))
+    item = F.try_variant_get(F.try_parse_json("text"), "$.valid", "variant")
+    kind, valid = F.schema_of_variant(item), F.col("_r")["valid"]
+    truthy = (
+        F.when(item.isNull(), True)
+        .when(kind == "VOID", False)
+        .when(kind == "BOOLEAN", valid == "true")
+        .when(kind == "STRING", valid != "")
+        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~F.to_json(item).isin("[]", "{}"))
+        .otherwise(valid.try_cast("double") != 0)
+    )
     return r.select(
         "path", F.col("line_no").alias("seq"), checked.alias("sensor_id"), F.col("_r")["kind"].alias("kind"), S.parse_int(F.col("_r")["timestamp_ns"]).alias("timestamp_ns"),
         F.col("_r")["sector"].alias("sector"), S.parse_float(F.col("_r")["distance_m"]).alias("distance_m"), truthy.alias("valid"),
@@ -64,7 +74,8 @@ def _parts(path: Column) -> tuple[Column, Column]:
 
 def scan_image_tree(spark: SparkSession, root: str, source: str) -> DataFrame:
     """(source, split, path, stem, content) under <root>/<split>/images; ``valid`` is val and hides a ``val`` beside it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    names = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x) for x in IMAGE_SUFFIXES) + "}"  # other files are not opened
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
     folder = F.regexp_extract("path", r"/(train|valid|val|test)/images/", 1)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     found = files.select("path", "content", folder.alias("_f")).where((folder != "") & suffix.isin(*IMAGE_SUFFIXES))
@@ -82,10 +93,17 @@ def scan_label_tree(spark: SparkSession, root: str, source: str) -> DataFrame:
 
 
 def scan_processed_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(split, path, content) of images/<split>/*, one level, with ``position`` in train, val, test order."""
+    """(split, path, content, position) of images/<split>/*, one level; ``position`` counts within a split, in path order.
+
+    The tree's order is train, val, test, then position.
+    """
+    from pyspark.sql import Window as W
+
     files = spark.read.format("binaryFile").load(f"{root}/images/*")
     split = F.regexp_extract("path", r"/images/([^/]+)/[^/]+$", 1)
-    return files.select(split.alias("split"), "path", "content").where(split.isin("train", "val", "test"))
+    found = files.select(split.alias("split"), "path").where(F.col("split").isin("train", "val", "test"))
+    placed = found.withColumn("position", F.row_number().over(W.partitionBy("split").orderBy("path")) - 1)
+    return placed.join(files.select("path", "content"), "path").select("split", "path", "content", "position")
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:

@@ -160,6 +160,54 @@ def test_mount_profile(spark):
     assert [r.f is None for r in got] == [True, False, False]
 
 
+def test_mount_profile_without_a_field(spark):
+    good = ("p", "near_top_handle", "forward", 40.0, 80.0, 10.0, 5.0, 0.0, 5.0, True, True, True, False)
+    rows = [good[:k] + (None,) + good[k + 1 :] for k in range(12)]
+    got = spark.createDataFrame(rows, schemas.MOUNT_PROFILE).select(R.mount_failure().alias("f")).collect()
+    assert all(r.f is not None for r in got)
+
+
+def test_white_space_lines_and_worth_of_valid(spark, tmp_path):
+    base = '{"sensor_id":"a","kind":"tof","timestamp_ns":%d,"sector":"left","distance_m":1%s}'
+    values = ["", ',"valid":null', ',"valid":"false"', ',"valid":false', ',"valid":true', ',"valid":0', ',"valid":0.5', ',"valid":""', ',"valid":[]', ',"valid":{"x":1}']
+    lines = ["\t", " \t # note", *[base % (k, v) for k, v in enumerate(values)]]
+    (tmp_path / "t.jsonl").write_text("\n".join(lines))
+    got = readers.read_sensor_trace(spark, str(tmp_path / "t.jsonl")).orderBy("seq").collect()
+    assert [r.valid for r in got] == [True, False, True, False, True, False, True, False, False, True]
+
+
+def test_number_spellings(spark):
+    rows = [("1",), ("1.5e2",), (".5",), ("-3.",), ("inf",), ("1f",), ("1.0d",), ("0x1",), ("",), ("1 2",)]
+    got = [r.f for r in spark.createDataFrame(rows, "t string").select(S.parse_float(F.col("t")).alias("f")).collect()]
+    assert got == [1.0, 150.0, 0.5, -3.0, float("inf"), None, None, None, None, None]
+
+
+def test_strict_replay_and_evaluate(spark):
+    rows = [(0, 1, "a", "tof", 200 * MS, "center", 0.4, True), (0, 2, "a", "tof", 100 * MS, "center", 3.0, True)]
+    readings = spark.createDataFrame(rows, READING)
+    assert U.replay(readings, U.FusionConfig()).count() == 2
+    with pytest.raises(Exception, match="must not decrease"):
+        U.replay(readings, U.FusionConfig(), strict=True).collect()
+    frames = spark.createDataFrame([(0, 0, 190 * MS, [("bicycle", 0.9, "center"), ("person", 0.9, "left")])], "rig_id bigint, seq bigint, model_finished_ns bigint, detections array<struct<class_name: string, confidence: double, sector: string>>")
+    first = U.evaluate(readings, frames, U.FusionConfig()).orderBy("seq").first()
+    assert (first.level, list(first.semantic_labels), first.intensity, first.pulse_period_ms) == ("critical", ["bicycle"], 1.0, 100)
+    assert first.reason == "nearest range 0.400 m; vision labels: bicycle"
+
+
+def test_trees_and_truncated_lists(spark, tmp_path):
+    for name in ("train/b.jpg", "train/a.PNG", "val/c.jpg", "test/d.webp", "other/e.jpg"):
+        (tmp_path / "images" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "images" / name).write_bytes(b"x")
+    got = {(r.split, r.path.rpartition("/")[2], r.position) for r in readers.scan_processed_tree(spark, str(tmp_path)).collect()}
+    assert got == {("train", "a.PNG", 0), ("train", "b.jpg", 1), ("val", "c.jpg", 0), ("test", "d.webp", 0)}
+    for name in ("valid/images/a.JPG", "val/images/b.jpg", "train/images/c.txt", "train/images/d.jpeg"):
+        (tmp_path / "raw" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "raw" / name).write_bytes(b"y")
+    assert {(r.split, r.stem) for r in readers.scan_image_tree(spark, str(tmp_path / "raw"), "s").collect()} == {("val", "a"), ("train", "d")}
+    rows, total, cut = R.truncated(spark.range(7), ["id"], 3)
+    assert ([r.id for r in rows.collect()], total, cut) == ([0, 1, 2], 7, True)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from fluxgrid.streaming.fusion_stream import stream_fusion
 
