@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not place:
         now = sc._jsc.sc().getCheckpointDir()
+        if now.isEmpty() and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = now.get() if now.isDefined() else tempfile.mkdtemp(prefix="fluxgrid-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(place)
