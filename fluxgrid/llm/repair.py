@@ -30,6 +30,8 @@ from fluxgrid.llm import common, tokens
 SHARD_IDS, STEP = 1 << 20, 256
 #: A rule takes 12 bytes and each use saves 2 (16-bit symbols), so it is worth its place from 7 uses on.
 LEAST_COUNT = 7
+#: A pair's code where none stands: its halves are never used.
+NONE = 0xFFFFFFFF
 
 SHARD_COLUMNS = "part int, shard int, first_id_at long, doc_ids array<long>, doc_start array<long>, doc_symbol array<long>, base long, rules binary, lengths binary, width int, symbols binary, n_ids long"
 _SCHEMA = pa.schema(
@@ -39,27 +41,31 @@ _SCHEMA = pa.schema(
 
 def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(symbols, whether each is a document's last, rules as id pairs, first nonterminal) of concatenated documents."""
-    seq, last = ids.astype(np.int64), np.zeros(len(ids), bool)
+    seq, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
     last[ends - 1] = True
     base = int(seq.max(initial=0)) + 1
-    most = (1 << 16) - base if base < 1 << 16 else 1 << 30  # symbols stay in 16 bits if ids are
+    narrow = base < NONE & 0xFFFF  # symbols stay in 16 bits if ids are
+    most = (NONE & 0xFFFF) - base if narrow else 1 << 30
     rules: list[np.ndarray] = []
     made = 0
     while made < most and len(seq) > 1:
-        # a pair is as frequent as its rarer half at most, so only these symbols are numbered, from 1
-        count = np.bincount(seq, minlength=base + made)
-        often = np.flatnonzero(count >= least)
-        if len(often) >= 1 << 16:
-            often = np.sort(often[np.argsort(-count[often], kind="stable")[: (1 << 16) - 1]])
-        rank = np.zeros(len(count), np.uint32)
-        rank[often] = np.arange(1, len(often) + 1)
-        r = rank[seq]
-        code = (r[:-1] << np.uint32(16)) | r[1:]
-        code[(r[:-1] == 0) | (r[1:] == 0) | last[:-1]] = 0
+        half, often, end = seq, None, last[:-1]
+        if not narrow:
+            # a pair is as frequent as its rarer half at most, so only the frequent symbols are numbered, from 1
+            count = np.bincount(seq, minlength=base + made)
+            often = np.flatnonzero(count >= least)
+            if len(often) >= NONE & 0xFFFF:
+                often = np.sort(often[np.argsort(-count[often], kind="stable")[: (NONE & 0xFFFF) - 1]])
+            rank = np.zeros(len(count), np.uint32)
+            rank[often] = np.arange(1, len(often) + 1)
+            half = rank[seq]
+            end = end | (half[:-1] == 0) | (half[1:] == 0)
+        code = (half[:-1] << np.uint32(16)) | half[1:]
+        code[end] = NONE
         runs = np.sort(code)
         head = np.concatenate([[0], np.flatnonzero(runs[1:] != runs[:-1]) + 1])
         pair, times = runs[head], np.diff(head, append=len(runs))
-        worth = (times >= least) & (pair > 0)
+        worth = (times >= least) & (pair != NONE)
         pair, times = pair[worth], times[worth]
         if not len(pair):
             break
@@ -87,7 +93,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> tup
             keep = np.ones(1, bool)
         at, which = at[keep[which]], (np.cumsum(keep) - 1)[which[keep[which]]]
         pair = pair[keep].astype(np.int64)
-        rules.append(np.stack([often[(pair >> 16) - 1], often[(pair & 0xFFFF) - 1]], axis=1))
+        pair = np.stack([pair >> 16, pair & 0xFFFF], axis=1)
+        rules.append(pair if often is None else often[pair - 1])
         seq[at] = base + made + which
         last[at] |= last[at + 1]
         stay = np.ones(len(seq), bool)
@@ -186,7 +193,7 @@ def _written(path: str, shard_ids: int):
 
         for batch in batches:
             own = batch.column(0).to_pylist()
-            for k, ids in tokens.encoded_documents(batch, path):
+            for k, ids in tokens.encoded_documents(batch, path, 4 * common.CHUNK_BYTES):
                 if held and held + len(ids) > shard_ids:
                     yield flush()
                     shard, at, doc_ids, parts, held = shard + 1, at + held, [], [], 0

@@ -167,19 +167,19 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encoded_chunks(batch: pa.RecordBatch, path: str):
+def encoded_chunks(batch: pa.RecordBatch, path: str, most: int):
     """(first row, ids of the chunk's rows with their end ids, ids of each row), in order."""
     text = common.as_string(batch, "text")
-    for a, b in common.chunks(text):
+    for a, b in common.chunks(text, most):
         ids, sizes = encoder(path).encode(text.slice(a, b - a))
         out = np.full(len(ids) + len(sizes), END_ID, np.uint32)
         out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
         yield a, out, sizes + 1
 
 
-def encoded_documents(batch: pa.RecordBatch, path: str):
-    """(row, its ids with the end id) for each row of the batch, in order."""
-    for a, ids, sizes in encoded_chunks(batch, path):
+def encoded_documents(batch: pa.RecordBatch, path: str, most: int = common.CHUNK_BYTES):
+    """(row, its ids with the end id) for each row of the batch, in order; about ``most`` bytes of text are encoded at once."""
+    for a, ids, sizes in encoded_chunks(batch, path, most):
         at = 0
         for k, n in enumerate(sizes.tolist()):
             yield a + k, ids[at : at + n]

@@ -45,9 +45,10 @@ def test_token_shards_round_trip(spark, tmp_path):
     assert repair.read_token_digests(spark, empty).collect() == []
 
 
-def test_grammar_leaves_no_pair_that_is_worth_a_rule():
+@pytest.mark.parametrize("wide", [0, 200_000])
+def test_grammar_leaves_no_pair_that_is_worth_a_rule(wide):
     draw = np.random.default_rng(7)
-    phrases = [draw.integers(2, 90, 9) for _ in range(40)]
+    phrases = [draw.integers(2, 90, 9) + wide for _ in range(40)]
     parts = [np.concatenate([phrases[k] for k in draw.integers(0, 40, 60)]) for _ in range(30)] + [np.full(101, 5)]
     ends = np.cumsum([len(p) for p in parts])
     symbols, last, rules, base = repair.compress(np.concatenate(parts).astype(np.uint32), ends)
