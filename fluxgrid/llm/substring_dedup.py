@@ -32,8 +32,8 @@ from fluxgrid.llm.shingles import mix, word_hashes
 WINDOW, GRAM = 35, 8
 #: Rows of the sketch, and bits of a cell's number: 2 x 2^28 cells are 64 MB when merged.
 ROWS, CELL_BITS = 2, 28
-#: Anchors that a task gathers before it emits their cells; exceptions up to which they are broadcast.
-FLUSH, MOST_EXCEPTIONS = 1 << 21, 2_000_000
+#: Anchors that a task gathers before it emits their cells.
+FLUSH = 1 << 21
 #: Bits of a block of the merged sketch, as bitmap_construct_agg makes them.
 _BLOCK_BITS = 15
 U = np.uint64
@@ -205,9 +205,8 @@ def substring_dedup(docs: DataFrame, bits: int = CELL_BITS) -> DataFrame:
                 digests = [hashlib.sha256(b" ".join(compress((t or "").encode().split(), stays[first[k] : first[k + 1]]))).hexdigest() for k, t in enumerate(part.to_pylist())]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size, pa.int64()), pa.array(sums[first[1:]] - sums[first[:-1]], pa.int64()), pa.array(digests)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    found, places = once.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
-    told = common.small_join(texts, once, ["key"], "left", rows=max(found, places * common.BROADCAST_ROWS // MOST_EXCEPTIONS))
-    return told.select("doc_id", "text", "places").mapInArrow(common.trimmed(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    # exceptions grow with the input: the planner broadcasts them only where their files are under its own limit of bytes
+    return texts.join(once, "key", "left").select("doc_id", "text", "places").mapInArrow(common.trimmed(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op13_substring_dedup(spark, sf_dir: str) -> DataFrame:
