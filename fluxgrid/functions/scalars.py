@@ -100,7 +100,7 @@ def celsius(x: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def parse_int(token: Column) -> Column:

@@ -9,20 +9,32 @@ from pyspark.sql import functions as F
 from fluxgrid.functions import scalars as S
 
 
-
 def split_rank(split: Column) -> Column:
     return F.when(split == "test", 3).when(split == "val", 2).otherwise(1)
 
 
-def _box(t: Column) -> Column:
-    """center_x, center_y, width, height of a detection's or a polygon's coordinates, nulls if neither."""
-    c = F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(1))), lambda x: S.parse_float(x))
-    bad = F.exists(c, lambda x: x.isNull())
-    xs, ys = F.filter(c, lambda _, i: i % 2 == 0), F.filter(c, lambda _, i: i % 2 == 1)
-    x1, x2, y1, y2 = F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
-    four = F.struct(F.get(c, F.lit(0)).alias("cx"), F.get(c, F.lit(1)).alias("cy"), F.get(c, F.lit(2)).alias("w"), F.get(c, F.lit(3)).alias("h"))
-    polygon = F.struct(((x1 + x2) / 2).alias("cx"), ((y1 + y2) / 2).alias("cy"), (x2 - x1).alias("w"), (y2 - y1).alias("h"))
-    return F.when(~bad & (F.size(t) == 5), four).when(~bad & (F.size(t) >= 7) & (F.size(t) % 2 == 1), polygon)
+def _fields(lines: DataFrame) -> DataFrame:
+    """Non-blank lines with ``_n`` (tokens), ``class_id`` and four numbers ``_1`` to ``_4``; ``_c`` has all numbers of a longer line.
+
+    Each is a column of its own projection, so that no rule splits or parses a line again.
+    """
+    t = lines.withColumn("_t", S.tokens(F.col("text"))).withColumn("_n", F.size("_t")).where("_n > 0")
+    numbers = {f"_{k}": S.parse_float(F.get("_t", F.lit(k))) for k in range(1, 5)}
+    longer = F.when((F.col("_n") >= 7) & (F.col("_n") % 2 == 1), F.transform(F.slice("_t", 2, F.col("_n") - 1), lambda x: S.parse_float(x)))
+    return t.withColumns({"class_id": S.parse_int(F.get("_t", F.lit(0))), **numbers, "_c": longer}).drop("_t")
+
+
+def _boxes(t: DataFrame) -> DataFrame:
+    """Adds center and size of a detection or a polygon as ``_cx``, ``_cy``, ``_w``, ``_h``: nulls if a line is neither."""
+    four = F.col("_n") == 5
+    for k in range(1, 5):
+        four = four & F.col(f"_{k}").isNotNull()
+    sure = F.when(~F.exists("_c", lambda x: x.isNull()), F.col("_c"))
+    at = lambda odd: F.filter(sure, lambda _, i: i % 2 == odd)
+    t = t.withColumns({"_x1": F.array_min(at(0)), "_x2": F.array_max(at(0)), "_y1": F.array_min(at(1)), "_y2": F.array_max(at(1))})
+    x1, x2, y1, y2 = (F.col(c) for c in ("_x1", "_x2", "_y1", "_y2"))
+    box = {"_cx": ("_1", (x1 + x2) / 2), "_cy": ("_2", (y1 + y2) / 2), "_w": ("_3", x2 - x1), "_h": ("_4", y2 - y1)}
+    return t.withColumns({name: F.when(four, F.col(field)).otherwise(polygon) for name, (field, polygon) in box.items()}).drop("_1", "_2", "_3", "_4", "_c", "_x1", "_x2", "_y1", "_y2")
 
 
 def parse_labels(lines: DataFrame, class_map: DataFrame) -> DataFrame:
@@ -31,11 +43,10 @@ def parse_labels(lines: DataFrame, class_map: DataFrame) -> DataFrame:
     ``class_map`` has (source, class_id, source_class, target_class, mapped).
     A line of a class mapped to nothing is dropped before its box is looked at.
     """
-    t = lines.withColumn("_t", S.tokens(F.col("text"))).where(F.size("_t") > 0)
-    t = t.withColumn("class_id", S.parse_int(F.get("_t", F.lit(0)))).withColumn("_b", _box(F.col("_t")))
+    t = _boxes(_fields(lines))
     known = class_map.select("source", F.col("class_id").cast("bigint").alias("class_id"), "source_class", "target_class", "mapped")
     j = t.join(known, ["source", "class_id"], "left")
-    b = F.col("_b")
+    cx, cy, w, h = (F.col(c) for c in ("_cx", "_cy", "_w", "_h"))
     unit = lambda x: S.finite(x) & x.between(0.0, 1.0)
     error = S.first_failure(
         [
@@ -43,45 +54,46 @@ def parse_labels(lines: DataFrame, class_map: DataFrame) -> DataFrame:
             (F.col("source_class").isNull(), "class id outside source taxonomy"),
             (~F.coalesce("mapped", F.lit(False)), "source class has no explicit mapping"),
             (F.col("target_class").isNull(), F.lit(None).cast("string")),
-            (b.isNull(), "neither detection nor polygon"),
-            (~(unit(b["cx"]) & unit(b["cy"]) & unit(b["w"]) & unit(b["h"])), "not normalized"),
-            ((b["w"] <= 0) | (b["h"] <= 0), "width and height must be positive"),
-            ((b["cx"] - b["w"] / 2 < -1e-6) | (b["cx"] + b["w"] / 2 > 1 + 1e-6), "outside image width"),
-            ((b["cy"] - b["h"] / 2 < -1e-6) | (b["cy"] + b["h"] / 2 > 1 + 1e-6), "outside image height"),
+            (cx.isNull(), "neither detection nor polygon"),
+            (~(unit(cx) & unit(cy) & unit(w) & unit(h)), "not normalized"),
+            ((w <= 0) | (h <= 0), "width and height must be positive"),
+            ((cx - w / 2 < -1e-6) | (cx + w / 2 > 1 + 1e-6), "outside image width"),
+            ((cy - h / 2 < -1e-6) | (cy + h / 2 > 1 + 1e-6), "outside image height"),
         ]
     )
     j = j.withColumn("error", error)
     status = F.when(F.col("error").isNotNull(), "error").when(F.col("target_class").isNull(), "dropped").otherwise("kept")
     kept = F.col("status") == "kept"
     out = j.withColumn("status", status)
-    for name, f in (("center_x", "cx"), ("center_y", "cy"), ("width", "w"), ("height", "h")):
-        out = out.withColumn(name, F.when(kept, b[f]))
-    return out.drop("_t", "_b", "mapped")
+    out = out.withColumns({name: F.when(kept, value) for name, value in (("center_x", cx), ("center_y", cy), ("width", w), ("height", h))})
+    return out.drop("_n", "_cx", "_cy", "_w", "_h", "mapped")
 
 
 def audit_lines(lines: DataFrame, classes: int) -> DataFrame:
     """(key columns, line_no, error) of each non-blank line; the audit's rules: five fields, no polygons, no edge test."""
-    t = lines.withColumn("_t", S.tokens(F.col("text"))).where(F.size("_t") > 0)
-    c = F.transform("_t", lambda x: S.parse_float(x))
-    k = S.parse_int(F.get("_t", F.lit(0)))
-    at = lambda i: F.get(c, F.lit(i))
+    t = _fields(lines)
+    k, x, y, w, h = (F.col(c) for c in ("class_id", "_1", "_2", "_3", "_4"))
     no = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "))
     error = S.first_failure(
         [
-            (F.size("_t") != 5, F.concat(no, F.lit("expected 5 tokens, found "), F.size("_t").cast("string"))),
-            (k.isNull() | F.exists(F.slice(c, 2, 4), lambda x: x.isNull()), F.concat(no, F.lit("non-numeric field"))),
+            (F.col("_n") != 5, F.concat(no, F.lit("expected 5 tokens, found "), F.col("_n").cast("string"))),
+            (k.isNull() | x.isNull() | y.isNull() | w.isNull() | h.isNull(), F.concat(no, F.lit("non-numeric field"))),
             (~k.between(0, classes - 1), F.concat(no, F.lit("class "), k.cast("string"), F.lit(f" outside [0,{classes})"))),
-            (~(at(1).between(0.0, 1.0) & at(2).between(0.0, 1.0)), F.concat(no, F.lit("center outside normalized bounds"))),
-            (~((at(3) > 0) & (at(3) <= 1.0) & (at(4) > 0) & (at(4) <= 1.0)), F.concat(no, F.lit("box size outside normalized bounds"))),
+            (~(x.between(0.0, 1.0) & y.between(0.0, 1.0)), F.concat(no, F.lit("center outside normalized bounds"))),
+            (~((w > 0) & (w <= 1.0) & (h > 0) & (h <= 1.0)), F.concat(no, F.lit("box size outside normalized bounds"))),
         ]
     )
-    return t.withColumn("class_id", k).withColumn("error", error).drop("_t")
+    return t.withColumn("error", error).drop("_n", "_1", "_2", "_3", "_4", "_c")
 
 
 def errors_by_key(audited: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key, its errors in line order."""
-    bad = audited.where("error is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "error"))).alias("_e"))
-    return bad.select(*keys, F.transform("_e", lambda e: e["error"]).alias("errors"))
+    """Per key, its errors in line order.
+
+    Lines without an error are left out by the aggregation: a filter would be
+    pushed below the parsing and repeat it for every rule.
+    """
+    bad = audited.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("line_no", "error")))).alias("_e"))
+    return bad.where(F.size("_e") > 0).select(*keys, F.transform("_e", lambda e: e["error"]).alias("errors"))
 
 
 def pair_labels(images: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
