@@ -144,7 +144,8 @@ def _hashed(contents: pd.Series) -> pd.DataFrame:
             rows.append((hashlib.sha256(data).hexdigest(), difference_bits(data), None))
         except Exception as fault:  # a corrupt picture is a row of the report, not the end of the audit
             rows.append((None, None, str(fault) or type(fault).__name__))
-    return pd.DataFrame(rows, columns=["sha256", "dhash64", "fault"]).astype({"dhash64": "Int64"})
+    # whole numbers with gaps: through floats they would lose their last bits
+    return pd.DataFrame({"sha256": [r[0] for r in rows], "dhash64": pd.array([r[1] for r in rows], dtype="Int64"), "fault": [r[2] for r in rows]})
 
 
 def picture_hashes(content: Column) -> Column:

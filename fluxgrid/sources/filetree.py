@@ -1,4 +1,7 @@
-"""Writer of whole file trees: rows become files under a staging folder, which is renamed into place when all tasks have succeeded.
+"""Writer of whole file trees, and a list of files that has the empty ones too.
+
+Rows of the writer become files under a staging folder, which is renamed into
+place when all tasks have succeeded.
 
     files.write.format("filetree").mode("append").option("path", out).save()
 
@@ -21,7 +24,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "path string, source string, content binary"
 STAGING, PREVIOUS = ".tmp", ".previous"
@@ -152,3 +155,52 @@ def write_tree(files: DataFrame, out: str, notes: dict[str, str] | None = None,
         if value is not None:
             writer = writer.option(name, value)
     writer.save()
+
+
+@dataclass
+class Folder(InputPartition):
+    """A folder of which one task lists the files; a deep one with all below it."""
+
+    path: str
+    deep: bool
+
+
+class FileListReader(DataSourceReader):
+    """One task per folder of the first levels.  The driver looks for folders only, ``levels`` deep; tasks list the rest."""
+
+    def __init__(self, options: dict) -> None:
+        self.root, self.levels = local(options["path"]), int(options.get("levels", "3"))
+
+    def partitions(self) -> list:
+        found, level = [], [self.root]
+        for depth in range(self.levels):
+            last = depth == self.levels - 1
+            found += [Folder(p, last) for p in level]
+            level = [] if last else [e.path for p in level for e in os.scandir(p) if e.is_dir()]
+        return found
+
+    def read(self, partition: Folder) -> Iterator[tuple]:
+        walk = os.walk(partition.path, followlinks=True) if partition.deep else [next(os.walk(partition.path))]
+        for folder, _, names in walk:
+            for name in names:
+                place = os.path.join(folder, name)
+                yield f"file:{os.path.abspath(place)}", os.path.getsize(place)
+
+
+class FileList(DataSource):
+    """(path, bytes) of every file below a folder.  Spark's own file sources leave empty files out."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "filelist"
+
+    def schema(self) -> str:
+        return "path string, bytes bigint"
+
+    def reader(self, schema) -> FileListReader:
+        return FileListReader(dict(self.options))
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    spark.dataSource.register(FileList)
+    return spark.read.format("filelist").option("path", root).load()

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from fluxgrid import schemas
 from fluxgrid.functions import scalars as S
+from fluxgrid.sources.filetree import list_files
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp")
 
@@ -19,6 +20,14 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("path", (F.col("i") + 1).alias("line_no"), "text")
 
 
+def small_file_lines(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """(path, line_no, text) of all small text files below a folder; an empty file is one line without text."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(root)
+    lines = files.select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), r"\r\n|\n|\r")).alias("i", "text"))
+    empty = list_files(spark, root).where((F.col("bytes") == 0) & F.col("path").endswith(suffix)).select("path", F.lit(1).alias("line_no"), F.lit("").alias("text"))
+    return lines.select("path", (F.col("i") + 1).alias("line_no"), "text").unionByName(empty)
+
+
 def decode_readings(lines: DataFrame) -> DataFrame:
     """Sensor readings of (path, line_no, text) rows; blank and ``#`` lines are skipped.
 
@@ -85,11 +94,17 @@ def scan_image_tree(spark: SparkSession, root: str, source: str) -> DataFrame:
 
 
 def scan_label_tree(spark: SparkSession, root: str, source: str) -> DataFrame:
-    """(source, split, stem, line_no, text) of the label files under <root>/<split>/labels."""
-    lines = numbered_lines(spark, f"{root}/*/labels/*.txt")
+    """(source, split, stem, line_no, text) of the label files under <root>/<split>/labels; where images lie under ``valid``, ``val`` is hidden.
+
+    An empty file is one line without text.
+    """
+    lines = small_file_lines(spark, root, ".txt")
     _, stem = _parts(F.col("path"))
-    folder = F.regexp_extract("path", r"/(train|valid|val|test)/labels/", 1)
-    return lines.where(folder != "").select(F.lit(source).alias("source"), F.when(folder == "valid", "val").otherwise(folder).alias("split"), stem.alias("stem"), "line_no", "text")
+    folder = F.regexp_extract("path", r"/(train|valid|val|test)/labels/[^/]+$", 1)
+    images = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("path").rlike(r"/valid/images/"))
+    hides = images.select(F.lit("val").alias("_f")).distinct()
+    found = lines.withColumn("_f", folder).where("_f <> ''").join(F.broadcast(hides), "_f", "left_anti")
+    return found.select(F.lit(source).alias("source"), F.when(F.col("_f") == "valid", "val").otherwise(F.col("_f")).alias("split"), stem.alias("stem"), "line_no", "text")
 
 
 def scan_processed_tree(spark: SparkSession, root: str) -> DataFrame:
