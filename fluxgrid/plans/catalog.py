@@ -7,15 +7,20 @@ intervals), so that it is an independent oracle.
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxgrid.functions import scalars as S
+from fluxgrid.operators import builds as B
 from fluxgrid.operators import dataset as D
 from fluxgrid.operators import fusion as U
 from fluxgrid.operators import reports as R
 from fluxgrid.operators import sequences as Q
-from fluxgrid.session import configure
+from fluxgrid.session import configure, shared_dir
+from fluxgrid.streaming.evaluate_stream import STATE_STORE, stream_evaluate
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -23,12 +28,27 @@ HOUR_NS = 3_600_000_000_000
 CONFIG = U.FusionConfig(warning_distance_m=25.0, critical_distance_m=10.0, sensor_stale_after_ms=3_600_000.0, vision_stale_after_ms=7_200_000.0, vision_confidence=0.35)
 
 
+@dataclass(frozen=True)
+class Tables:
+    """The harness tables by name."""
+
+    spark: SparkSession
+    folder: str
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    def stream(self, name: str) -> DataFrame:
+        """The table as a stream; as a pattern, its path may name a file as well as a folder."""
+        return self.spark.readStream.schema(self(name).schema).parquet(f"{self.folder}/{name}.parque[t]")
+
+
 def query(sql: str | None):
     """Register a query under its function's name, with its SQL if there is any."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: configure(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
+            return f(Tables(configure(spark), sf_dir))
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
@@ -92,11 +112,50 @@ SELECT d.rig_id, d.seq, d.level, CASE WHEN d.level <> 'sensor_fault' AND d.times
 FROM decisions d ASOF LEFT JOIN frames f ON d.rig_id = f.rig_id AND d.seq >= f.seq""")
 def fusion_vision_labels(t):
     """Decisions with the labels of the latest frame: views and purchases are frames of one detection."""
-    e = t("events").where(F.col("event_type").isin("view", "purchase"))
+    frames = vision_frames(t("events"))
+    return U.attach_vision(U.fuse_ranges(readings(t), CONFIG), frames, CONFIG).select("rig_id", "seq", "level", joined("semantic_labels").alias("semantic_labels"))
+
+
+EVALUATED_SQL = f"""WITH {READING_SQL}, frames AS (SELECT user_id % 10 AS rig_id, event_id AS seq, epoch_us(ts) * 1000 AS fin, value / 100 AS conf, event_type AS label,
+  CASE user_id % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'center' ELSE 'right' END AS s FROM events WHERE event_type IN ('view', 'purchase')),
+seen AS (SELECT d.*, CASE WHEN d.level <> 'sensor_fault' AND d.timestamp_ns - f.fin BETWEEN 0 AND 2 * {HOUR_NS} AND f.conf >= 0.35
+    AND (d.level = 'clear' OR list_contains(CASE d.level WHEN 'critical' THEN c ELSE w END, f.s)) THEN f.label ELSE '' END AS semantic_labels
+  FROM decisions d ASOF LEFT JOIN frames f ON d.rig_id = f.rig_id AND d.seq >= f.seq)
+SELECT rig_id, seq, level, nearest_distance_m, CAST(n AS INTEGER) AS fresh_range_sensor_count, semantic_labels,
+  CASE level WHEN 'critical' THEN 1.0 WHEN 'warning' THEN 0.65 WHEN 'sensor_fault' THEN 0.35 ELSE 0.0 END::DOUBLE AS intensity,
+  CASE level WHEN 'sensor_fault' THEN 'no fresh valid range sensor reading' WHEN 'clear' THEN 'all fresh range readings exceed warning distance'
+    ELSE printf('nearest range %.3f m', nearest_distance_m) || CASE WHEN semantic_labels = '' THEN '' ELSE '; vision labels: ' || semantic_labels END END AS reason FROM seen"""
+
+
+def vision_frames(events: DataFrame, *more: str) -> DataFrame:
+    e = events.where(F.col("event_type").isin("view", "purchase"))
     sector = F.element_at(F.array(F.lit("left"), F.lit("center"), F.lit("right")), (F.col("user_id") % 3 + 1).cast("int"))
     detection = F.struct(F.col("event_type").alias("class_name"), (F.col("value") / 100).alias("confidence"), sector.alias("sector"))
-    frames = e.select((F.col("user_id") % 10).alias("rig_id"), F.col("event_id").alias("seq"), ns(F.col("ts")).alias("model_finished_ns"), F.array(detection).alias("detections"))
-    return U.attach_vision(U.fuse_ranges(readings(t), CONFIG), frames, CONFIG).select("rig_id", "seq", "level", joined("semantic_labels").alias("semantic_labels"))
+    return e.select((F.col("user_id") % 10).alias("rig_id"), F.col("event_id").alias("seq"), ns(F.col("ts")).alias("model_finished_ns"), F.array(detection).alias("detections"), *more)
+
+
+def evaluated(decisions: DataFrame) -> DataFrame:
+    return decisions.select("rig_id", "seq", "level", "nearest_distance_m", "fresh_range_sensor_count", joined("semantic_labels").alias("semantic_labels"), "intensity", "reason")
+
+
+@query(EVALUATED_SQL)
+def fusion_evaluate(t):
+    """Whole decisions, with labels, reason and command."""
+    return evaluated(U.evaluate(readings(t), vision_frames(t("events")), CONFIG))
+
+
+@query(EVALUATED_SQL)
+def fusion_stream(t):
+    """The same decisions from two streams over the events, run until all that is there is decided."""
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    arrived = F.timestamp_millis(F.col("event_id") + 1)  # a time of zero is late from the start
+    own = lambda name: t.stream(name).withColumn("arrived", arrived)
+    r = readings(own).withColumn("arrived", F.timestamp_millis(F.col("seq") + 1))
+    decided = evaluated(stream_evaluate(r, vision_frames(own("events"), "arrived"), CONFIG, "0 seconds"))
+    place = f"{shared_dir(t.spark)}/fusion-{uuid.uuid4().hex}"
+    run = decided.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return t.spark.read.schema(decided.schema).parquet(f"{place}/out")
 
 
 @query("SELECT user_id AS sensor_id, event_id AS seq, epoch_us(ts) * 1000 AS timestamp_ns, value AS distance_m FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -293,6 +352,21 @@ def decontaminate(t):
     return D.decontaminate(r, D.near_pairs(r, 18)).select("path", "split")
 
 
+@query(f"""WITH img AS (SELECT doc_id, {SPLIT.format('doc_id')} AS split, sha256(text) AS sha, doc_id // 2 * 2654435761 AS h, doc_id % 50 = 0 AS broken FROM documents),
+ok AS (SELECT *, CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS o FROM img WHERE NOT broken), groups AS (SELECT sha, count(*) AS n, count(DISTINCT split) AS s FROM ok GROUP BY 1),
+found AS (SELECT (SELECT count(*) FROM img WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS missing_labels, (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id IN (SELECT doc_id FROM img) AND toxic = 0) AS invalid_label_files,
+  (SELECT count(*) FROM img WHERE broken) AS unreadable_images, (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM img)) AS orphan_labels, (SELECT count(*) FROM groups WHERE n > 1 AND s > 1) AS cross_split_groups,
+  (SELECT count(*) FROM groups WHERE n > 1) AS exact_groups, (SELECT count(*) FROM ok a JOIN ok b ON (a.o, a.doc_id) < (b.o, b.doc_id) AND a.o <> b.o AND a.sha <> b.sha AND bit_count(xor(a.h, b.h)) <= 3) AS pairs)
+SELECT *, missing_labels + invalid_label_files + unreadable_images + orphan_labels + cross_split_groups AS hard_error_count, hard_error_count = 0 AS gate_passed, pairs > 0 AS visual_review_required FROM found""")
+def audit_summary(t):
+    """The audit of documents as images: every fiftieth cannot be read, labels are label lines whose height is toxicity."""
+    path = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    images = t("documents").select(split_of(F.col("doc_id")).alias("split"), path.alias("path"), path.alias("stem"), F.sha2("text", 256).alias("sha256"), (F.floor(F.col("doc_id") / 2) * 2654435761).alias("dhash64"), F.when(F.col("doc_id") % 50 == 0, "broken").alias("fault"))
+    text = F.concat(F.col("quality").cast("string"), F.lit(" 0.5 0.5 0.2 "), F.col("toxic").cast("string"))
+    labels = t("labels").select(split_of(F.col("doc_id")).alias("split"), path.alias("stem"), F.lit(1).alias("line_no"), text.alias("text"))
+    return B.audit_summary(B.audit_tables(images, labels, 2, 3))
+
+
 @query("SELECT doc_id, 'orphan' AS problem FROM labels WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'unlabelled' FROM documents WHERE doc_id % 7 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
 def orphan_labels(t):
     """Labels without a document (those of every seventh are left out), and documents without labels."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -23,3 +25,17 @@ def build(master: str = "local[*]", **extra: str) -> SparkSession:
     for key, value in (SETTINGS | extra).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share; a local one only where the master is local and none is set."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if not place:
+        now = sc._jsc.sc().getCheckpointDir()
+        if now.isEmpty() and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        place = now.get() if now.isDefined() else tempfile.mkdtemp(prefix="fluxgrid-")
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(place)
+    return place

@@ -122,7 +122,7 @@ def stream_evaluate(readings: DataFrame, frames: DataFrame, config: FusionConfig
     sure = F.transform(F.filter("detections", lambda d: d["confidence"] >= config.vision_confidence), lambda d: F.concat_ws("|", F.coalesce(d["sector"], F.lit("")), d["class_name"]))
     none = F.lit(None)
     # times are never null here: pandas would make floats of them, and lose nanoseconds
-    ranged = readings.select("rig_id", "seq", "arrived", F.lit(True).alias("reading"), F.col("timestamp_ns").alias("at_ns"), "sensor_id", "sector", "distance_m", F.coalesce(usable_range(), F.lit(False)).alias("usable"), none.cast("array<string>").alias("labels"))
+    ranged = readings.select("rig_id", "seq", "arrived", F.lit(True).alias("reading"), F.col("timestamp_ns").alias("at_ns"), F.col("sensor_id").cast("string").alias("sensor_id"), "sector", "distance_m", F.coalesce(usable_range(), F.lit(False)).alias("usable"), none.cast("array<string>").alias("labels"))
     seen = frames.select(
         "rig_id", "seq", "arrived", F.lit(False).alias("reading"), F.col("model_finished_ns").alias("at_ns"), none.cast("string").alias("sensor_id"),
         none.cast("string").alias("sector"), none.cast("double").alias("distance_m"), F.lit(False).alias("usable"), sure.alias("labels"),
