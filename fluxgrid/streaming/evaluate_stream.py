@@ -31,8 +31,8 @@ _DECIDED = (
 class RigState(StatefulProcessor):
     """State of one rig: its sensors' newest readings, the newest frame, and the rows that wait for the watermark.
 
-    The rows that wait are keyed by ``seq``, a frame before a reading of the same
-    one; a timer at each row's arrival lets them go when nothing else arrives.
+    The rows that wait are one list.  Timers let them go when nothing else
+    arrives: one at the last row's arrival, and one for each whole second before.
     """
 
     def __init__(self, config: FusionConfig) -> None:
@@ -43,41 +43,40 @@ class RigState(StatefulProcessor):
         self.handle = handle
         self.sensors = handle.getMapState("sensors", "sensor_id string", "timestamp_ns bigint, sector string, distance_m double, usable boolean")
         self.frame = handle.getValueState("frame", f"model_finished_ns bigint, {_LABELS}")
-        self.waiting = handle.getMapState("waiting", "seq bigint, reading boolean, n bigint", f"arrived_ms bigint, at_ns bigint, {_READING}, {_LABELS}")
+        self.waiting = handle.getListState("waiting", f"seq bigint, reading boolean, arrived_ms bigint, at_ns bigint, {_READING}, {_LABELS}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         now, later = [], []
         for batch in rows:
             for r in batch.itertuples(index=False):
-                kept = (int(r.arrived_ms), int(r.at_ns), *(None if pd.isna(x) else x for x in (r.sensor_id, r.sector, r.distance_m)), bool(r.usable), None if r.labels is None else list(r.labels))
-                (now if kept[0] <= passed else later).append(((int(r.seq), bool(r.reading)), kept))
-        timers = set(self.handle.listTimers()) if later else set()
-        # several rows of one seq wait side by side
-        for (seq, reading), kept in later:
-            n = 0
-            while self.waiting.containsKey((seq, reading, n)):
-                n += 1
-            self.waiting.updateValue((seq, reading, n), kept)
-            if kept[0] not in timers:
-                self.handle.registerTimer(kept[0])
-                timers.add(kept[0])
-        yield from self._decided(key[0], now, passed)
+                kept = (int(r.seq), bool(r.reading), int(r.arrived_ms), int(r.at_ns), *(None if pd.isna(x) else x for x in (r.sensor_id, r.sector, r.distance_m)), bool(r.usable), None if r.labels is None else list(r.labels))
+                (now if kept[2] <= passed else later).append(kept)
+        if later:
+            last = max(r[2] for r in later)
+            for at in {last, *(-(-r[2] // 1000) * 1000 for r in later)} - set(self.handle.listTimers()):
+                self.handle.registerTimer(at)
+        yield from self._decided(key[0], now, later, passed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._decided(key[0], [], timerValues.getCurrentWatermarkInMs())
-
-    def _decided(self, rig: int, rows: list, passed: int) -> Iterator[pd.DataFrame]:
-        due = [(k, v) for k, v in self.waiting.iterator() if v[0] <= passed]
-        for k, _ in due:
-            self.waiting.removeKey(tuple(k))
-        ordered = sorted([((k[0], k[1]), tuple(v)) for k, v in due] + rows, key=lambda x: x[0])
+        yield from self._decided(key[0], [], [], timerValues.getCurrentWatermarkInMs())
+
+    def _decided(self, rig: int, now: list, later: list, passed: int) -> Iterator[pd.DataFrame]:
+        waiting = [tuple(r) for r in self.waiting.get()]
+        due = [r for r in waiting if r[2] <= passed]
+        if due:
+            self.waiting.clear()
+            later = [r for r in waiting if r[2] > passed] + later
+        if later:
+            self.waiting.appendList(later)
+        # a frame of the same seq comes before a reading
+        ordered = sorted(due + now, key=lambda r: r[:2])
         if not ordered:
             return
         sensors = {k[0]: tuple(v) for k, v in self.sensors.iterator()}
         frame = self.frame.get() if self.frame.exists() else None
         changed, seen, out = set(), False, []
-        for (seq, reading), (_, at, sensor, sector, distance, usable, labels) in ordered:
+        for seq, reading, _, at, sensor, sector, distance, usable, labels in ordered:
             if not reading:
                 if frame is None or at >= frame[0]:
                     frame, seen = (at, labels), True
