@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb, log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -147,30 +150,92 @@ def exact_groups(records: DataFrame) -> DataFrame:
     return g.where("n > 1").withColumn("cross_split", F.size("splits") > 1)
 
 
+#: Keys that one hash may be looked up under in one slice.
+MOST_PROBES = 4_096
+
+
+def probe_plan(threshold: int, weights: list[float], n: int) -> list[tuple[int, list[int]]]:
+    """Slices of the 64 bits as (mask, flips): hashes within ``threshold`` bits agree in a slice's bits after one of its flips.
+
+    With m slices, some slice differs in no more than threshold / m bits, and
+    all but the first threshold mod m + 1 slices need look one bit less far.
+    Bits go to the slices in turn, by ``weights`` (their entropy), so that each
+    tells as much as another and neighbours are apart.  m is chosen for ``n``
+    hashes: keys to look up against pairs that will meet.
+    """
+    if not 0 <= threshold < 64:
+        raise ValueError("the threshold must be in [0, 63]")
+    order = sorted(range(64), key=lambda b: (-weights[b], b))
+    best = None
+    for m in range(1, threshold + 2):
+        reach, rest = divmod(threshold, m)
+        slices = [(order[k::m], reach if k <= rest else reach - 1) for k in range(m)]
+        keys = [sum(comb(len(bits), i) for i in range(r + 1)) for bits, r in slices]
+        if max(keys) > MOST_PROBES:
+            continue
+        met = sum(k / 2 ** sum(weights[b] for b in bits) for k, (bits, _) in zip(keys, slices, strict=True))
+        cost = n * sum(keys) + n * n / 2 * min(met, m)
+        if best is None or cost < best[0]:
+            best = (cost, [s for s in slices if s[1] >= 0])
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    masks = lambda bits: signed(sum(1 << b for b in bits))
+    return [(masks(bits), [masks(flip) for i in range(reach + 1) for flip in combinations(bits, i)]) for bits, reach in best[1]]
+
+
+def hash_pairs(hashes: DataFrame, threshold: int, *more: str) -> DataFrame:
+    """(hash_l, hash_r, distance, and ``more`` columns of both) of distinct ``dhash64`` values, hash_l < hash_r, that differ in at most ``threshold`` bits.
+
+    One hash of a pair is looked up under all keys within a slice's reach, the
+    other lies under its own, so hashes meet by equality.  A pair is kept in the
+    first slice that finds it.  The figures for the plan, a count and how often
+    each bit is set, are one row.
+    """
+    h = F.col("dhash64")
+    bit = lambda k: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(1).cast("bigint"))
+    first, *ones = hashes.agg(F.count("*"), *[F.coalesce(F.sum(bit(k)), F.lit(0)) for k in range(64)]).first()
+    share = [one / first if first else 0.5 for one in ones]
+    entropy = [-sum(p * log2(p) for p in (s, 1 - s) if p > 0) for s in share]
+    plan = probe_plan(threshold, entropy, first)
+    both = lambda s: [F.col(c).alias(f"{c}_{s}") for c in more]
+    keyed = hashes.select(h.alias("hash_r"), *both("r"), F.posexplode(F.array(*[h.bitwiseAND(F.lit(mask)) for mask, _ in plan])).alias("k", "key"))
+    flips = F.array(*[F.array(*[F.lit(f) for f in flip]) for _, flip in plan])
+    asked = hashes.select(h.alias("hash_l"), *both("l"), F.posexplode(F.array(*[h.bitwiseAND(F.lit(mask)) for mask, _ in plan])).alias("k", "own"))
+    asked = asked.select("hash_l", *[f"{c}_l" for c in more], "k", F.explode(F.transform(F.get(flips, F.col("k")), lambda f: F.col("own").bitwiseXOR(f))).alias("key"))
+    x = F.col("hash_l").bitwiseXOR(F.col("hash_r"))
+    earlier = F.lit(False)
+    for k, (mask, flip) in enumerate(plan[:-1]):
+        reach = max(bin(f & (1 << 64) - 1).count("1") for f in flip)
+        earlier = earlier | ((F.col("k") > k) & (F.bit_count(x.bitwiseAND(F.lit(mask))) <= reach))
+    met = asked.join(keyed, ["k", "key"]).where((F.col("hash_l") < F.col("hash_r")) & (F.bit_count(x) <= threshold) & ~earlier)
+    return met.select("hash_l", "hash_r", F.bit_count(x).cast("int").alias("distance"), *[f"{c}_{s}" for c in more for s in "lr"])
+
+
 def near_pairs(records: DataFrame, threshold: int, order: list[str] | None = None) -> DataFrame:
     """Pairs of different split and content whose 64-bit hashes differ in at most ``threshold`` bits.
 
-    Equal (hash, split, sha256) rows meet as one representative with an array of
-    rows; slices that no two hashes share are dropped by the equi-join.  A pair
-    is kept in its first common slice only, so none is made twice.  The plan
-    has hash or sort-merge joins alone.
+    Hashes meet first, each value once; then they are spread out to their
+    splits, to their contents and to rows, always by equality.  So neither many
+    images of one hash in one split nor many copies of one image make pairs
+    that a filter would have to drop.
     """
     order = order or ["path"]
-    layout = S.slice_layout(threshold)
     rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).otherwise(2)
-    reps = records.select("dhash64", "split", "sha256").distinct()
-    cut = reps.select("*", F.posexplode(F.array(*[S.bit_slice(F.col("dhash64"), o, w) for o, w in layout])).alias("k", "bits"))
-    a, b = (cut.select("k", "bits", *[F.col(c).alias(f"{c}_{s}") for c in ("dhash64", "split", "sha256")]) for s in "lr")
-    x = F.col("dhash64_l").bitwiseXOR(F.col("dhash64_r"))
-    earlier = F.lit(False)
-    for k, (o, w) in enumerate(layout[:-1]):
-        earlier = earlier | ((F.col("k") > k) & (S.bit_slice(x, o, w) == 0))
-    met = a.join(b, ["k", "bits"]).where((F.col("split_l") != F.col("split_r")) & (F.col("sha256_l") != F.col("sha256_r")) & (F.bit_count(x) <= threshold) & ~earlier)
-    met = met.select("dhash64_l", "split_l", "sha256_l", "dhash64_r", "split_r", "sha256_r", F.bit_count(x).cast("int").alias("hamming_distance"))
-    full = records.withColumn("_o", F.struct(rank.alias("r"), *order))
-    left, right = (full.select(*[F.col(c).alias(f"{c}_{s}") for c in ("dhash64", "split", "sha256")], F.col("path").alias(f"{name}_path"), F.col("_o").alias(f"_o{s}")) for s, name in (("l", "left"), ("r", "right")))
-    out = met.join(left, ["dhash64_l", "split_l", "sha256_l"]).join(right, ["dhash64_r", "split_r", "sha256_r"]).where("_ol < _or")
-    return out.select("hamming_distance", F.col("split_l").alias("left_split"), "left_path", F.col("split_r").alias("right_split"), "right_path")
+    contents = records.select("dhash64", "split", "sha256").distinct()
+    values = records.groupBy("dhash64").agg(F.collect_set("split").alias("splits"))
+    met = hash_pairs(values, threshold, "splits")
+    both = met.unionByName(met.select(F.col("hash_r").alias("hash_l"), F.col("hash_l").alias("hash_r"), "distance", F.col("splits_r").alias("splits_l"), F.col("splits_l").alias("splits_r")))
+    own = values.where(F.size("splits") > 1)
+    both = both.unionByName(own.select(F.col("dhash64").alias("hash_l"), F.col("dhash64").alias("hash_r"), F.lit(0).alias("distance"), F.col("splits").alias("splits_l"), F.col("splits").alias("splits_r")))
+    side = lambda df, s, *more: df.select(F.col("dhash64").alias(f"hash_{s}"), F.col("split").alias(f"split_{s}"), *more)
+    both = both.withColumn("split_l", F.explode("splits_l")).withColumn("split_r", F.explode("splits_r")).where("split_l <> split_r").drop("splits_l", "splits_r")
+    for s in "lr":
+        both = both.join(side(contents, s, F.col("sha256").alias(f"sha256_{s}")), [f"hash_{s}", f"split_{s}"])
+    both = both.where("sha256_l <> sha256_r")
+    for s, name in (("l", "left"), ("r", "right")):
+        rows = side(records, s, F.col("sha256").alias(f"sha256_{s}"), F.col("path").alias(f"{name}_path"), F.struct(rank.alias("r"), *order).alias(f"_o{s}"))
+        both = both.join(rows, [f"hash_{s}", f"split_{s}", f"sha256_{s}"])
+    out = both.where("_ol < _or")
+    return out.select(F.col("distance").alias("hamming_distance"), F.col("split_l").alias("left_split"), "left_path", F.col("split_r").alias("right_split"), "right_path")
 
 
 def removals(pairs: DataFrame, source_of=S.source_prefix) -> DataFrame:
