@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fluxgrid import schemas
 from fluxgrid.functions import scalars as S
+from fluxgrid.session import counted, written
 from fluxgrid.sources.filetree import list_files
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp")
 
 
+def _split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines as splits hold them: path, where the split starts, a number that counts up within a task, and the text."""
+    m = F.col("_metadata")
+    return spark.read.text(path).select(m["file_path"].alias("path"), m["file_block_start"].alias("_start"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("text"))
+
+
+def _numbered(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """(path, line_no, _place in the split from 0, text, and what ``splits`` has besides) of lines whose splits are known: (path, _start, _first, _lines, ...)."""
+    before = W.partitionBy("path").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    table = counted(written(splits.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0))), "splits"))
+    more = [c for c in splits.columns if c not in ("path", "_start", "_first", "_lines")]
+    place = F.col("_at") - F.col("_first")
+    return lines.join(table, ["path", "_start"]).select("path", (F.col("_before") + place + 1).alias("line_no"), place.alias("_place"), "text", *more)
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, text) of text files; a file is one row first, so that numbers are its own."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = whole.select("path", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("i", "text"))
-    return lines.select("path", (F.col("i") + 1).alias("line_no"), "text")
+    """(path, line_no, text) of text files of any size, read by as many tasks as there are splits.
+
+    A first pass counts the lines of each split; numbers follow from the sums
+    of the splits before, a row each, and the line's place in its split.  Both
+    passes read the same splits, which depend on the files and settings alone.
+    Lines end with CR, LF or both; empty files have none.
+    """
+    lines = _split_lines(spark, path)
+    return _numbered(lines, lines.groupBy("path", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_lines"))).drop("_place")
 
 
 def small_file_lines(spark: SparkSession, root: str, suffix: str) -> DataFrame:
@@ -66,14 +93,60 @@ def decode_readings(lines: DataFrame) -> DataFrame:
     )
 
 
+_SPLIT = "path string, _start bigint, _first bigint, _lines bigint, first_ns bigint, last_ns bigint, first_at bigint, falls bigint"
+
+
+def _split_times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per split: its lines, its first and last time, and its first line (from 0) whose time is before the one above."""
+    now: dict | None = None
+    row = lambda s: pa.RecordBatch.from_pylist([s], schema=schema)
+    schema = pa.schema([(c.split()[0], pa.string() if c.startswith("path") else pa.int64()) for c in _SPLIT.split(", ")])
+    for batch in batches:
+        starts = batch.column("_start").to_numpy(zero_copy_only=False)
+        paths = batch.column("path")
+        cuts = np.flatnonzero((np.diff(starts) != 0) | pc.not_equal(paths.slice(1), paths.slice(0, max(len(paths) - 1, 0))).to_numpy(zero_copy_only=False)) + 1 if len(starts) > 1 else np.empty(0, np.int64)
+        edges = [0, *cuts.tolist(), len(starts)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            key = (paths[a].as_py(), int(starts[a]))
+            if now is None or (now["path"], now["_start"]) != key:
+                if now is not None:
+                    yield row(now)
+                now = {"path": key[0], "_start": key[1], "_first": batch.column("_at")[a].as_py(), "_lines": 0, "first_ns": None, "last_ns": None, "first_at": None, "falls": None}
+            times = batch.column("ns").slice(a, b - a)
+            places = np.flatnonzero(pc.is_valid(times).to_numpy(zero_copy_only=False))
+            known = pc.drop_null(times).to_numpy(zero_copy_only=False)
+            if len(known):
+                drop = np.flatnonzero(np.diff(known, prepend=known[0] if now["last_ns"] is None else now["last_ns"]) < 0)
+                if len(drop) and now["falls"] is None:
+                    now["falls"] = now["_lines"] + int(places[drop[0]])
+                if now["first_ns"] is None:
+                    now["first_ns"], now["first_at"] = int(known[0]), now["_lines"] + int(places[0])
+                now["last_ns"] = int(known[-1])
+            now["_lines"] += b - a
+    if now is not None:
+        yield row(now)
+
+
 def read_sensor_trace(spark: SparkSession, path: str) -> DataFrame:
-    """Readings of JSONL traces; within a file times must not decrease (checked when read)."""
-    from pyspark.sql import Window as W
+    """Readings of JSONL traces of any size; within a file times must not decrease (checked when read).
 
-    rows = decode_readings(numbered_lines(spark, path))
-    before = F.lag("timestamp_ns").over(W.partitionBy("path").orderBy("seq"))
-    checked = F.when(F.col("timestamp_ns") < before, F.raise_error(F.concat(F.lit("line "), F.col("seq").cast("string"), F.lit(": timestamps must not decrease"))).cast("bigint")).otherwise(F.col("timestamp_ns"))
-    return rows.withColumn("timestamp_ns", checked)
+    The pass that counts lines also takes each split's first and last time and
+    its first fall, so that the order is checked within splits and, from the
+    table of splits, across their boundaries; no file is sorted.
+    """
+    lines = _split_lines(spark, path)
+    bare = S.stripped(F.col("text"))
+    at = F.when((bare != "") & ~bare.startswith("#"), S.parse_int(F.get_json_object("text", "$.timestamp_ns")))
+    splits = lines.select("path", "_start", "_at", at.alias("ns")).mapInArrow(_split_times, _SPLIT)
+    before = W.partitionBy("path").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    across = F.col("first_ns") < F.last("last_ns", ignorenulls=True).over(before)
+    faults = splits.select("path", "_start", "_first", "_lines", F.when(across, F.col("first_at")).otherwise(F.col("falls")).alias("_fault"))
+    number = F.col("line_no").cast("string")
+    fault = F.raise_error(F.concat(F.lit("line "), number, F.lit(": timestamps must not decrease"))).cast("string")
+    numbered = _numbered(lines, faults)
+    return decode_readings(numbered.withColumn("text", F.when(F.col("_place") == F.col("_fault"), fault).otherwise(F.col("text"))).drop("_place", "_fault"))
 
 
 def _parts(path: Column) -> tuple[Column, Column]:
