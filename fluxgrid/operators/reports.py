@@ -5,9 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxgrid.functions import scalars as S
+from fluxgrid.operators.scans import sorted_digest
+from fluxgrid.session import shared_dir
 
 METRICS = ("mean", "p50", "p95", "p99", "max")
 
@@ -63,9 +66,8 @@ def rows_with_registry(rows: DataFrame, registry: DataFrame) -> DataFrame:
 def tree_hash(files: DataFrame, keys: list[str], path: str = "path", sha: str = "sha256") -> DataFrame:
     """Per key the sha256 over (path, NUL, sha, LF) in order of path parts, cache files left out."""
     clean = files.where(~F.col(path).rlike(r"(^|/)(__pycache__/.*|[^/]*\.pyc|\.DS_Store)$"))
-    item = F.struct(F.split(path, "/").alias("parts"), F.concat(F.col(path), F.lit("\0"), F.col(sha), F.lit("\n")).alias("line"))
-    g = clean.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_a"), F.count("*").alias("files"))
-    return g.select(*keys, F.sha2(F.array_join(F.transform("_a", lambda x: x["line"]), ""), 256).alias("tree_sha256"), "files")
+    line = F.concat(F.col(path), F.lit("\0"), F.col(sha), F.lit("\n"))
+    return sorted_digest(clean, keys, [F.split(path, "/"), line], line, "tree_sha256", "files")
 
 
 def inventory(files: DataFrame) -> DataFrame:
@@ -123,23 +125,34 @@ def preferred(rows: DataFrame, keys: list[str], prefer: Column, order: str) -> D
 def cover_sample(records: DataFrame, key: str, classes: str, count: int, empties: int = 3) -> DataFrame:
     """``count`` records: one for each class in turn (most classes, then earliest), a few empty ones, then evenly spaced ones.
 
-    Sequential by nature; a step per class.  Only keys that a step can choose
-    come to the driver: one per class, ``empties``, and the evenly spaced.
+    A step of the greedy choice takes away at most one record, so with c classes
+    each needs its c best records at most: one aggregation makes these lists,
+    and the choice is made among them.  What comes to the driver is bounded by
+    the classes and ``count``.
     """
     rows = records.select(key, F.array_sort(F.array_distinct(classes)).alias("_c"))
+    each = rows.select(key, F.explode("_c").alias("v"), F.size("_c").alias("size"))
+    many = each.select("v").distinct().count()
+    best = W.partitionBy("v").orderBy(F.col("size").desc(), key)
+    lists: dict = {}
+    for r in each.withColumn("place", F.row_number().over(best)).where(F.col("place") <= many).orderBy("v", "place").collect():
+        lists.setdefault(r["v"], []).append(r[key])
     chosen: list = []
-    for value in [r[0] for r in rows.select(F.explode("_c").alias("v")).distinct().orderBy("v").collect()]:
-        left = rows.where(F.array_contains("_c", F.lit(value)) & ~F.col(key).isin(chosen or [None]) if chosen else F.array_contains("_c", F.lit(value)))
-        chosen += [r[0] for r in left.orderBy(F.size("_c").desc(), key).select(key).limit(1).collect()]
+    for candidates in lists.values():
+        chosen += [k for k in candidates if k not in chosen][:1]
     chosen += [r[0] for r in rows.where("size(_c) = 0").orderBy(key).select(key).limit(min(empties, max(0, count - len(chosen)))).collect()]
-    rest = rows.where(~F.col(key).isin(chosen)) if chosen else rows
-    n, slots = rest.count(), max(0, count - len(chosen))
+    shared_dir(records.sparkSession)
+    rest = (rows.where(~F.col(key).isin(chosen)) if chosen else rows).select(key).orderBy(key).checkpoint()
+    sizes = dict(rest.groupBy(F.spark_partition_id()).count().collect())  # one per partition
+    n, slots = sum(sizes.values()), max(0, count - len(chosen))
     if slots and n:
-        step = n / slots
-        picks = sorted({min(int(i * step), n - 1) for i in range(slots)})
-        ranked = rest.orderBy(key).select(key).rdd.zipWithIndex()
-        wanted = set(picks)
-        chosen += [r[0][0] for r in sorted(ranked.filter(lambda x: x[1] in wanted).collect(), key=lambda x: x[1])]
+        # a sorted row's place is its number in its partition, and those of the partitions before
+        picks = sorted({min(int(i * (n / slots)), n - 1) for i in range(slots)})
+        ids, before = [], 0
+        for part in sorted(sizes):
+            ids += [(part << 33) + k - before for k in picks if before <= k < before + sizes[part]]
+            before += sizes[part]
+        chosen += [r[0] for r in rest.where(F.monotonically_increasing_id().isin(ids)).orderBy(key).collect()]
     chosen = chosen[:count]
     if len(chosen) != count:
         raise RuntimeError(f"selected {len(chosen)} records, expected {count}")

@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxgrid.functions import scalars as S
+from fluxgrid.operators.scans import exact_percentiles
+from fluxgrid.session import counted, written
 
 SUMMARY = ("count", "mean", "stdev", "min", "p50", "p95", "p99", "max", "rate")
 
 
-def summarize(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def summarize(rows: DataFrame, keys: list[str], value: str = "value", most_held: int | None = None) -> DataFrame:
     """Exact summary of the finite values per key: interpolated percentiles; the deviation of a single value is 0.
 
-    Keys whose values are all missing keep a row with count 0 and nulls.
+    Keys whose values are all missing keep a row with count 0 and nulls.  The
+    aggregation holds the distinct values of a key; with ``most_held``, keys of
+    more rows than that have their percentiles by refinement instead, exact too.
     """
     x = F.when(S.finite(F.col(value)), F.col(value).cast("double"))
-    p = F.percentile(x, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    g = rows.groupBy(*keys).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("_s"), F.min(x).alias("min"), p.alias("_p"), F.max(x).alias("max"))
+    rest = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("_s"), F.min(x).alias("min"), F.max(x).alias("max")]
+    shares = [0.5, 0.95, 0.99]
+    p = F.percentile(x, F.array(*map(F.lit, shares)))
+    if most_held is None:
+        g = rows.groupBy(*keys).agg(*rest, p.alias("_p"))
+    else:
+        base = written(rows.groupBy(*keys).agg(*rest), "summary")
+        same = lambda a, b: reduce(lambda c, k: c & a[k].eqNullSafe(b[k]), keys, F.lit(True))
+        large = counted(written(base.where(F.col("count") > most_held).select(*keys), "large"))
+        few = rows.alias("r").join(large.alias("l"), same(rows, large), "left_anti").groupBy(*keys).agg(p.alias("_p"))
+        many = exact_percentiles(rows.join(large, same(rows, large), "left_semi"), keys, value, shares).select(*keys, F.col("p").alias("_p"))
+        both = few.unionByName(many)
+        g = base.join(both, same(base, both)).select(*[base[c] for c in base.columns], "_p")
     sd = F.when(F.col("count") > 0, F.coalesce("_s", F.lit(0.0)))
     return g.select(*keys, "count", "mean", sd.alias("stdev"), "min", *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "max", F.when(F.col("count") > 0, S.fps(F.col("mean"))).alias("rate"))
 
@@ -92,13 +109,6 @@ def failure_streaks(rows: DataFrame, keys: list[str], order: str, success: Colum
     return out.drop("_ok", "_island")
 
 
-def ewma(rows: DataFrame, keys: list[str], order: str, value: str, keep: float = 0.85) -> DataFrame:
-    """Per key, keep * before + (1 - keep) * value in order, seeded by the first value."""
-    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_a"))
-    fold = F.aggregate(F.slice("_a", 2, F.greatest(F.size("_a") - 1, F.lit(1))), F.get("_a", F.lit(0))[value].cast("double"), lambda s, r: s * keep + r[value] * (1 - keep))
-    return g.select(*keys, fold.alias("ewma"), F.size("_a").alias("n"))
-
-
 def counter_deltas(rows: DataFrame, keys: list[str], order: str, counter: str) -> DataFrame:
     """Adds the growth of a counter since the row before, never negative."""
     w = W.partitionBy(*keys).orderBy(order)

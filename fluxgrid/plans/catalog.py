@@ -18,6 +18,7 @@ from fluxgrid.operators import builds as B
 from fluxgrid.operators import dataset as D
 from fluxgrid.operators import fusion as U
 from fluxgrid.operators import reports as R
+from fluxgrid.operators import scans as C
 from fluxgrid.operators import sequences as Q
 from fluxgrid.session import configure, shared_dir
 from fluxgrid.streaming.evaluate_stream import STATE_STORE, stream_evaluate
@@ -410,7 +411,22 @@ SELECT user_id, round(e, 6) AS ewma, CAST(n AS INTEGER) AS n FROM w WHERE k = n"
 def ewma(t):
     """Smoothed value of each user."""
     e = t("events").select("user_id", F.struct("ts", "event_id").alias("at"), "value")
-    return Q.ewma(e, ["user_id"], "at", "value").withColumn("ewma", F.round("ewma", 6))
+    return C.ewma(e, ["user_id"], "at", "value").withColumn("ewma", F.round("ewma", 6))
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id % 3 AS k, event_id, value, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS i FROM events),
+w(k, i, event_id, e) AS (SELECT k, i, event_id, CAST(value AS DOUBLE) FROM o WHERE i = 1 UNION ALL SELECT o.k, o.i, o.event_id, w.e * CAST(0.85 AS DOUBLE) + o.value * CAST(0.15 AS DOUBLE) FROM w JOIN o ON o.k = w.k AND o.i = w.i + 1)
+SELECT k, event_id, round(e + 1e-9::DOUBLE, 6) AS ewma FROM w""")
+def ewma_running(t):
+    """The smoothed value after every event, of three large groups of users; moved off the ties of rounding."""
+    e = t("events").select((F.col("user_id") % 3).alias("k"), "event_id", "value")
+    return C.running_ewma(e, ["k"], ["event_id"], "value").withColumn("ewma", F.round(F.col("ewma") + 1e-9, 6))
+
+
+@query(rounded_sql(f"SELECT l_linenumber, {SUMMARY_SQL.format('l_extendedprice')} FROM lineitem GROUP BY ALL", "l_linenumber"))
+def large_summary(t):
+    """Exact summaries by line number; those of more than five thousand lines by refinement, without holding their values."""
+    return rounded(Q.summarize(t("lineitem"), ["l_linenumber"], "l_extendedprice", 5_000))
 
 
 @query("SELECT user_id, date_trunc('hour', ts) AS hour, max(event_id) AS event_id, arg_max(value, event_id) AS value, count(*) - 1 AS dropped FROM events GROUP BY ALL")
@@ -440,9 +456,19 @@ def even_sample(t):
     return Q.even_sample(t("orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], "o_orderkey", 30)
 
 
-@query(None)
+@query("""WITH RECURSIVE rec AS MATERIALIZED (SELECT doc_id, list_filter([lang, CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS c FROM documents LEFT JOIN labels USING (doc_id)),
+every AS (SELECT list_sort(list_distinct(flatten(list(c)))) AS v FROM rec),
+greedy(i, chosen) AS (SELECT 0, CAST([] AS BIGINT[]) UNION ALL
+  SELECT i + 1, list_filter(list_append(chosen, (SELECT arg_max(doc_id, (len(c), -doc_id)) FROM rec WHERE list_contains(c, v[i + 1]) AND NOT list_contains(chosen, doc_id))), lambda x: x IS NOT NULL) FROM greedy, every WHERE i < len(v)),
+first AS (SELECT arg_max(chosen, i) AS chosen FROM greedy),
+blank AS (SELECT list(doc_id ORDER BY doc_id) AS b FROM rec WHERE len(c) = 0),
+taken AS (SELECT list_concat(chosen, coalesce(b[1:least(3, greatest(0, 30 - len(chosen)))], [])) AS t FROM first, blank),
+rest AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM rec WHERE NOT list_contains((SELECT t FROM taken), doc_id)),
+spaced AS (SELECT r.doc_id FROM rest r, taken WHERE k IN (SELECT least(CAST(floor(i * (r.n / CAST(30 - len(t) AS DOUBLE))) AS BIGINT), r.n - 1) FROM range(30 - len(t)) AS x(i))),
+picked AS (SELECT list_concat(t, (SELECT coalesce(list(doc_id ORDER BY doc_id), []) FROM spaced))[1:30] AS p FROM taken)
+SELECT doc_id, array_to_string(c, ',') AS classes, CAST(list_position(p, doc_id) - 1 AS INTEGER) AS position FROM rec, picked WHERE list_contains(p, doc_id)""")
 def fixture_cover(t):
-    """Thirty documents that cover all languages and labels: sequential greedy choice, tested against a restatement."""
+    """Thirty documents that cover all languages and labels: a greedy choice among the best of each class, then empty and evenly spaced ones."""
     l = t("labels").select("doc_id", F.array_compact(F.array(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic"))).alias("c"))
     d = t("documents").join(l, "doc_id", "left").select("doc_id", F.concat(F.array("lang"), F.coalesce("c", F.array().cast("array<string>"))).alias("classes"))
     return R.cover_sample(d, "doc_id", "classes", 30).withColumn("classes", joined("classes"))
