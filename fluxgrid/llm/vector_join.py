@@ -26,8 +26,8 @@ from fluxgrid.llm import common
 
 #: Vectors that a cell has on average, that a tile and a strip have, and that are compared at once.
 CELL, TILE, STRIP, BLOCK = 8_192, 4_096, 16_384, 1_024
-#: Bound of the pivots, which every task holds.
-MOST_PIVOTS = 4_096
+#: Least number of pivots, bytes up to which every task holds them, and distances to pivots that a task works on at once.
+LEAST_PIVOTS, MOST_PIVOT_BYTES, DISTANCES = 4, 64 << 20, 4 << 20
 COSINE = 0.95
 EDGE = 1e-9
 
@@ -47,17 +47,24 @@ def unit(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, list
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows; those that cannot link have no size and no vector."""
     for batch in batches:
         rows, size, vectors = unit(batch, "embedding")
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(rows)), pa.array(size.astype(np.int32)), pa.array([v.tobytes() for v in vectors], pa.binary())], names=["vec_id", "size", "v"]
-        )
+        sizes, found = [None] * batch.num_rows, [None] * batch.num_rows
+        for k, n, v in zip(rows.tolist(), size.tolist(), vectors, strict=True):
+            sizes[k], found[k] = n, v.tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(found, pa.binary())], names=["vec_id", "size", "v"])
 
 
 def _matrix(column, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, size)
 
 
+def _step(pivots: np.ndarray) -> int:
+    """Vectors that are held against all pivots at once."""
+    return max(16, min(BLOCK, DISTANCES // len(pivots)))
+
+
 def _assigned(pivots: dict[int, np.ndarray]):
     """The cell of each vector, its nearest pivot of its dimension, and the distance to it."""
 
@@ -68,11 +75,12 @@ def _assigned(pivots: dict[int, np.ndarray]):
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
                 x = _matrix(batch.column(2).take(pa.array(at)), size)
-                for a in range(0, len(at), BLOCK):
-                    dots = x[a : a + BLOCK] @ pivots[int(size)].T
+                step = _step(pivots[int(size)])
+                for a in range(0, len(at), step):
+                    dots = x[a : a + step] @ pivots[int(size)].T
                     best = dots.argmax(axis=1)
-                    cell[at[a : a + BLOCK]] = best
-                    far[at[a : a + BLOCK]] = np.sqrt(np.maximum(2 - 2 * dots[np.arange(len(best)), best], 0))
+                    cell[at[a : a + step]] = best
+                    far[at[a : a + step]] = np.sqrt(np.maximum(2 - 2 * dots[np.arange(len(best)), best], 0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=["vec_id", "size", "v", "copies", "cell", "far"])
 
     return run
@@ -86,9 +94,9 @@ def _dealt(pivots: dict[int, np.ndarray], radius: dict[tuple[int, int], float],
     every vector of the cell and every replica is in one strip, in every tile.
     Without ``strips``, only (size, cell, rows), counts for them.
     """
-    gaps = {s: np.sqrt(np.maximum(2 - 2 * p @ p.T, 0)) for s, p in pivots.items()}
     reach = {s: np.array([radius.get((s, c), -10.0) for c in range(len(p))]) for s, p in pivots.items()}
     count = {s: np.array([tiles.get((s, c), 0) for c in range(len(p))]) for s, p in pivots.items()}
+    widths = {s: np.array([(strips or {}).get((s, c), 1) for c in range(len(p))]) for s, p in pivots.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,12 +104,13 @@ def _dealt(pivots: dict[int, np.ndarray], radius: dict[tuple[int, int], float],
             ids = batch.column(0).to_numpy()
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                for a in range(0, len(at), BLOCK):
-                    some = at[a : a + BLOCK]
+                step = _step(pivots[int(size)])
+                for a in range(0, len(at), step):
+                    some = at[a : a + step]
                     x, home = _matrix(batch.column(2).take(pa.array(some)), size), homes[some]
                     d = np.sqrt(np.maximum(2 - 2 * x @ pivots[int(size)].T, 0))
                     near = d[np.arange(len(some)), home][:, None]
-                    gap = np.maximum(gaps[int(size)][home], 1e-12)
+                    gap = np.maximum(np.sqrt(np.maximum(2 - 2 * pivots[int(size)][home] @ pivots[int(size)].T, 0)), 1e-12)
                     take = (d <= near + 2 * r + EDGE) & (d <= reach[int(size)] + r + EDGE) & ((d * d - near * near) / (2 * gap) <= r + EDGE)
                     take[np.arange(len(some)), home] = True
                     row, cell = np.nonzero(take)
@@ -111,7 +120,7 @@ def _dealt(pivots: dict[int, np.ndarray], radius: dict[tuple[int, int], float],
                         cells, times = np.unique(cell, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), size, np.int32)), pa.array(cells.astype(np.int32)), pa.array(times)], names=["size", "cell", "rows"])
                         continue
-                    wide = np.array([strips.get((int(size), c), 1) for c in range(len(count[int(size)]))])
+                    wide = widths[int(size)]
                     mixed = ids[some].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                     turn = lambda bits, k, m: ((mixed[k] >> np.uint64(bits)) % m.astype(np.uint64)).astype(np.int64)  # noqa: E731, B023
                     r1, c1, t1 = _spread(row, cell, n)
@@ -213,27 +222,31 @@ def _roots(forest: Forest, rows: np.ndarray) -> np.ndarray:
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, tile: int = TILE, strip: int = STRIP) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept.
+    """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Null, empty and zero vectors, and those with null or non-finite components,
     link with nothing; nor do vectors of different lengths.  Rows that repeat a
-    ``vec_id`` count as one more copy of their vector and get a row each.
+    ``vec_id``, or have none, are vectors like others: each counts as one and
+    gets its own row.  A component is named by its smallest id, by none if it
+    has none; a row is kept if its id, or lack of one, is its component's.
     Other columns are not read.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     all_ = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    units = common.materialise(all_.where("vec_id is not null").mapInArrow(_units, "vec_id long, size int, v binary"), "units")
-    same = units.groupBy("size", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).select("vec_id", "size", "v", "copies")
-    nodes = common.materialise(same, "nodes")
+    units = common.materialise(all_.mapInArrow(_units, "vec_id long, size int, v binary"), "units")
+    # equal vectors are one node with a number of its own: ids may be shared by different vectors
+    same = units.where("v is not null").groupBy("size", "v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    named = common.materialise(same.withColumn("vec_id", F.monotonically_increasing_id()), "nodes")
+    nodes = named.select("vec_id", "size", "v", "copies")
     totals = {r[0]: r[1] for r in nodes.groupBy("size").count().collect()}  # by vector length: a schema's, so few
     pivots: dict[int, np.ndarray] = {}
     for size, n in totals.items():
-        k = min(max(1, math.ceil(n / cell)), MOST_PIVOTS)
-        chosen = nodes.where(F.col("size") == size).orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("v")).limit(k).select("v").collect()
+        k = min(max(LEAST_PIVOTS, math.ceil(n / cell)), max(1, MOST_PIVOT_BYTES // (8 * size)))
+        chosen = nodes.where(F.col("size") == size).orderBy(F.xxhash64("v"), "v").limit(k).select("v").collect()
         pivots[size] = np.stack([np.frombuffer(r[0], np.float64) for r in chosen])
     assigned = nodes.mapInArrow(_assigned(pivots), "vec_id long, size int, v binary, copies long, cell int, far double")
     assigned = common.materialise(assigned, "assigned")
-    cells = assigned.groupBy("size", "cell").agg(F.max("far"), F.count("*")).collect()  # at most MOST_PIVOTS per length
+    cells = assigned.groupBy("size", "cell").agg(F.max("far"), F.count("*")).collect()  # as many as pivots
     radius = {(s, c): far for s, c, far, _ in cells}
     tiles = {(s, c): math.ceil(n / tile) for s, c, _, n in cells}
     r = math.sqrt(2 - 2 * cosine)
@@ -244,15 +257,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, t
     found = common.materialise(found, "found")
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     label = common.connected_components(found.where("vec_id <> root").select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    per = nodes.join(counts, "vec_id").join(label.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    per = per.select("size", "v", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    per = named.join(counts, "vec_id").join(label.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    per = per.select("size", "v", "first_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("_group"))
     # only vectors with links need a lookup; the rest are their own component
     per = common.materialise(per.where("n_links > 0"), "linked")
-    linked = common.small_join(units, per, ["size", "v"], "inner").select("vec_id", "n_links", "component_id")
-    linked = common.materialise(linked, "rows")
-    bare = all_.select("vec_id").join(linked.select("vec_id").distinct(), "vec_id", "left_anti")
-    rest = bare.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    names = per.groupBy("_group").agg(F.min("first_id").alias("component_id"))
+    per = common.materialise(per.join(names, "_group").select("size", "v", "n_links", "component_id"), "named")
+    # a broadcast is bounded by bytes: a hundred for each row that other tables may have
+    weight = per.count() * (8 * max(totals, default=0) + 100) // 100
+    told = common.small_join(units, per.withColumn("_linked", F.lit(True)), ["size", "v"], "left", rows=weight)
+    component = F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id")
+    return told.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component, F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def op8_near_vectors(spark, sf_dir: str) -> DataFrame:
