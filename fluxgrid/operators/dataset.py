@@ -219,7 +219,7 @@ def near_pairs(records: DataFrame, threshold: int, order: list[str] | None = Non
     that a filter would have to drop.
     """
     order = order or ["path"]
-    rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).otherwise(2)
+    place = lambda c: F.when(F.col(c) == "train", 0).when(F.col(c) == "val", 1).otherwise(2)
     contents = records.select("dhash64", "split", "sha256").distinct()
     values = records.groupBy("dhash64").agg(F.collect_set("split").alias("splits"))
     met = hash_pairs(values, threshold, "splits")
@@ -228,11 +228,12 @@ def near_pairs(records: DataFrame, threshold: int, order: list[str] | None = Non
     both = both.unionByName(own.select(F.col("dhash64").alias("hash_l"), F.col("dhash64").alias("hash_r"), F.lit(0).alias("distance"), F.col("splits").alias("splits_l"), F.col("splits").alias("splits_r")))
     side = lambda df, s, *more: df.select(F.col("dhash64").alias(f"hash_{s}"), F.col("split").alias(f"split_{s}"), *more)
     both = both.withColumn("split_l", F.explode("splits_l")).withColumn("split_r", F.explode("splits_r")).where("split_l <> split_r").drop("splits_l", "splits_r")
+    both = both.where(place("split_l") <= place("split_r"))  # rows are ordered by split first
     for s in "lr":
         both = both.join(side(contents, s, F.col("sha256").alias(f"sha256_{s}")), [f"hash_{s}", f"split_{s}"])
     both = both.where("sha256_l <> sha256_r")
     for s, name in (("l", "left"), ("r", "right")):
-        rows = side(records, s, F.col("sha256").alias(f"sha256_{s}"), F.col("path").alias(f"{name}_path"), F.struct(rank.alias("r"), *order).alias(f"_o{s}"))
+        rows = side(records, s, F.col("sha256").alias(f"sha256_{s}"), F.col("path").alias(f"{name}_path"), F.struct(place("split").alias("r"), *order).alias(f"_o{s}"))
         both = both.join(rows, [f"hash_{s}", f"split_{s}", f"sha256_{s}"])
     out = both.where("_ol < _or")
     return out.select(F.col("distance").alias("hamming_distance"), F.col("split_l").alias("left_split"), "left_path", F.col("split_r").alias("right_split"), "right_path")
