@@ -17,6 +17,7 @@ from fluxgrid.functions import scalars as S
 from fluxgrid.operators import builds as B
 from fluxgrid.operators import dataset as D
 from fluxgrid.operators import fusion as U
+from fluxgrid.operators import gating as G
 from fluxgrid.operators import reports as R
 from fluxgrid.operators import scans as C
 from fluxgrid.operators import sequences as Q
@@ -522,6 +523,45 @@ def gate_report(t):
     return R.gates(row, R.gate("unique_orders", F.col("n") == F.col("u")), R.gate("no_null_price", F.col("z") == 0), R.gate("all_final", F.col("f")), R.gate("starts_at_one", F.col("m") == 1))
 
 
+@query("""WITH f AS (SELECT c_custkey, c_acctbal, count(o_orderkey) AS n, count_if(o_orderstatus = 'P') AS pending, max(o_totalprice) AS top, min(o_totalprice) AS low FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+own AS (SELECT c_custkey, CASE WHEN n = 0 THEN 'no orders' END AS i, CASE WHEN coalesce(pending > 2, true) THEN 'pending: ' || pending END AS h,
+  CASE WHEN coalesce(top > 400000, true) THEN 'above limit' WHEN coalesce(low < 2000, true) THEN 'below limit' END AS c, CASE WHEN c_acctbal < 0 THEN 'in debt' END AS r FROM f),
+g AS (SELECT c_custkey, 'import' AS gate, 0 AS level, i AS reason, NULL::VARCHAR AS blocked_by FROM own
+  UNION ALL SELECT c_custkey, 'history', 1, CASE WHEN i IS NULL THEN h END, CASE WHEN i IS NOT NULL THEN 'import' END FROM own
+  UNION ALL SELECT c_custkey, 'comparison', 1, CASE WHEN i IS NULL THEN c END, CASE WHEN i IS NOT NULL THEN 'import' END FROM own
+  UNION ALL SELECT c_custkey, 'release', 2, CASE WHEN i IS NULL AND h IS NULL AND c IS NULL THEN r END, CASE WHEN i IS NOT NULL THEN 'import' WHEN c IS NOT NULL THEN 'comparison' WHEN h IS NOT NULL THEN 'history' END FROM own)
+SELECT c_custkey, gate, level::INTEGER AS level, CASE WHEN blocked_by IS NOT NULL THEN 'blocked' WHEN reason IS NOT NULL THEN 'failed' ELSE 'complete' END AS status, reason, blocked_by FROM g""")
+def gate_chain(t):
+    """Four gates with prerequisites for every customer and their orders: complete, failed with the reason, or blocked by the first that failed."""
+    o = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "P").alias("pending"), F.max("o_totalprice").alias("top"), F.min("o_totalprice").alias("low"))
+    facts = t("customer").select("c_custkey", "c_acctbal").join(o, "c_custkey", "left").na.fill(0, ["n", "pending"])
+    rules = [
+        G.Rule("release", [(F.col("c_acctbal") < 0, "in debt")], ("history", "comparison")),
+        G.Rule("comparison", [(F.col("top") > 400000, "above limit"), (F.col("low") < 2000, "below limit")], ("import",)),
+        G.Rule("history", [(F.col("pending") > 2, F.concat(F.lit("pending: "), F.col("pending").cast("string")))], ("import",)),
+        G.Rule("import", [(F.col("n") == 0, "no orders")]),
+    ]
+    return G.judged(facts, ["c_custkey"], rules)
+
+
+@query("""WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, conv_id % 4 <> 0 AND NOT (conv_id % 7 = 3 AND turn % 4 = 1) AS ran, length(text) % 5 = 0 AS silent, length(text) % 11 = 0 AND length(text) % 5 <> 0 AS err FROM conversations WHERE role = 'assistant'),
+g AS (SELECT conv_id, count(*) AS code_cells, coalesce(list(i ORDER BY i) FILTER (WHERE NOT ran), []) AS u, coalesce(list(i ORDER BY i) FILTER (WHERE err), []) AS e, coalesce(list(i ORDER BY i) FILTER (WHERE silent AND i >= 2), []) AS m FROM t GROUP BY 1),
+j AS (SELECT c.conv_id, coalesce(code_cells, 0) AS code_cells, coalesce(u, []) AS u, coalesce(e, []) AS e, CASE WHEN len(u) = code_cells THEN m ELSE [] END AS m FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g USING (conv_id))
+SELECT conv_id, code_cells, array_to_string(u, ',') AS unexecuted, array_to_string(e, ',') AS errors, array_to_string(m, ',') AS missing_output, len(e) = 0 AND (len(u) = 0 OR len(u) = code_cells) AND len(m) = 0 AS valid FROM j""")
+def notebook_check(t):
+    """Conversations as notebooks, the assistant's turns as code cells: which are valid, and which cells are at fault."""
+    n = F.length("text")
+    output = F.struct(F.when(n % 11 == 0, "error").otherwise("stream").alias("output_type"), F.lit("ValueError").alias("ename"))
+    outputs = F.when(n % 5 == 0, F.array().cast("array<struct<output_type: string, ename: string>>")).otherwise(F.array(output))
+    ran = (F.col("conv_id") % 4 != 0) & ~((F.col("conv_id") % 7 == 3) & (F.col("turn") % 4 == 1))
+    cell = F.struct(F.when(F.col("role") == "assistant", "code").otherwise("markdown").alias("cell_type"), F.when(ran, F.col("turn")).alias("execution_count"), outputs.alias("outputs"))
+    books = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", cell.alias("cell")))).alias("c"))
+    text = F.to_json(F.struct(F.transform("c", lambda x: x["cell"]).alias("cells")), {"ignoreNullFields": "false"})
+    r = G.notebook_report(books.select(F.col("conv_id").alias("path"), text.alias("text")))
+    named = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return r.select(F.col("path").alias("conv_id"), "code_cells", named("unexecuted"), F.array_join(F.transform("errors", lambda x: x["index"].cast("string")), ",").alias("errors"), named("missing_output"), "valid")
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS map50, coalesce(CAST(json_extract(props, '$.fitness') AS DOUBLE), 0.0) AS fitness FROM events")
 def json_metrics(t):
     """Metrics renamed out of free-form JSON, with a default."""
