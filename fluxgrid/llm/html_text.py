@@ -5,9 +5,10 @@ links, fading with distance.  The path of the best one, as tags with their
 first class without digits, is the page's vote.  Votes are summed per host and
 path in Spark; then every page is extracted again under the first of its host's
 winning paths that covers at least half of what its own best container does,
-else under its own.  Boilerplate subtrees do not count, unless they turn out
-to hold the page: a form when nothing else has text, or a subtree whose class only
-hints at noise when it has several blocks and four times the text of the rest.
+else under its own.  Boilerplate subtrees do not count, unless one shows that it
+holds the article: several blocks of sentences with few links, where the rest of
+the page has no sentence.  Comments, consent notices and navigation never do, so
+a page that has nothing but boilerplate has no text.
 
 Everything is linear in the page's length, nesting included: containers are nodes
 of a tree of paths, and scores and choices are passed along it once.
@@ -30,9 +31,10 @@ from fluxgrid.llm import common
 LEAST_VOTES = 0.05
 FADE = 0.7
 
+#: A tag ends at the next "<", but for a few within a quoted value, so that unclosed tags and quotes are not scanned again and again.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|textarea|xmp|object|canvas|video|audio)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)/?>|<(/?)([a-zA-Z][\w:-]*+)([^<>]*+)>|<[!?/][^>]*+>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|textarea|xmp|object|canvas|video|audio)\b[^<>]*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][\w:-]*+)((?:[^<>\"']++|\"[^\"<]*+(?:<[^\"<]*+){0,8}\"|'[^'<]*+(?:<[^'<]*+){0,8}')*+)/?>|<(/?)([a-zA-Z][\w:-]*+)([^<>]*+)>|<[!?/][^<>]*+>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?", re.I)
@@ -50,6 +52,8 @@ _NOISE = frozenset(
 )
 #: Noise that an article may be wrapped in by name, and words that only say what a part has or can do.
 _HINTS = frozenset("ad ads advert sponsor sponsored promo promotion banner header notice alert share sharing social related recommended subscribe subscription signup login search form widget toolbar overlay modal popup skip copyright paywall toast".split())
+#: Noise that is never the article, whatever it holds.
+_NEVER = frozenset("comment comments commentlist respond reply replies disqus cookie cookies consent gdpr".split())
 _STATES = frozenset("enabled disabled has have no non with without free ready loaded active on off is able allow allowed supports".split())
 _OWN = frozenset("article entry post content story main title body".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -58,7 +62,7 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
 
 
-#: How firmly a subtree is left out: not at all, only as long as it is not the page, unless nothing else has text, always.
+#: How firmly a subtree is left out: not at all, unless it shows an article, unless nothing hinted at does, always.
 KEPT, HINTED, FIRM, ALWAYS = range(4)
 
 
@@ -79,10 +83,15 @@ def _drop(tag: str, attributes: dict[str, str], inside: bool) -> int:
             words = set(_WORD.findall(_CAMEL.sub(" ", one).lower()))
             noise = words & _NOISE
             if noise and not words & _STATES and not (words & _OWN and words & {"header"}):
-                out = max(out, HINTED if noise <= _HINTS else FIRM)
+                out = max(out, ALWAYS if noise & _NEVER else HINTED if noise <= _HINTS else FIRM)
     return out
 
 
+def _sentence(text: str) -> bool:
+    """Whether a block reads like prose: three words or more that end as sentences do."""
+    return text.count(" ") >= 2 and text.rstrip("\"'”’»)").endswith((".", "!", "?", "…", "。", "！", "？"))
+
+
 class Page:
     """A page's blocks: container, text, characters of it in links, and the dropped subtree that each is in (0: none)."""
 
@@ -115,21 +124,21 @@ class Page:
         return ">".join(reversed(out))
 
     def settle(self) -> None:
-        """Forget the blocks of dropped subtrees, but for those that hold the page."""
+        """Forget the blocks of dropped subtrees, but for those that show the article."""
         if len(self.drops) > 1:
-            worth, count = [0] * len(self.drops), [0] * len(self.drops)
+            n = len(self.drops)
+            worth, linked, sentences = [0] * n, [0] * n, [0] * n
             for _, text, link, drop in self.blocks:
                 worth[drop] += max(len(text) - link, 0)
-                count[drop] += 1
-            back = {0}
-            for k, (_, firm) in enumerate(self.drops):
-                if firm == HINTED and count[k] >= 3 and worth[k] >= 4 * worth[0]:
-                    back.add(k)
-            if not any(worth[k] for k in back):
-                most = max(range(len(worth)), key=lambda k: (worth[k], -k))
-                if worth[most]:
-                    back.add(most)
-            self.blocks = [b for b in self.blocks if b[3] in back]
+                linked[drop] += link
+                sentences[drop] += _sentence(text) and 2 * link < len(text)
+            # with an unmarked article beside it, only a far longer text of several sentences is another part of it
+            most = 20 * worth[0] if sentences[0] else 0
+            shows = [k for k in range(1, n) if sentences[k] >= (5 if sentences[0] else 3) and worth[k] >= max(4 * linked[k], most)]
+            back = {k for k in shows if self.drops[k][1] == HINTED}
+            if not back and not sentences[0] and shows:
+                back = {max(shows, key=lambda k: (worth[k], -k))}
+            self.blocks = [b for b in self.blocks if b[3] == 0 or b[3] in back]
 
     def best(self) -> tuple[int | None, list[float]]:
         """The container with the highest score, the nearer to the root at a tie, and all scores."""

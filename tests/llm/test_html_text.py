@@ -43,3 +43,34 @@ def test_labelled_pages():
         found, true = extract(page).split("\n"), set(article)
         hit, got, want = hit + len(true & set(found)), got + len(found), want + len(true)
     assert hit / want >= 0.9 and hit / got >= 0.9
+
+
+def test_pages_without_an_article_are_empty():
+    rude = "".join(f"<p>A reader says something quite long about number {k}.</p>" for k in range(9))
+    for page in (
+        f'<div class="comments">{rude}</div>', '<div class="cookie-notice"><p>We use cookies to make this site better for you.</p></div>', '<div class="sidebar"><p>Read our other pages.</p></div>',
+        '<form action="/"><label>Your mail address</label><p>We never share it.</p></form>', '<nav><a href="/">Home</a></nav>', '<div class="promo"><p>Buy now!</p></div>', "",
+    ):
+        assert extract(f"<html><body>{page}</body></html>") == "", page
+
+
+def test_a_short_article_is_not_lost_to_adverts():
+    advert = "".join(f"<p>Buy number {k} of our many wonderful things today, at half the usual price.</p>" for k in range(3))
+    assert extract(f'<body><div class="text"><p>The town has a new bridge since Monday.</p></div><div class="promo">{advert}</div></body>') == "The town has a new bridge since Monday."
+
+
+def test_unclosed_quotes_take_linear_time():
+    start = time.perf_counter()
+    for piece in ("<a b='\"<p c=\"'", '<a b="', "<script ", "<!x ", "<a b='", "</a ", '<p c="<<<<<<<<<'):
+        extract(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - start < 7
+    assert extract('<div class="a"><p title="1 < 2 and <b>">One is less than two.</p></div>') == "One is less than two."
+
+
+def test_noise_by_other_names():
+    """The same article among noise that is told by its links and place alone, or by other words."""
+    article = "".join(f"<p>Paragraph {k} tells in a sentence what has happened in the town.</p>" for k in range(5))
+    links = "".join(f'<li><a href="/{k}">Another page of this site</a></li>' for k in range(12))
+    text = "\n".join(f"Paragraph {k} tells in a sentence what has happened in the town." for k in range(5))
+    for before, after in ((f'<ul class="top">{links}</ul>', f'<div class="more"><ul>{links}</ul></div>'), (f'<div class="bar"><ul>{links}</ul></div>', '<div role="contentinfo"><p>All rights are ours.</p></div>'), ('<div style="display: none"><p>Hidden words stand here.</p></div>', "<aside><p>See also our shop.</p></aside>")):
+        assert extract(f'<body>{before}<div class="mid"><div class="inner">{article}</div></div>{after}</body>') == text
