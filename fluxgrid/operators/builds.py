@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from fluxgrid.functions import scalars as S
 from fluxgrid.functions.images import picture_hashes
 from fluxgrid.operators import dataset as D
-from fluxgrid.operators import reports as R
+from fluxgrid.operators import sequences as Q
 from fluxgrid.sources import readers
 from fluxgrid.sources.filetree import list_files, local, write_tree
-from fluxgrid.sources.sinks import label_text
+from fluxgrid.sources.sinks import label_text, write_atomic_json, write_history
 
 SPLITS = ("train", "val", "test")
 #: Entries of a long list that a report shows.
@@ -268,3 +268,45 @@ def require_clean(report: dict) -> None:
     """Raises if the audit's structural and exact gate does not hold."""
     if not report["quality_gate"]["structural_and_exact_gate_passed"]:
         raise ValueError(f"{report['quality_gate']['hard_error_count']} hard errors")
+
+
+def consolidate_history(rows: DataFrame, checkpoints: DataFrame, metrics: list[str], columns: list[str], out: str, manifest: str) -> dict:
+    """One contiguous training history of overlapping checkpoints: CSV parts under ``out`` and a manifest, which is written last and returned.
+
+    ``rows`` has epoch, source, source_idx, row_idx and ``columns``; the last
+    source of an epoch is accepted, earlier ones are listed as replays, and
+    those whose metrics differ by name.  ``checkpoints`` has path, completed_epoch,
+    sha256 and names; different taxonomies or a missing epoch stop it before
+    anything is written.
+    """
+    spark = rows.sparkSession
+    if checkpoints.select("names").distinct().count() > 1:
+        raise ValueError("checkpoint taxonomy mismatch")
+    rows = rows.persist(StorageLevel.DISK_ONLY)
+    try:
+        accepted, replays, divergent = Q.merge_history(rows, [], metrics)
+        total = accepted.agg(F.min("epoch").alias("a"), F.max("epoch").alias("b"), F.count("*").alias("n")).first()
+        if not total.n:
+            raise ValueError("no epochs")
+        if total.n != total.b:
+            gaps = [r[0] for r in Q.missing_epochs(accepted.select(F.lit(0).alias("_k"), "epoch"), ["_k"]).select("missing_epoch").orderBy("missing_epoch").limit(SHOWN).collect()]
+            raise ValueError(f"training history is not contiguous; missing epochs: {gaps}")
+        write_history(accepted, out, columns)
+        parts = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+        listed = lambda df, *order: [r.asDict() for r in df.orderBy(*order).limit(SHOWN).collect()]
+        report = {
+            "schema_version": 1,
+            "purpose": "accepted contiguous training trajectory reconstructed from immutable checkpoints",
+            "accepted_epoch_start": total.a,
+            "accepted_epoch_end": total.b,
+            "accepted_epoch_count": total.n,
+            "output": [r.asDict() for r in parts.orderBy("path").collect()],  # as many as parts
+            "checkpoint_sources": [r.asDict() for r in checkpoints.orderBy("path").collect()],  # as many as checkpoints
+            "deduplicated_replay_count": replays.count(),
+            "deduplicated_replays": listed(replays, "epoch", "discarded_source"),
+            "divergent_replays": listed(divergent, "epoch", "source"),
+        }
+        write_atomic_json(report, local(manifest))
+        return report
+    finally:
+        rows.unpersist()

@@ -52,7 +52,8 @@ def write_dataset(images: DataFrame, out: str, mode: str = "errorifexists") -> N
 
 
 def write_history(accepted: DataFrame, out: str, columns: list[str]) -> None:
-    accepted.select(*columns, F.col("source").alias("source_checkpoint")).orderBy("epoch").coalesce(1).write.option("header", "true").csv(out)
+    """CSV parts in order of epoch, each with a header; refuses to overwrite."""
+    accepted.select(*columns, F.col("source").alias("source_checkpoint")).orderBy("epoch").write.option("header", "true").csv(out)
 
 
 def page(pairs: DataFrame, start: int, most: int) -> DataFrame:

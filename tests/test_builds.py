@@ -182,3 +182,21 @@ def test_audit_finds_each_fault_and_decontamination_drops_near_copies(spark, tmp
         B.decontaminate_dataset(spark, str(tmp_path), out + "2", report)
     short = B.audit_dataset(spark, str(root), 4, most_pairs=1)["perceptual_candidates"]
     assert (short["reported_count"], short["truncated"], short["cross_split_candidate_count"]) == (1, True, 3)
+
+
+def test_history_is_consolidated(spark, tmp_path):
+    draw = random.Random(1)
+    rows = [(e, f"c{c}", c, e - 1, 0.1 * e + (0.5 if (e, c) == (9, 1) else 0.0), draw.random()) for c, (a, b) in enumerate(((1, 10), (8, 20), (21, 30))) for e in range(a, b + 1)]
+    table = spark.createDataFrame(rows, "epoch int, source string, source_idx int, row_idx int, map50 double, time double").repartition(3)
+    points = spark.createDataFrame([(f"c{c}", e, f"{c:064x}", ["person"]) for c, e in enumerate((10, 20, 30))], "path string, completed_epoch int, sha256 string, names array<string>")
+    out, manifest = str(tmp_path / "history"), tmp_path / "history.json"
+    report = B.consolidate_history(table, points, ["map50"], ["epoch", "map50", "time"], out, str(manifest))
+    assert (report["accepted_epoch_start"], report["accepted_epoch_end"], report["accepted_epoch_count"], report["deduplicated_replay_count"]) == (1, 30, 30, 3)
+    assert [r["epoch"] for r in report["deduplicated_replays"]] == [8, 9, 10] and [(r["epoch"], r["source"]) for r in report["divergent_replays"]] == [(9, "c1")]
+    saved = spark.read.option("header", "true").csv(out).selectExpr("int(epoch) AS e", "source_checkpoint AS s").orderBy("e").collect()
+    assert [(r.e, r.s) for r in saved] == [(e, "c0" if e < 8 else "c1" if e < 21 else "c2") for e in range(1, 31)] and json.loads(manifest.read_text()) == report
+    with pytest.raises(ValueError, match=r"missing epochs: \[5, 12\]"):
+        B.consolidate_history(table.where("epoch not in (5, 12)"), points, ["map50"], ["epoch"], out + "2", str(manifest))
+    with pytest.raises(ValueError, match="taxonomy"):
+        B.consolidate_history(table, points.union(points.limit(1).selectExpr("'x'", "1", "''", "array('cat')")), ["map50"], ["epoch"], out + "2", str(manifest))
+    assert not os.path.exists(out + "2")
