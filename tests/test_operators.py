@@ -218,3 +218,16 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.table("decisions").collect()
     assert sorted((r.seq, r.level, list(r.sectors), r.nearest_distance_m, r.fresh_range_sensor_count) for r in got) == sequential(rows, config)
+
+
+def test_many_live_sensors_make_no_pairs(spark):
+    """Every sensor is live at every decision: results are as counted by hand, and no join pairs decisions with readings."""
+    n, config = 3_000, U.FusionConfig()
+    rows = [(0, k, f"s{k}", "tof", k, "left" if k % 2 else "right", 0.3 if k == 2_000 else 0.8 if k == 1_001 else 2.0, True) for k in range(n)]
+    out = U.fuse_ranges(spark.createDataFrame(rows, READING), config)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.seq: (r.level, list(r.sectors), r.fresh_range_sensor_count) for r in out.collect()}
+    want = {k: ("clear", []) if k < 1_001 else ("warning", ["left"]) if k < 2_000 else ("critical", ["right"]) for k in range(n)}
+    assert got == {k: (*v, k + 1) for k, v in want.items()}
+    frames = spark.createDataFrame([(0, 5, 3, [])], "rig_id bigint, seq bigint, model_finished_ns bigint, detections array<struct<class_name: string, confidence: double, sector: string>>")
+    assert "Join" not in U.attach_vision(out, frames, config)._jdf.queryExecution().optimizedPlan().toString()
