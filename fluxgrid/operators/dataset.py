@@ -5,6 +5,8 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb, log2
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -182,12 +184,61 @@ def probe_plan(threshold: int, weights: list[float], n: int) -> list[tuple[int,
     return [(masks(bits), [masks(flip) for i in range(reach + 1) for flip in combinations(bits, i)]) for bits, reach in best[1]]
 
 
+#: Comparisons within a tile that cost as much as one row of a join; most hashes to a side of a tile, and of them compared at once; blocks of a large table.
+ROW_COST, TILE, STRIP, LEAST_BLOCKS = 50, 16_384, 32, 16
+
+
+def _rows_met(plan: list[tuple[int, list[int]]], weights: list[float], n: int) -> float:
+    """Keys and meeting rows that a plan makes of ``n`` hashes, by the bits' entropy."""
+    share = lambda mask: 2.0 ** -sum(weights[b] for b in range(64) if mask >> b & 1)
+    return n * sum(len(flips) + n / 2 * min(len(flips) * share(mask & (1 << 64) - 1), 1) for mask, flips in plan)
+
+
+def _tiled_pairs(values: DataFrame, threshold: int, n: int) -> DataFrame:
+    """(hash_l, hash_r, distance) of distinct values by comparing all, a tile of two blocks to a group.
+
+    Where most slices meet by chance, that takes less than rows that meet to be
+    dropped.  A task holds two blocks and a strip of their distances.
+    """
+    blocks = max(-(-n // TILE), min(LEAST_BLOCKS, -(-n // 256)))
+
+    def run(tile: pa.Table) -> pa.Table:
+        block, h = tile["block"].to_numpy(), tile["dhash64"].to_numpy()
+        i = block.min()
+        left, right = h[block == i], h[block != i]
+        one = not len(right) and tile["one"][0].as_py()
+        right = left if one else right
+        out = [np.empty((3, 0), np.int64)]
+        for at in range(0, len(left), STRIP):
+            part = left[at : at + STRIP]
+            distance = np.bitwise_count((part[:, None] ^ right[None, :]).view(np.uint64))
+            a, b = np.nonzero(distance <= threshold)
+            x, y = part[a], right[b]
+            keep = x < y if one else np.ones(len(x), bool)
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y), distance[a, b].astype(np.int64)])[:, keep])
+        found = np.concatenate(out, axis=1)
+        return pa.table({"hash_l": found[0], "hash_r": found[1], "distance": found[2].astype(np.int32)})
+
+    own = F.pmod(F.xxhash64("dhash64"), F.lit(blocks))
+    rows = values.where("dhash64 is not null").select("dhash64", own.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other"))
+    rows = rows.select("dhash64", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") == F.col("other")).alias("one"))
+    return rows.groupBy("i", "j").applyInArrow(run, "hash_l long, hash_r long, distance int")
+
+
+def _spread(pairs: DataFrame, hashes: DataFrame, more: tuple[str, ...]) -> DataFrame:
+    """The pairs with ``more`` columns of both sides."""
+    for s in "lr" if more else "":
+        pairs = pairs.join(hashes.select(F.col("dhash64").alias(f"hash_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in more]), f"hash_{s}")
+    return pairs.select("hash_l", "hash_r", "distance", *[f"{c}_{s}" for c in more for s in "lr"])
+
+
 def hash_pairs(hashes: DataFrame, threshold: int, *more: str) -> DataFrame:
     """(hash_l, hash_r, distance, and ``more`` columns of both) of distinct ``dhash64`` values, hash_l < hash_r, that differ in at most ``threshold`` bits.
 
     One hash of a pair is looked up under all keys within a slice's reach, the
     other lies under its own, so hashes meet by equality.  A pair is kept in the
-    first slice that finds it.  The figures for the plan, a count and how often
+    first slice that finds it.  Where that would make more rows than comparing
+    all in tiles is worth, tiles are compared.  The figures for the plan, a count and how often
     each bit is set, are one row.
     """
     h = F.col("dhash64")
@@ -196,6 +247,8 @@ def hash_pairs(hashes: DataFrame, threshold: int, *more: str) -> DataFrame:
     share = [one / first if first else 0.5 for one in ones]
     entropy = [-sum(p * log2(p) for p in (s, 1 - s) if p > 0) for s in share]
     plan = probe_plan(threshold, entropy, first)
+    if first * first / 2 < ROW_COST * _rows_met(plan, entropy, first):
+        return _spread(_tiled_pairs(hashes.select("dhash64"), threshold, first), hashes, more)
     both = lambda s: [F.col(c).alias(f"{c}_{s}") for c in more]
     keyed = hashes.select(h.alias("hash_r"), *both("r"), F.posexplode(F.array(*[h.bitwiseAND(F.lit(mask)) for mask, _ in plan])).alias("k", "key"))
     flips = F.array(*[F.array(*[F.lit(f) for f in flip]) for _, flip in plan])

@@ -55,3 +55,17 @@ def test_many_images_of_one_hash(spark):
     got = D.near_pairs(spark.createDataFrame(rows, "split string, path string, sha256 string, dhash64 bigint").where("path < 't00010' or path > 't02000' "), 2)
     left = 10 + 999
     assert got.count() == left * 400 + left + 200
+
+
+def test_unstructured_hashes_are_compared_in_tiles(spark):
+    draw = random.Random(3)
+    values = list({draw.getrandbits(64) - (1 << 63) for _ in range(2_000)}) + [0, 1, 3, -1, -(1 << 63)]
+    values = list(set(values))
+    far = (1 << 64) - 1
+    rows = spark.createDataFrame([(v, [str(v)]) for v in values], "dhash64 bigint, splits array<string>")
+    got = D.hash_pairs(rows, 20, "splits")
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()  # keys met 20 times the pairs
+    want = sorted((min(a, b), max(a, b), ((a ^ b) & far).bit_count()) for k, a in enumerate(values) for b in values[k + 1 :] if ((a ^ b) & far).bit_count() <= 20)
+    found = got.collect()
+    assert sorted((r.hash_l, r.hash_r, r.distance) for r in found) == want and len(want) > 100
+    assert all((r.splits_l, r.splits_r) == ([str(r.hash_l)], [str(r.hash_r)]) for r in found)
