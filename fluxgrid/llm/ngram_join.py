@@ -7,26 +7,30 @@ that a set has in one part, the enumerated subset being that single part.  Two
 sets with Jaccard >= t differ in at most ``(1 - t) / t`` of the smaller's size
 features, hence in at most so many parts; among the non-empty parts, which by
 the choice of ``parts`` are more than that, some signature is the same.  In an
-order common to all sets, the first (differences + 1) signatures of either side
-then share one, so no more are sent, besides a reserve.  A set whose size
-reaches into the band below emits there too.
+order common to all sets, the first (differences + 1) signatures of either side,
+its *main* ones, then share one.  All are sent, so that what a node has besides hot
+ones is known.  A set whose size reaches into the band below emits there too.
 
-Signatures with more than ``group_cap`` nodes are *hot*.  A node that has enough
-others left, thanks to the reserve, does without them.  The rest (large groups
-of near copies, texts that are mostly one common passage) settle in two steps.
+Signatures with more than ``group_cap`` nodes are *hot*.  A node that has more others
+than a link may change does without them.  The rest, which are *bound* (large groups
+of near copies, texts that are mostly common passages), settle in two steps.
 First a few pivots of each hot group are compared with all of it, which connects
-the families.  Nodes of groups that still hold several components then meet by their
-features: with needed overlap ``t * size``, the ``size - t * size + 1`` rarest in an
-order common to all hold a shared one, and only components that share one
-are compared, pivots first.  No pair is dropped by a cap.
-
-A pair of a small group must share as many signatures as a link leaves; then it
-is compared exactly, on its whole sets, unless it is connected already.
+the families.  A bound node then links with no other component if more of its hot
+signatures than a link may change are held by its own component's bound nodes alone.
+Those left meet by their features: with needed overlap ``t * size``, the
+``size - t * size + 1`` rarest in an order common to all hold a shared one, and only
+components that share one are compared, pivots first.  No pair is dropped by a cap.
+
+A pair of a small group must share as many signatures as a link leaves either side.
+Pairs not connected yet are compared on bitmaps of their features, whose differing
+bits are no more than the features that differ, and if that leaves a link possible,
+exactly, on the whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -64,16 +68,14 @@ def signatures(s: np.ndarray, band: int) -> np.ndarray:
     return out
 
 
-def _entries(s: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray, int, bool]]:
-    """(band, signatures to send, how many suffice, whether these are all) of a set, for its own band and, near the edge, the one below."""
+def _entries(s: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(band, signatures, how many are main) of a set, for its own band and, near the edge, the one below."""
     band = _band(len(s))
     need = len(s) * (den - num) // num + 1
     for b in range(band, max(band - 2, -1), -1):
         if b < band and len(s) * num > (BAND_SIZE << (2 * b)) * den:
             break
-        own = signatures(s, b)
-        sent = own[: need + 64 + need // 10]
-        yield b, sent, need, len(sent) == len(own)
+        yield b, signatures(s, b), need
 
 
 def _sized(num: int, den: int):
@@ -124,10 +126,10 @@ def _signed(num: int, den: int, buckets: int):
                         continue
                     if len(seen) < 300_000:  # spares copies within the task; those beyond are only sent twice
                         seen.add(fp)
-                    for band, sig, need, all_sent in _entries(s, num, den):
+                    for band, sig, need in _entries(s, num, den):
                         sig &= LOW_BITS
                         sig[:need] |= U(1 << 47)
-                        nodes.append((fp, len(s), band, 2 * len(sig) + all_sent))
+                        nodes.append((fp, len(s), band, len(sig)))
                         sigs.append(sig)
                         owner.append(len(sig))
                         held += len(sig)
@@ -152,8 +154,8 @@ def _pairs_of_groups(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray,
 
 
 def _grouped(num: int, den: int, cap: int):
-    """The pairs of a bucket's small groups (kind 0; size: signatures shared, sent: how many a link needs) and the members of its hot ones (kind 1)."""
-    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int64()), ("band", pa.int32()), ("sent", pa.int64()), ("main", pa.bool_())])
+    """The pairs of a bucket's small groups (kind 0; size: signatures shared, sent and sent_b: how many of a's and b's a link leaves) and the members of its hot ones (kind 1)."""
+    schema = pa.schema([(k, {"kind": pa.int32(), "band": pa.int32(), "main": pa.bool_()}.get(k, pa.int64())) for k in ("kind", "a", "b", "size", "band", "sent", "sent_b", "main")])
 
     def run(table: pa.Table) -> pa.Table:
         sig, own, nodes, base = [], [], [], 0
@@ -178,12 +180,10 @@ def _grouped(num: int, den: int, cap: int):
             x, y = _slice(sig[at], own[at], nodes, local, len(ids), num, den, cap)
             found.append(x)
             hot.append(y)
-        code, times, least = (np.concatenate(x) for x in zip(*found, strict=True))
-        code, back = np.unique(code, return_inverse=True)
+        code, times, *leaves = (np.concatenate(x) for x in zip(*found, strict=True))
+        code, at, back = np.unique(code, return_index=True, return_inverse=True)
         shared = np.zeros(len(code), np.int64)
         np.add.at(shared, back, times)
-        fewest = np.empty(len(code), np.int64)
-        fewest[back] = least
         rows, g, main = (np.concatenate(x) for x in zip(*hot, strict=True))
         p, h, n = len(code), len(rows), max(len(ids), 1)
         return pa.Table.from_arrays(
@@ -193,7 +193,8 @@ def _grouped(num: int, den: int, cap: int):
                 pa.array(np.concatenate([ids[code // 32 % n], g])),
                 pa.array(np.concatenate([shared, rows[:, 1]])),
                 pa.array(np.concatenate([code % 32, rows[:, 2]]).astype(np.int32)),
-                pa.array(np.concatenate([fewest, rows[:, 3]])),
+                pa.array(np.concatenate([leaves[0][at], rows[:, 3]])),
+                pa.array(np.concatenate([leaves[1][at], rows[:, 3]])),
                 pa.array(np.concatenate([np.zeros(p, bool), main])),
             ],
             schema=schema,
@@ -203,7 +204,7 @@ def _grouped(num: int, den: int, cap: int):
 
 
 def _slice(sig: np.ndarray, own: np.ndarray, nodes: np.ndarray, local: np.ndarray, width: int, num: int, den: int, cap: int):
-    """((pair and band as one number, signatures shared, needed) of small groups, (node rows, signature, main) of hot ones)."""
+    """((pair and band as one number, signatures shared, left of either side) of small groups, (node rows, signature, main) of hot ones)."""
     main, sig = (sig >> U(47)) == 1, sig & LOW_BITS
     order = np.lexsort((local[own], sig))
     sig, own, main = sig[order], own[order], main[order]
@@ -217,19 +218,42 @@ def _slice(sig: np.ndarray, own: np.ndarray, nodes: np.ndarray, local: np.ndarra
     small, large = np.minimum(nodes[own[i], 1], nodes[own[j], 1]), np.maximum(nodes[own[i], 1], nodes[own[j], 1])
     fits = small * den >= large * num
     i, j = own[i[fits]], own[j[fits]]
-    left, right = np.minimum(local[i], local[j]), np.maximum(local[i], local[j])
-    code, at, times = np.unique((left * width + right) * 32 + nodes[i, 2], return_index=True, return_counts=True)
-    spare = [nodes[k, 3] // 2 - nodes[k, 1] * (den - num) // num for k in (i[at], j[at])]
+    low = local[i] < local[j]
+    i, j = np.where(low, i, j), np.where(low, j, i)
+    code, at, times = np.unique((local[i] * width + local[j]) * 32 + nodes[i, 2], return_index=True, return_counts=True)
+    i, j = i[at], j[at]
+    change = np.minimum(nodes[i, 1], nodes[j, 1]) * (den - num) // num
     hot = np.repeat(count > cap, count)
-    return (code, times, np.minimum(*spare)), (nodes[own[hot]], sig[hot].astype(np.int64), main[hot])
+    return (code, times, nodes[i, 3] - change, nodes[j, 3] - change), (nodes[own[hot]], sig[hot].astype(np.int64), main[hot])
+
+
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """Bytes with the bits of a set's features; at least four to three for a feature."""
+    bits = np.zeros((BAND_SIZE << (2 * _band(len(s)))) * 4 // 3, bool)
+    bits[(s % U(len(bits))).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def _may_link(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of whose features, as far as their bitmaps tell, no more differ than a link allows."""
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, bool)
+        sizes = np.minimum(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+        for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+            p, q = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
+            n = min(len(p), len(q))  # lengths are powers of two, so the longer folds to the shorter
+            p, q = (np.bitwise_or.reduce(v.reshape(-1, n), axis=0) for v in (p, q))
+            keep[k] = int(np.bitwise_count(p ^ q).sum(dtype=np.int64)) * num <= (den - num) * int(sizes[k])
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = common.as_string(batch, "text")
         for a, b in common.chunks(text):
-            sets = [s.tobytes() for s in shingle_sets(text.slice(a, b - a))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["node", "features"])
+            sets = shingle_sets(text.slice(a, b - a))
+            found = [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_bitmap(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *found], names=["node", "n", "features", "bits"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,25 +268,25 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter), pa.array(union)], names=["a", "b", "inter", "uni"])
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, inter, uni) of the pairs.  ``a`` may be a hub: its features are joined last and not shuffled with each pair."""
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
-    two = one.join(sets.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a")
-    return two.select("a", "b", "fa", "fb").mapInArrow(common.trimmed(_compared), "a long, b long, inter long, uni long")
+def _with_sides(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """The pairs (a, b) with columns of either node.  Few pairs are broadcast, and then only the sets that they name are shuffled."""
+    few = pairs.count() <= common.BROADCAST_ROWS
+    side = {k: sets.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in columns)) for k in "ab"}
+    if few:
+        side["a"] = side["a"].join(F.broadcast(pairs.select("a").distinct()), "a", "left_semi")
+    one = side["b"].join(F.broadcast(pairs) if few else pairs, "b")
+    return one.join(side["a"], "a").select("a", "b", *(f"{c}_{k}" for c in columns for k in "ab"))
 
 
-def _population(hot: DataFrame, tied: DataFrame) -> DataFrame:
-    """(node, size) of all nodes that may link with another through hot signatures alone.
-
-    A free node needs none of them.  A cut node's other signatures are not all
-    known: it and any partner share one of their main ones, so everything that
-    a main hot signature joins to a cut node belongs to it too.
-    """
-    at = common.small_join(hot, tied, ["node", "band"], "left").withColumn("state", F.coalesce("state", F.lit("free")))
-    main = at.where("main")
-    with_cut = common.materialise(main.where("state = 'cut'").select("g").distinct(), "cut")
-    both = at.where("state <> 'free'").select("node", "size").union(common.small_join(main, with_cut, ["g"], "inner").select("node", "size"))
-    return common.materialise(both.distinct(), "population")
+def _linking(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link.  ``a`` may be a hub: its features are joined last and not shuffled with each pair."""
+    spark = sets.sparkSession
+    with common.arrow_rows(spark, 2_000):
+        pairs = common.materialise(pairs, "apart")
+        pairs = common.materialise(_with_sides(pairs, sets, ["n", "bits"]).mapInArrow(common.trimmed(partial(_may_link, num=num, den=den)), "a long, b long"), "may")
+    with common.arrow_rows(spark, 400):
+        got = _with_sides(pairs, sets, ["features"]).mapInArrow(common.trimmed(_compared), "a long, b long, inter long, uni long")
+        return common.materialise(got.where(F.col("inter") * den >= F.col("uni") * num).select("a", "b"), "links")
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,8 +334,7 @@ class _Links:
     def learn(self, pairs: DataFrame) -> None:
         """Compare the pairs (a, b) that are apart."""
         apart = self._with_component(self._with_component(pairs.select("a", "b").distinct(), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-        with common.arrow_rows(self.sets.sparkSession, 400):
-            got = common.materialise(_compare(apart, self.sets).where(F.col("inter") * self.den >= F.col("uni") * self.num).select("a", "b"), "links")
+        got = _linking(apart, self.sets, self.num, self.den)
         if self.label is not None:
             if got.isEmpty():
                 return
@@ -325,6 +348,19 @@ class _Links:
         several = common.materialise(seen.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g"), "several")
         return common.materialise(common.small_join(seen, several, ["g"], "left_semi"), "mixed")
 
+    def unsettled(self, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of the bound nodes' hot signatures (g, node, size, band, main): those of nodes that may link with another component, and the main ones of these whose groups hold several.
+
+        What only one component's bound nodes hold is missing from any bound node of another, and a link leaves no more than ``size * (1 - t) / t`` of them missing.
+        """
+        seen = self._with_component(hot, "node", "c")
+        several = common.materialise(seen.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g"), "several")
+        few = several.count()
+        pure = common.small_join(seen, several, ["g"], "left_anti", few).groupBy("node", "band").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+        settled = common.materialise(pure.where(F.col("n") > F.floor(F.col("size") * (self.den - self.num) / self.num)).select("node", "band"), "settled")
+        left = common.materialise(common.small_join(hot, settled, ["node", "band"], "left_anti"), "left")
+        return left, self.mixed(common.small_join(left.where("main"), several, ["g"], "left_semi", few).withColumn("rest", F.col("size")))
+
     def _can(self) -> Column:
         return F.least("rest_a", "rest_b") * (self.num + self.den) >= (F.col("size_a") + F.col("size_b")) * self.num
 
@@ -356,19 +392,19 @@ def _by_hash(seed: int, n: int) -> list[Column]:
 
 
 def _linked(pairs: DataFrame, hot: DataFrame | None, sets: DataFrame, num: int, den: int, rounds: tuple[int, ...] = (2,)) -> DataFrame:
-    """(node, component) of all linked nodes: of the pairs, and of the members (g, node, size, rest) of hot groups."""
+    """(node, component) of all linked nodes: of the pairs, and of the bound nodes of hot groups (g, node, size, band, main)."""
     links = _Links(sets, num, den)
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links.learn(first if hot is None else first.union(links.star(hot, _by_hash(0, 1))))
+    links.learn(first if hot is None else first.union(links.star(hot.where("main").withColumn("rest", F.col("size")), _by_hash(0, 1))))
     links.learn(pairs)
     if hot is None:
         return links.label
     for k, n in enumerate(rounds):
-        hot = links.mixed(hot)
-        if hot.isEmpty():
+        hot, mixed = links.unsettled(hot)
+        if mixed.isEmpty():
             return links.label
-        links.learn(links.star(hot, _by_hash(100 * k + 1, n)))
-    population = common.materialise(links.mixed(hot).select("node").distinct(), "unsettled")
+        links.learn(links.star(mixed, _by_hash(100 * k + 1, n)))
+    population = common.materialise(links.unsettled(hot)[1].select("node").distinct(), "unsettled")
     if population.isEmpty():
         return links.label
     groups = links.mixed(_prefixes(population, sets, num, den))
@@ -408,41 +444,37 @@ def _joined(docs: DataFrame, num: int, den: int, group_cap: int, keep: Callable[
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(24, size // BYTES_PER_SIGNATURE // BUCKET_ROWS)
     blocks = docs.select("text").mapInArrow(_signed(num, den, buckets), "bucket int, sig binary, own binary, nodes binary")
-    found = blocks.groupBy("bucket").applyInArrow(_grouped(num, den, group_cap), "kind int, a long, b long, size long, band int, sent long, main boolean")
+    found = blocks.groupBy("bucket").applyInArrow(_grouped(num, den, group_cap), "kind int, a long, b long, size long, band int, sent long, sent_b long, main boolean")
     found = common.materialise(found, "groups")
 
-    # hot groups: a node is free of them if enough other signatures are left; bound if not, and all were sent; cut if some were not
-    sent = F.floor(F.col("sent") / 2)
-    hot = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("g"), "size", "band", "main", sent.alias("sent"), (F.col("sent") % 2 == 1).alias("whole"))
-    need = F.floor(F.col("size") * (den - num) / num) + 1
-    heat = hot.groupBy("node", "band").agg(F.count("*").alias("hot"), F.first("size").alias("size"), F.first("sent").alias("sent"), F.first("whole").alias("whole"))
-    left = F.col("sent") - F.col("hot")
-    kind = F.when(left >= need, "free").when(F.col("whole"), "bound").otherwise("cut")
-    heat = common.materialise(heat.select("node", "band", "hot", kind.alias("state")), "heat")
-    tied = heat.where("state <> 'free'").drop("hot")
-    some_tied = not tied.isEmpty()
-    population = _population(hot, tied) if some_tied else None
-
-    # of all pairs of small groups, those that share as many signatures as a link leaves: sent - differences, less the hot ones
-    pairs = found.where("kind = 0").groupBy("a", "b", "band").agg(F.sum("size").alias("shared"), F.first("sent").alias("least"))
+    # hot groups: a node is free of them if more other signatures are left than a link may change; bound if not
+    hot = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("g"), "size", "band", "main", "sent")
+    heat = hot.groupBy("node", "band").agg(F.count("*").alias("hot"), F.first("size").alias("size"), F.first("sent").alias("sent"))
+    free = F.col("sent") - F.col("hot") > F.floor(F.col("size") * (den - num) / num)
+    heat = common.materialise(heat.select("node", "band", "hot", free.alias("free")), "heat")
+    bound = common.materialise(heat.where("not free").select("node", "band"), "bound")
+    some_bound = not bound.isEmpty()
+
+    # of all pairs of small groups, those that share as many signatures as a link leaves either side, less its hot ones
+    pairs = found.where("kind = 0").groupBy("a", "b", "band").agg(F.sum("size").alias("shared"), F.first("sent").alias("sent_a"), F.first("sent_b").alias("sent_b"))
     for side in ("a", "b"):
         pairs = pairs.join(heat.select(F.col("node").alias(side), "band", F.col("hot").alias(f"hot_{side}")), [side, "band"], "left")
-    pairs = pairs.where(F.col("shared") >= F.col("least") - F.greatest(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))).select("a", "b").distinct()
+        pairs = pairs.where(F.col("shared") >= F.col(f"sent_{side}") - F.coalesce(f"hot_{side}", F.lit(0)))
+    pairs = pairs.select("a", "b").distinct()
 
     # the shingle sets of all nodes that any comparison needs, from one document each, found by its id and text
     pairs = common.materialise(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     members = None
-    if some_tied:
-        wanted = wanted.union(population.select("node"))
-        members = hot.where("main").join(population.select("node"), "node", "left_semi")
-        members = common.materialise(members.select("g", "node", "size", F.col("size").alias("rest")).distinct(), "members")
+    if some_bound:
+        wanted = wanted.union(bound.select("node"))
+        members = common.materialise(common.small_join(hot.select("g", "node", "size", "band", "main"), bound, ["node", "band"], "left_semi"), "members")
     named = sized.where("n_shingles > 0").select("node", F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "h").alias("d"))
     holder = named.groupBy("node").agg(F.min("d").alias("d")).join(wanted.distinct(), "node")
     holder = common.materialise(holder.select("node", F.coalesce("d.doc_id", F.lit(0)).alias("id"), F.col("d.bare").alias("bare"), F.col("d.h").alias("h")), "holder")
     texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("bare"), "h", "text")
     texts = common.small_join(texts, holder, ["id", "bare", "h"], "inner").groupBy("node").agg(F.first("text").alias("text"))
-    sets = common.materialise(texts.mapInArrow(common.trimmed(_as_sets), "node long, features binary"), "sets")
+    sets = common.materialise(texts.mapInArrow(common.trimmed(_as_sets), "node long, n long, features binary, bits binary"), "sets")
     label = _linked(pairs, members, sets, num, den)
 
     # back to documents; only nodes that are linked or have copies need a lookup

@@ -84,3 +84,44 @@ def test_slices_of_a_bucket_give_the_same_result(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SLICE_ROWS", 50)
     df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
     assert sorted(tuple(r) for r in ngram_jaccard_join(df, group_cap=4).collect()) == brute(rows, 75, 100)
+
+
+def test_families_with_a_common_passage_settle_without_their_features(spark, monkeypatch):
+    """All signatures are hot, and the passage's groups hold every family; what only a family holds shows that it links with no other."""
+    from fluxgrid.llm import ngram_join
+
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    passage, rows = [word() for _ in range(120)], []
+    for _ in range(5):
+        base = [word() for _ in range(200)]
+        for _ in range(30):
+            w = list(base)
+            w[draw.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w + passage)))
+    taken, prefixes = [], ngram_join._prefixes
+    monkeypatch.setattr(ngram_join, "_prefixes", lambda population, *rest: taken.append(population.count()) or prefixes(population, *rest))
+    got = sorted(tuple(r) for r in ngram_jaccard_join(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA), group_cap=6).collect())
+    assert got == brute(rows, 75, 100)
+    assert sum(taken) == 0
+
+
+def test_bitmaps_keep_all_links_and_drop_strangers():
+    import numpy as np
+    import pyarrow as pa
+
+    from fluxgrid.llm.ngram_join import _bitmap, _may_link
+
+    draw, sides, links = np.random.default_rng(5), [], []
+    for size in (1, 5, 300, 380, 400, 1_500, 1_600, 9_000):
+        for common in (size, size * 9 // 10, size * 7 // 10, 0):
+            x = draw.integers(0, 1 << 63, size).astype(np.uint64)
+            y = np.concatenate([x[:common], draw.integers(0, 1 << 63, size - common).astype(np.uint64)])
+            for p, q in ((x, y), (x, x[:common])):
+                sides.append((p, q))
+                links.append(100 * len(np.intersect1d(p, q)) >= 75 * len(np.union1d(p, q)))
+    columns = [[k for k in range(len(sides))]] * 2 + [[len(s[k]) for s in sides] for k in (0, 1)] + [[_bitmap(s[k]).tobytes() for s in sides] for k in (0, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "n_a", "n_b", "bits_a", "bits_b"])
+    kept = set(next(iter(_may_link(iter([batch]), 75, 100))).column(0).to_pylist())
+    assert {k for k, linked in enumerate(links) if linked} <= kept
+    assert not any(len(q) and not len(np.intersect1d(p, q)) for p, q in (sides[k] for k in kept))
