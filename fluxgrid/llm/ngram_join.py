@@ -9,7 +9,8 @@ features, hence in at most so many parts; among the non-empty parts, which by
 the choice of ``parts`` are more than that, some signature is the same.  In an
 order common to all sets, the first (differences + 1) signatures of either side,
 its *main* ones, then share one.  All are sent, so that what a node has besides hot
-ones is known.  A set whose size reaches into the band below emits there too.
+ones is known.  A set whose size reaches into the band below emits there too; two such sets meet
+in their own band, so that below only groups with a set of that band matter.
 
 Signatures with more than ``group_cap`` nodes are *hot*.  A node that has more others
 than a link may change does without them.  The rest, which are *bound* (large groups
@@ -17,6 +18,7 @@ of near copies, texts that are mostly common passages), settle in two steps.
 First a few pivots of each hot group are compared with all of it, which connects
 the families.  A bound node then links with no other component if more of its hot
 signatures than a link may change are held by its own component's bound nodes alone.
+Until then a bound node is one row with its signatures, which are rows only while they are grouped.
 Those left meet by their features: with needed overlap ``t * size``, the
 ``size - t * size + 1`` rarest in an order common to all hold a shared one, and only
 components that share one are compared, pivots first.  No pair is dropped by a cap.
@@ -213,17 +215,19 @@ def _slice(sig: np.ndarray, own: np.ndarray, nodes: np.ndarray, local: np.ndarra
     sig, own, main = sig[new], own[new], main[new]
     first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]))
     count = np.diff(np.append(first, len(sig)))
-    some = (count > 1) & (count <= cap)
+    home = nodes[own, 1] <= BAND_SIZE << (2 * nodes[own, 2])  # sets that are of the band, not from the one above
+    of_band = np.bitwise_or.reduceat(home, first) if len(first) else home
+    some = (count > 1) & (count <= cap) & of_band
     i, j = _pairs_of_groups(first[some], count[some])
     small, large = np.minimum(nodes[own[i], 1], nodes[own[j], 1]), np.maximum(nodes[own[i], 1], nodes[own[j], 1])
-    fits = small * den >= large * num
+    fits = (small * den >= large * num) & (home[i] | home[j])
     i, j = own[i[fits]], own[j[fits]]
     low = local[i] < local[j]
     i, j = np.where(low, i, j), np.where(low, j, i)
     code, at, times = np.unique((local[i] * width + local[j]) * 32 + nodes[i, 2], return_index=True, return_counts=True)
     i, j = i[at], j[at]
     change = np.minimum(nodes[i, 1], nodes[j, 1]) * (den - num) // num
-    hot = np.repeat(count > cap, count)
+    hot = np.repeat((count > cap) & of_band, count)
     return (code, times, nodes[i, 3] - change, nodes[j, 3] - change), (nodes[own[hot]], sig[hot].astype(np.int64), main[hot])
 
 
@@ -317,6 +321,20 @@ def _prefixes(population: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
     return common.materialise(met.select(F.col("f.feature").alias("g"), "node", "size", (F.col("size") - F.col("alone") - F.col("pos")).alias("rest")), "prefixes")
 
 
+def _by_main(bound: DataFrame, *more: str) -> DataFrame:
+    """(g, node, size, rest, more): bound nodes by their main signatures."""
+    return bound.select(F.explode("mains").alias("g"), "node", "size", F.col("size").alias("rest"), *more)
+
+
+def _several(groups: DataFrame) -> DataFrame:
+    """(g): the groups that hold several components c."""
+    return common.materialise(groups.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g"), "several")
+
+
+def _of_several(groups: DataFrame) -> DataFrame:
+    return common.materialise(common.small_join(groups, _several(groups), ["g"], "left_semi"), "mixed")
+
+
 class _Links:
     """Components as far as they are known.  Only pairs that are not connected yet are compared."""
 
@@ -344,22 +362,19 @@ class _Links:
 
     def mixed(self, groups: DataFrame) -> DataFrame:
         """(g, node, size, rest, c): the groups that hold several components."""
-        seen = self._with_component(groups.select("g", "node", "size", "rest"), "node", "c")
-        several = common.materialise(seen.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g"), "several")
-        return common.materialise(common.small_join(seen, several, ["g"], "left_semi"), "mixed")
+        return _of_several(self._with_component(groups.select("g", "node", "size", "rest"), "node", "c"))
 
-    def unsettled(self, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of the bound nodes' hot signatures (g, node, size, band, main): those of nodes that may link with another component, and the main ones of these whose groups hold several.
+    def unsettled(self, bound: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of the bound nodes (node, band, size, mains, others): those that may link with another component, and the groups (g, node, size, rest, c) of their main signatures that hold several.
 
         What only one component's bound nodes hold is missing from any bound node of another, and a link leaves no more than ``size * (1 - t) / t`` of them missing.
         """
-        seen = self._with_component(hot, "node", "c")
-        several = common.materialise(seen.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g"), "several")
-        few = several.count()
-        pure = common.small_join(seen, several, ["g"], "left_anti", few).groupBy("node", "band").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+        seen = common.materialise(self._with_component(bound, "node", "c"), "seen")
+        each = seen.select(F.explode(F.concat("mains", "others")).alias("g"), "node", "band", "size", "c")
+        pure = common.small_join(each, _several(each), ["g"], "left_anti").groupBy("node", "band").agg(F.count("*").alias("n"), F.first("size").alias("size"))
         settled = common.materialise(pure.where(F.col("n") > F.floor(F.col("size") * (self.den - self.num) / self.num)).select("node", "band"), "settled")
-        left = common.materialise(common.small_join(hot, settled, ["node", "band"], "left_anti"), "left")
-        return left, self.mixed(common.small_join(left.where("main"), several, ["g"], "left_semi", few).withColumn("rest", F.col("size")))
+        left = common.materialise(common.small_join(seen, settled, ["node", "band"], "left_anti"), "left")
+        return left.drop("c"), _of_several(_by_main(left, "c"))
 
     def _can(self) -> Column:
         return F.least("rest_a", "rest_b") * (self.num + self.den) >= (F.col("size_a") + F.col("size_b")) * self.num
@@ -391,20 +406,20 @@ def _by_hash(seed: int, n: int) -> list[Column]:
     return [F.xxhash64(F.lit(seed + i), F.col("node")) for i in range(n)]
 
 
-def _linked(pairs: DataFrame, hot: DataFrame | None, sets: DataFrame, num: int, den: int, rounds: tuple[int, ...] = (2,)) -> DataFrame:
-    """(node, component) of all linked nodes: of the pairs, and of the bound nodes of hot groups (g, node, size, band, main)."""
+def _linked(pairs: DataFrame, bound: DataFrame | None, sets: DataFrame, num: int, den: int, rounds: tuple[int, ...] = (2,)) -> DataFrame:
+    """(node, component) of all linked nodes: of the pairs, and of the bound nodes (node, band, size, mains, others) with their hot signatures."""
     links = _Links(sets, num, den)
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links.learn(first if hot is None else first.union(links.star(hot.where("main").withColumn("rest", F.col("size")), _by_hash(0, 1))))
+    links.learn(first if bound is None else first.union(links.star(_by_main(bound), _by_hash(0, 1))))
     links.learn(pairs)
-    if hot is None:
+    if bound is None:
         return links.label
     for k, n in enumerate(rounds):
-        hot, mixed = links.unsettled(hot)
+        bound, mixed = links.unsettled(bound)
         if mixed.isEmpty():
             return links.label
         links.learn(links.star(mixed, _by_hash(100 * k + 1, n)))
-    population = common.materialise(links.unsettled(hot)[1].select("node").distinct(), "unsettled")
+    population = common.materialise(links.unsettled(bound)[1].select("node").distinct(), "unsettled")
     if population.isEmpty():
         return links.label
     groups = links.mixed(_prefixes(population, sets, num, den))
@@ -449,10 +464,11 @@ def _joined(docs: DataFrame, num: int, den: int, group_cap: int, keep: Callable[
 
     # hot groups: a node is free of them if more other signatures are left than a link may change; bound if not
     hot = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("g"), "size", "band", "main", "sent")
-    heat = hot.groupBy("node", "band").agg(F.count("*").alias("hot"), F.first("size").alias("size"), F.first("sent").alias("sent"))
+    lists = [F.collect_list(F.when(which, F.col("g"))).alias(k) for k, which in (("mains", F.col("main")), ("others", ~F.col("main")))]
+    heat = hot.groupBy("node", "band").agg(F.count("*").alias("hot"), F.first("size").alias("size"), F.first("sent").alias("sent"), *lists)
     free = F.col("sent") - F.col("hot") > F.floor(F.col("size") * (den - num) / num)
-    heat = common.materialise(heat.select("node", "band", "hot", free.alias("free")), "heat")
-    bound = common.materialise(heat.where("not free").select("node", "band"), "bound")
+    heat = common.materialise(heat.select("node", "band", "hot", "size", *(F.when(~free, F.col(k)).alias(k) for k in ("mains", "others")), free.alias("free")), "heat")
+    bound = common.materialise(heat.where("not free").select("node", "band", "size", "mains", "others"), "bound")
     some_bound = not bound.isEmpty()
 
     # of all pairs of small groups, those that share as many signatures as a link leaves either side, less its hot ones
@@ -465,17 +481,15 @@ def _joined(docs: DataFrame, num: int, den: int, group_cap: int, keep: Callable[
     # the shingle sets of all nodes that any comparison needs, from one document each, found by its id and text
     pairs = common.materialise(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    members = None
     if some_bound:
         wanted = wanted.union(bound.select("node"))
-        members = common.materialise(common.small_join(hot.select("g", "node", "size", "band", "main"), bound, ["node", "band"], "left_semi"), "members")
     named = sized.where("n_shingles > 0").select("node", F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "h").alias("d"))
     holder = named.groupBy("node").agg(F.min("d").alias("d")).join(wanted.distinct(), "node")
     holder = common.materialise(holder.select("node", F.coalesce("d.doc_id", F.lit(0)).alias("id"), F.col("d.bare").alias("bare"), F.col("d.h").alias("h")), "holder")
     texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("bare"), "h", "text")
     texts = common.small_join(texts, holder, ["id", "bare", "h"], "inner").groupBy("node").agg(F.first("text").alias("text"))
     sets = common.materialise(texts.mapInArrow(common.trimmed(_as_sets), "node long, n long, features binary, bits binary"), "sets")
-    label = _linked(pairs, members, sets, num, den)
+    label = _linked(pairs, bound if some_bound else None, sets, num, den)
 
     # back to documents; only nodes that are linked or have copies need a lookup
     per = sized.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))

@@ -106,6 +106,33 @@ def test_families_with_a_common_passage_settle_without_their_features(spark, mon
     assert sum(taken) == 0
 
 
+def test_bound_nodes_are_carried_as_rows_of_their_own_and_meet_in_one_band(spark, monkeypatch):
+    """Near copies about the edge of a band, some of them not linked: what is carried is a row per node and band, and no group below the edge is only of sets above it."""
+    from fluxgrid.llm import ngram_join
+
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for length in (394, 389, 440):
+        base = [word() for _ in range(length)]
+        for k in range(24):
+            w = list(base)
+            for at in draw.sample(range(0, length, 6), k):
+                w[at] = word()
+            rows.append((len(rows), " ".join(w[: length - draw.choice([0, 0, 8])])))
+    carried, unsettled = [], ngram_join._Links.unsettled
+
+    def counted(self, bound):
+        left, mixed = unsettled(self, bound)
+        carried.append((left.count(), {r.band for r in left.select("band").distinct().collect()}))
+        return left, mixed
+
+    monkeypatch.setattr(ngram_join._Links, "unsettled", counted)
+    got = sorted(tuple(r) for r in ngram_jaccard_join(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA), group_cap=6).collect())
+    assert got == brute(rows, 75, 100)
+    assert carried and all(n <= 2 * len(rows) for n, _ in carried)
+
+
 def test_bitmaps_keep_all_links_and_drop_strangers():
     import numpy as np
     import pyarrow as pa
