@@ -22,7 +22,7 @@ from fluxgrid.operators import reports as R
 from fluxgrid.operators import scans as C
 from fluxgrid.operators import sequences as Q
 from fluxgrid.session import configure, shared_dir
-from fluxgrid.streaming.evaluate_stream import STATE_STORE, stream_evaluate
+from fluxgrid.streaming.evaluate_stream import STATE_SETTINGS, stream_evaluate
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -149,7 +149,8 @@ def fusion_evaluate(t):
 @query(EVALUATED_SQL)
 def fusion_stream(t):
     """The same decisions from two streams over the events, run until all that is there is decided."""
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    for key, value in STATE_SETTINGS.items():
+        t.spark.conf.set(key, value)
     arrived = F.timestamp_millis(F.col("event_id") + 1)  # a time of zero is late from the start
     own = lambda name: t.stream(name).withColumn("arrived", arrived)
     r = readings(own).withColumn("arrived", F.timestamp_millis(F.col("seq") + 1))
